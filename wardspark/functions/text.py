@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from wardspark.functions.regex import java
+from wardspark.functions.regex import is_ascii, java
 
 # Word lists.
 STOPWORDS = (
@@ -45,17 +45,17 @@ def _nfkc(text: pd.Series) -> pd.Series:
 
 def nfkc(text: Column) -> Column:
     """Unicode compatibility form; only rows that may change are sent to Python."""
-    unstable = ~text.rlike(_NFKC_STABLE)
+    unstable = ~is_ascii(text) & ~text.rlike(_NFKC_STABLE)
     return F.coalesce(_nfkc(F.when(unstable, text)), text)
 
 
 def count_invisible(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(INVISIBLE))
+    return F.when(is_ascii(text), F.lit(0)).otherwise(F.regexp_count(text, F.lit(INVISIBLE)))
 
 
 def undo_spacing(text: Column) -> Column:
     """Drop invisible characters, then close up ``i g n o r e`` and ``i-g-n-o-r-e``."""
-    shown = F.regexp_replace(text, INVISIBLE, "")
+    shown = F.when(is_ascii(text), text).otherwise(F.regexp_replace(text, INVISIBLE, ""))
     return F.regexp_replace(shown, java(SPACED_LETTERS), "")
 
 
@@ -63,12 +63,17 @@ def normalise_text(text: Column) -> Column:
     return undo_spacing(nfkc(text))
 
 
-def decoded_segments(text: Column) -> Column:
+def has_long_run(text: Column) -> Column:
+    """Sixteen base64 characters in a row: what any encoded segment contains."""
+    return text.rlike(r"[A-Za-z0-9+/]{16}")
+
+
+def decoded_segments(text: Column, long_run: Column | None = None) -> Column:
     """Readable plaintexts hidden as base64 or hex, at most eight, base64 first."""
 
     def candidates(pattern: str) -> Column:
         runs = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        found = F.when(text.rlike(pattern), runs).otherwise(F.array().cast("array<string>"))
+        found = F.when(has_long_run(text) if long_run is None else long_run, runs).otherwise(F.array().cast("array<string>"))
         return F.filter(found, lambda s: F.length(s) <= MAX_DECODE_CHARS)
 
     def from_base64(run: Column) -> Column:

@@ -236,13 +236,17 @@ def scan_prompt_injection(data: ScanInput, opts: Options) -> Scan:
             options=opts,
         ),
         [
-            {"_inj_norm": X.normalise_text(data.text), "_inj_inv": X.count_invisible(data.text)},
+            {
+                "_inj_norm": X.normalise_text(data.text), "_inj_inv": X.count_invisible(data.text),
+                "_inj_run": X.has_long_run(data.text),
+            },
             {
                 "_inj_nlc": regex.folded(norm),
-                "_inj_dec": F.transform(X.decoded_segments(data.text), X.undo_spacing),
+                "_inj_nrun": F.when(norm == data.text, F.col("_inj_run")).otherwise(X.has_long_run(norm)),
+                "_inj_dec": F.transform(X.decoded_segments(data.text, F.col("_inj_run")), X.undo_spacing),
             },
             {
-                "_inj_plain": signal_hits(norm, F.col("_inj_nlc"), table),
+                "_inj_plain": signal_hits(norm, F.col("_inj_nlc"), table, long_run=F.col("_inj_nrun")),
                 "_inj_dhits": F.when(F.size(dec) > 0, dec_hits).otherwise(no_hits()),
             },
             {"_inj_hits": F.concat(F.col("_inj_plain"), F.col("_inj_dhits"), side)},

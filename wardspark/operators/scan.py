@@ -169,11 +169,15 @@ def hit_struct(id_: str, weight: float | Column, family: str = "") -> Column:
     return F.struct(F.lit(id_).alias("id"), w.alias("weight"), F.lit(family).alias("family"))
 
 
-def signal_hits(text: Column, lowered: Column, signals: Sequence[Signal], also: Column | None = None) -> Column:
+def signal_hits(
+    text: Column, lowered: Column, signals: Sequence[Signal], also: Column | None = None, long_run: Column | None = None
+) -> Column:
     """The matched signals of a table, in table order."""
     tests = []
     for s in signals:
         test = regex.guarded(text, lowered, s.pattern, s.words, s.ignore_case)
+        if s.id == "base64_blob" and long_run is not None:
+            test = long_run & test
         tests.append(F.when(test if also is None else also & test, hit_struct(s.id, s.weight, s.family)))
     return present(tests)
 
