@@ -139,16 +139,15 @@ def next_fire(last_ms: int | None, at_ms: int, cooldown_s: int) -> bool:
 def suppress_cooldown(alerts: DataFrame, key: str = "rule_id", ts: str = "timestamp_ms", tie: str = "event_id") -> DataFrame:
     """Alerts that really fire: at most one per rule and cooldown since the last *fired* one.
 
-    Each firing depends on the one before, so a rule is walked in order. Candidates are first
-    thinned to the earliest of each second, which cannot change the result for cooldowns of a
-    second or more, and rows stream through in sorted batches: only the last firing is kept.
+    Each firing depends on the one before, so a rule is walked in order. Of rows at one
+    instant only the first can fire, so the rest are dropped beforehand by a combined
+    minimum; the others stream through in sorted batches and only the last firing is kept.
     """
-    second = F.expr(f"{ts} div 1000")
-    whole = alerts.filter(F.col("cooldown_s") >= 1).withColumn("_s", second)
-    earliest = whole.groupBy(key, "_s").agg(F.min(F.struct(ts, tie)).alias("_f"))
-    thin = whole.join(earliest, [key, "_s"]).filter(F.struct(ts, tie) == F.col("_f")).drop("_s", "_f")
+    timed = alerts.filter(F.col("cooldown_s") >= 1)
+    first = timed.groupBy(key, ts).agg(F.min(tie).alias(tie))
+    thin = timed.join(first, [key, ts, tie], "left_semi").select(*alerts.columns)
     rest = alerts.filter(F.col("cooldown_s") < 1)
-    ordered = thin.select(*alerts.columns).unionByName(rest).repartition(key).sortWithinPartitions(key, ts, tie)
+    ordered = thin.unionByName(rest).repartition(key).sortWithinPartitions(key, ts, tie)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, last = object(), None
