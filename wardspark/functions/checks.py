@@ -16,7 +16,7 @@ def luhn_valid(value: Column) -> Column:
     weighted = F.transform(
         F.split(F.reverse(digits), ""),
         lambda ch, i: F.when(i % 2 == 0, ch.cast("int")).otherwise(
-            F.element_at(F.lit([0, 2, 4, 6, 8, 1, 3, 5, 7, 9]), ch.cast("int") + 1)
+            F.element_at(F.expr("array(0, 2, 4, 6, 8, 1, 3, 5, 7, 9)"), ch.cast("int") + 1)
         ),
     )
     total = F.aggregate(weighted, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))

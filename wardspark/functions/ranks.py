@@ -21,17 +21,21 @@ REQUIRED_AUTHORITY = {"low": 1, "medium": 3, "high": 4, "critical": 4}
 
 
 def lookup(col: Column, table: Mapping[str, object], default: object = None) -> Column:
-    """``table[col]`` as a ``when`` chain, so it stays inside generated code."""
-    out: Column | None = None
-    for key, value in table.items():
-        out = F.when(col == F.lit(key), F.lit(value)) if out is None else out.when(col == F.lit(key), F.lit(value))
+    """``table[col]``, a lookup in a literal map."""
+    from wardspark.functions.sqltext import mapping
+
     fallback = default if isinstance(default, Column) else F.lit(default)
-    return fallback if out is None else out.otherwise(fallback)
+    if not table:
+        return fallback
+    found = F.element_at(F.expr(mapping(table)), col)
+    return found if default is None else F.coalesce(found, fallback)
 
 
 def rank(col: Column, order: Sequence[str]) -> Column:
     """Position of ``col`` in ``order``; -1 for unknown or null."""
-    return F.coalesce(F.array_position(F.lit(list(order)), col), F.lit(0)).cast("int") - F.lit(1)
+    from wardspark.functions.sqltext import strings
+
+    return F.coalesce(F.array_position(strings(order), col), F.lit(0)).cast("int") - F.lit(1)
 
 
 def action_rank(col: Column) -> Column:

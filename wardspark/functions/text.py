@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from wardspark.functions.regex import is_ascii, java
+from wardspark.functions.sqltext import strings
 
 # Word lists.
 STOPWORDS = (
@@ -118,18 +119,19 @@ def shingles_of_words(ws: Column, n: int) -> Column:
 
 
 def shingles(text: Column, n: int = 6) -> Column:
-    return shingles_of_words(words(text), n)
+    """Word n-grams of a text. The words are bound by a lambda, so they are split once, not per gram."""
+    return F.transform(F.array(words(text)), lambda ws: shingles_of_words(ws, n))[0]
 
 
 def content_words(text: Column) -> Column:
     """Distinct words longer than two characters that are not stop words."""
-    kept = F.array_except(words(text), F.lit(STOPWORDS))
+    kept = F.array_except(words(text), strings(STOPWORDS))
     return F.filter(kept, lambda w: F.length(w) > 2)
 
 
 def memory_terms(text: Column) -> Column:
     found = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_.\-]{3,}"), F.lit(0))
-    return F.array_except(found, F.lit(MEMORY_STOPWORDS))
+    return F.array_except(found, strings(MEMORY_STOPWORDS))
 
 
 def split_sentences(text: Column) -> Column:

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardspark.functions import regex
-from wardspark.operators.policy import compile_condition, policy_facts
+from wardspark.operators.policy import matching, policy_facts
 from wardspark.operators.scan import finding
+from wardspark.schema import FINDING_DDL
 from wardspark.session import ensure_checkpoint_dir
 
 
@@ -123,13 +124,14 @@ def audit_access(requests: DataFrame, permissions: DataFrame, closure: DataFrame
     )
 
 
-def condition_holds(condition: Any, *, roles: Column, tenant: Column, authenticated: Column, principal_id: Column,
-                    attributes: Column) -> Column:
-    """A permission's condition over the principal's attributes."""
-    none = F.array().cast("array<struct<detector:string,detected:boolean,score:double,severity:string,category:string,spans:array<struct<label:string>>,threats:array<string>>>")
-    facts = policy_facts(none, stage=F.lit(None).cast("string"), roles=roles, tenant=tenant, authenticated=authenticated,
-                         principal_id=principal_id, tags=attributes)
-    return compile_condition(condition, facts)
+def with_condition(requests: DataFrame, condition: Any, out: str = "holds", **principal: Column) -> DataFrame:
+    """Add whether a permission's condition holds for the principal.
+
+    Principal columns: roles, tenant, authenticated, principal_id, and attributes as ``tags``.
+    """
+    none = F.expr(f"cast(array() as array<{FINDING_DDL}>)")
+    facts = policy_facts(none, stage=F.lit(None).cast("string"), **principal)
+    return matching(requests, condition, facts, out)
 
 
 def access_denials(requests: DataFrame, access: DataFrame, limits: DataFrame | None = None, *, id_col: str = "event_id",

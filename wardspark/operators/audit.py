@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardspark.functions.ranks import ACTIONS, SEVERITIES, action_rank
-from wardspark.operators.policy import Policy, compile_condition, policy_facts, policy_traces
+from wardspark.operators.policy import Policy, apply_policy, policy_facts
 from wardspark.operators.taxonomy import coverage_report
 
 BLOCKED = ("block", "challenge")
@@ -327,12 +327,10 @@ def replayed(events: DataFrame, policy: Policy, full_facts: bool = False) -> Dat
         facts.update(threats=F.col("threats"), risk_score=F.col("risk_score"), risk_band=F.col("risk_band"))
     else:
         facts.update(threats=F.array().cast("array<string>"), risk_score=F.lit(0), risk_band=F.lit("none"))
-    named = {f"_fact_{k}": v for k, v in facts.items()}
-    held = {k: F.col(f"_fact_{k}") for k in facts}
     matched = F.filter("_traces", lambda t: t["matched"])
     ranked = F.transform(matched, lambda t: F.struct(action_rank(t["action"]).alias("r"), t["action"].alias("a")))
     return (
-        events.withColumns(named).withColumn("_traces", policy_traces(held, policy)).drop(*named)
+        apply_policy(events, policy, facts, out="_traces")
         .withColumn("new_action", F.coalesce(F.array_max(ranked)["a"], F.lit("allow")))
         .withColumn("rules", F.transform(matched, lambda t: t["rule_id"])).drop("_traces")
     )
@@ -441,10 +439,3 @@ def fleet_summary(instances: DataFrame) -> DataFrame:
         .unionByName(facet("policy_version", ref))
         .unionByName(facet("monitor_only", F.col("instance_id"), instances.filter("monitor_only")))
     )
-
-
-def rule_matches(condition: Any, facts: dict[str, Column]) -> Column:
-    """One condition over facts, for ad-hoc questions."""
-    return compile_condition(condition, facts)
-
-

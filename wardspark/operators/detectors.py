@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wardspark.functions import checks, regex, spans
+from wardspark.functions import checks, regex, spans, sqltext
 from wardspark.functions import text as X
 from wardspark.functions.ranks import AUTHORITY, REQUIRED_AUTHORITY, SEVERITIES, TIERS, authority, lookup, rank, tier_rank, worst
 from wardspark.operators import signals as S
@@ -18,6 +18,7 @@ from wardspark.operators.scan import (
     detector,
     entity_rows,
     finding,
+    hit_sql,
     hit_struct,
     ids,
     json_evidence,
@@ -34,8 +35,12 @@ from wardspark.operators.scan import (
 Options = Mapping[str, Any]
 
 
-def _lc(data: ScanInput) -> dict[str, Column]:
-    return {"_lc": regex.folded(data.text)}
+TEXT, LOWER = "_text", "_lc"
+
+
+def _text(data: ScanInput) -> list[dict[str, Column]]:
+    """Levels every scan starts with: the text under a fixed name, then its folded form."""
+    return [{TEXT: data.text}, {LOWER: regex.folded(F.col(TEXT))}]
 
 
 def _summary(prefix: str, names: Column) -> Column:
@@ -71,19 +76,18 @@ def pii_table(opts: Options) -> list[S.Entity]:
     return [e for e in table if not chosen or e.label in chosen]
 
 
-def pii_candidates(text: Column, lowered: Column, table: list[S.Entity]) -> Column:
-    """Labels whose pattern matches at all, before checksums."""
+def pii_candidates(text: str, lowered: str, table: list[S.Entity]) -> Column:
+    """Labels whose pattern matches at all, before checksums; arguments are column names."""
     built_in = {e.label for e in S.PII}
-    has_digit = text.rlike("[0-9]")
     tests = []
     for e in table:
-        hit = regex.search(text, e.lead + e.pattern, e.ignore_case)
+        hit = sqltext.rlike(text, e.lead + e.pattern, e.ignore_case)
         if e.label in S.PII_NEEDS:
-            hit = regex.contains_any(lowered, S.PII_NEEDS[e.label]) & hit
+            hit = f"{sqltext.any_word(lowered, S.PII_NEEDS[e.label])} AND {hit}"
         elif e.label in built_in:
-            hit = has_digit & hit
-        tests.append(F.when(hit, F.lit(e.label)))
-    return F.filter(F.array(*tests), lambda x: x.isNotNull())
+            hit = f"({text} RLIKE '[0-9]') AND {hit}"
+        tests.append((hit, sqltext.text(e.label)))
+    return sqltext.chosen(tests)
 
 
 def pii_spans(text: Column, candidates: Column, table: list[S.Entity]) -> Column:
@@ -100,7 +104,7 @@ def scan_pii(data: ScanInput, opts: Options) -> Scan:
     blocked = [b for b in opts.get("block_entities", ())]
     action = F.lit(opts.get("action", "redact"))
     if blocked:
-        action = F.when(F.arrays_overlap(_labels(found), F.lit(blocked)), "block").otherwise(action)
+        action = F.when(F.arrays_overlap(_labels(found), sqltext.strings(blocked)), "block").otherwise(action)
     sev = {e.label: e.severity for e in table}
     severity = worst(F.transform(found, lambda s: lookup(s["label"], sev)), SEVERITIES, "info")
     counts = F.map_from_entries(
@@ -115,9 +119,9 @@ def scan_pii(data: ScanInput, opts: Options) -> Scan:
             evidence=json_evidence(labels=_labels(found), counts=counts), options=opts,
         ),
         [
-            _lc(data),
-            {"_pii_cand": pii_candidates(data.text, F.col("_lc"), table)},
-            {"_pii_spans": pii_spans(data.text, F.col("_pii_cand"), table)},
+            *_text(data),
+            {"_pii_cand": pii_candidates(TEXT, LOWER, table)},
+            {"_pii_spans": pii_spans(F.col(TEXT), F.col("_pii_cand"), table)},
         ],
     )
 
@@ -125,12 +129,11 @@ def scan_pii(data: ScanInput, opts: Options) -> Scan:
 # --- credentials -------------------------------------------------------------------
 
 
-def vendor_hits(text: Column) -> Column:
-    tests = [
-        F.when(F.contains(text, F.lit(S.VENDOR_NEEDS[e.label])) & regex.search(text, e.pattern), F.lit(e.label))
+def vendor_hits(text: str) -> Column:
+    return sqltext.chosen([
+        (sqltext.guarded(text, text, e.pattern, (S.VENDOR_NEEDS[e.label],), False), sqltext.text(e.label))
         for e in S.VENDOR_TOKENS
-    ]
-    return F.filter(F.array(*tests), lambda x: x.isNotNull())
+    ])
 
 
 def assigned_secrets(text: Column, lowered: Column) -> Column:
@@ -160,10 +163,10 @@ def scan_secrets(data: ScanInput, opts: Options) -> Scan:
             options=opts,
         ),
         [
-            {**_lc(data), "_sec_vendor": vendor_hits(data.text)},
-            {"_sec_assigned": assigned_secrets(data.text, F.col("_lc"))},
+            *_text(data),
+            {"_sec_vendor": vendor_hits(TEXT), "_sec_assigned": assigned_secrets(F.col(TEXT), F.col(LOWER))},
             {"_sec_spans": F.concat(
-                table_spans(data.text, F.col("_sec_vendor"), entity_rows(S.VENDOR_TOKENS)), F.col("_sec_assigned")
+                table_spans(F.col(TEXT), F.col("_sec_vendor"), entity_rows(S.VENDOR_TOKENS)), F.col("_sec_assigned")
             )},
         ],
     )
@@ -208,9 +211,8 @@ def scan_prompt_injection(data: ScanInput, opts: Options) -> Scan:
     invisible_weight = float(opts.get("invisible_weight", S.INVISIBLE_WEIGHT))
 
     norm, dec = F.col("_inj_norm"), F.col("_inj_dec")
-    dec_hits = present([
-        F.when(F.exists(dec, lambda p: regex.search(p, s.pattern)), hit_struct("encoded:" + s.id, s.weight, s.family))
-        for s in [s._replace(pattern="(?i)" + s.pattern) for s in table]
+    dec_hits = sqltext.chosen([
+        (f"exists(_inj_dec, p -> {sqltext.rlike('p', s.pattern, True)})", hit_sql("encoded:" + s.id, s.weight, s.family)) for s in table
     ])
     side = present([
         F.when(F.size(F.col("_inj_dhits")) > 0, hit_struct("encoded", S.ENCODED_WEIGHT, "obfuscation")),
@@ -246,7 +248,7 @@ def scan_prompt_injection(data: ScanInput, opts: Options) -> Scan:
                 "_inj_dec": F.transform(X.decoded_segments(data.text, F.col("_inj_run")), X.undo_spacing),
             },
             {
-                "_inj_plain": signal_hits(norm, F.col("_inj_nlc"), table, long_run=F.col("_inj_nrun")),
+                "_inj_plain": signal_hits("_inj_norm", "_inj_nlc", table, long_run="_inj_nrun"),
                 "_inj_dhits": F.when(F.size(dec) > 0, dec_hits).otherwise(no_hits()),
             },
             {"_inj_hits": F.concat(F.col("_inj_plain"), F.col("_inj_dhits"), side)},
@@ -268,14 +270,14 @@ def scan_authority_claims(data: ScanInput, opts: Options) -> Scan:
     mapping = {**S.CLAIM_ROLES, **{k: tuple(v) for k, v in (opts.get("role_mapping") or {}).items()}}
     held = F.transform(data.roles_col, F.lower)
     claims = F.col("_auth_claims")
-    backed = present([
-        F.when(F.arrays_overlap(held, F.lit([r.lower() for r in roles])), hit_struct(claim, 0.0))
+    backed = F.transform(F.array(held), lambda mine: present([
+        F.when(F.arrays_overlap(mine, sqltext.strings([r.lower() for r in roles])), F.expr(hit_sql(claim, 0.0)))
         for claim, roles in mapping.items() if roles
-    ])
+    ]))[0] if data.roles is not None else no_hits()
     unverified = F.array_except(ids(claims), ids(F.col("_auth_backed")))
-    ask = regex.guarded(data.text, F.col("_lc"), S.SENSITIVE_ASK, (
+    ask = F.expr(sqltext.guarded(TEXT, LOWER, S.SENSITIVE_ASK, (
         "bypass", "disable", "override", "ignore", "skip", "unlock", "escalate", "grant", "delete", "drop",
-        "reveal", "dump", "export", "without"))
+        "reveal", "dump", "export", "without")))
     weak_source = authority(data.trust_col) <= AUTHORITY["tool"]
     anonymous = ~data.or_default("authenticated", False)
     all_verified = F.size(F.col("_auth_unverified")) == 0
@@ -300,8 +302,8 @@ def scan_authority_claims(data: ScanInput, opts: Options) -> Scan:
             options=opts,
         ),
         [
-            _lc(data),
-            {"_auth_claims": signal_hits(data.text, F.col("_lc"), list(S.AUTHORITY_CLAIMS)), "_auth_backed": backed},
+            *_text(data),
+            {"_auth_claims": signal_hits(TEXT, LOWER, S.AUTHORITY_CLAIMS), "_auth_backed": backed},
             {"_auth_unverified": unverified, "_auth_ask": F.when(F.size(claims) > 0, ask).otherwise(F.lit(False))},
             {"_auth_score": F.when(F.size(claims) == 0, 0.0).when(all_verified, 0.1).otherwise(
                 F.least(F.lit(1.0), raw))},
@@ -322,12 +324,11 @@ def top_token_share(text: Column, min_tokens: int) -> Column:
     def share(tokens: Column) -> Column:
         n = F.size(tokens)
 
-        def times(at: Column) -> Column:
-            word = F.element_at(tokens, at)
-            return F.size(F.filter(tokens, lambda t: t == word))
-
-        top = F.greatest(times(F.floor((n - 1) / 2).cast("int") + 1), times(F.floor(n / 2).cast("int") + 1))
-        return F.when(n >= min_tokens, top / n)
+        middle = F.array_distinct(F.array(
+            F.element_at(tokens, F.floor((n - 1) / 2).cast("int") + 1), F.element_at(tokens, F.floor(n / 2).cast("int") + 1)
+        ))
+        times = F.transform(middle, lambda w: F.size(F.filter(tokens, lambda t: t == w)))
+        return F.when(n >= min_tokens, F.array_max(times) / n)
 
     long_enough = F.length(text) >= 2 * min_tokens - 1
     return F.when(long_enough, F.transform(F.array(ordered), share)[0])
@@ -340,7 +341,7 @@ def scan_resource_abuse(data: ScanInput, opts: Options) -> Scan:
     chars = F.length(data.text) + data.or_default("history_chars", 0)
     share = float(opts.get("flood_share", S.FLOOD_SHARE))
     run = data.text.rlike(r"(?s)(.)\1{%d,}" % (S.RUN_LENGTH - 1))
-    endless = regex.guarded(data.text, F.col("_lc"), S.ENDLESS, ("repeat", "say", "write", "output", "print"))
+    endless = F.expr(sqltext.guarded(TEXT, LOWER, S.ENDLESS, ("repeat", "say", "write", "output", "print")))
     tests = [
         F.when(chars > int(opts.get("max_chars", S.MAX_CHARS)), hit_struct("oversized_prompt", 0.9)),
         F.when(data.or_default("history_messages", 0) > int(opts.get("max_messages", S.MAX_MESSAGES)),
@@ -362,7 +363,8 @@ def scan_resource_abuse(data: ScanInput, opts: Options) -> Scan:
             summary=_summary("resource abuse", ids(hits)), evidence=json_evidence(signals=ids(hits)), options=opts,
         ),
         [
-            {**_lc(data), "_ra_share": top_token_share(data.text, int(opts.get("flood_min_tokens", S.FLOOD_MIN_TOKENS)))},
+            *_text(data),
+            {"_ra_share": top_token_share(data.text, int(opts.get("flood_min_tokens", S.FLOOD_MIN_TOKENS)))},
             {"_ra_hits": present(tests)},
         ],
     )
@@ -390,10 +392,7 @@ def topic_table(opts: Options) -> list[tuple[str, str, str, tuple[str, ...]]]:
 @detector("banned_topics", stages=("input", "output", "stream"), category="content_policy")
 def scan_banned_topics(data: ScanInput, opts: Options) -> Scan:
     table = topic_table(opts)
-    found = F.filter(
-        F.array(*[F.when(regex.guarded(data.text, F.col("_lc"), p, w), F.lit(n)) for n, _, p, w in table]),
-        lambda x: x.isNotNull(),
-    )
+    found = sqltext.chosen([(sqltext.guarded(TEXT, LOWER, p, w), sqltext.text(n)) for n, _, p, w in table])
     names, hits = F.col("_ban_names"), F.col("_ban_spans")
     severity = worst(F.transform(names, lambda n: lookup(n, {t[0]: t[1] for t in table})), SEVERITIES, "info")
     rows = [(n, "banned:" + n, regex.java("", True), p) for n, _, p, _ in table]
@@ -405,7 +404,7 @@ def scan_banned_topics(data: ScanInput, opts: Options) -> Scan:
             span_list=spans.outermost_spans(spans.strip_text(hits)),
             evidence=json_evidence(categories=F.array_sort(names), matches=F.size(hits)), options=opts,
         ),
-        [_lc(data), {"_ban_names": found}, {"_ban_spans": table_spans(data.text, names, rows)}],
+        [*_text(data), {"_ban_names": found}, {"_ban_spans": table_spans(data.text, names, rows)}],
     )
 
 
@@ -457,7 +456,8 @@ def scan_secret_leakage(data: ScanInput, opts: Options) -> Scan:
             evidence=json_evidence(labels=_labels(found)), options=opts,
         ),
         [
-            {"_leak_vendor": vendor_hits(data.text)},
+            {TEXT: data.text},
+            {"_leak_vendor": vendor_hits(TEXT)},
             {"_leak_spans": F.concat(
                 registered, table_spans(data.text, F.col("_leak_vendor"), entity_rows(S.VENDOR_TOKENS, "credential:"))
             )},
@@ -584,11 +584,12 @@ def scan_unsafe_output(data: ScanInput, opts: Options) -> Scan:
                 F.when(F.size(links) > 0, link_spans).otherwise(spans.empty_spans(True)),
                 table_spans(data.text, ids(hits), signal_rows(table), first_only=True))),
             evidence=json_evidence(signals=ids(hits), hosts=F.transform(links, lambda x: x["host"])),
-            threats=F.when(rce, F.lit(["ASI05"])).otherwise(F.array().cast("array<string>")), options=opts,
+            threats=F.when(rce, sqltext.strings(["ASI05"])).otherwise(F.array().cast("array<string>")), options=opts,
         ),
         [
-            {**_lc(data), "_uo_links": exfil_links(data.text, opts.get("allowed_domains", ()))},
-            {"_uo_hits": F.concat(link_hits, signal_hits(data.text, F.col("_lc"), table))},
+            *_text(data),
+            {"_uo_links": exfil_links(data.text, opts.get("allowed_domains", ()))},
+            {"_uo_hits": F.concat(link_hits, signal_hits(TEXT, LOWER, table))},
         ],
     )
 
@@ -611,13 +612,13 @@ def scan_code_execution(data: ScanInput, opts: Options) -> Scan:
             severity=F.when(strong & (score >= 0.85), "critical").when(strong, "high").otherwise("low"),
             action=F.when(strong, "block").otherwise("flag"), summary=_summary("execution payload", ids(hits)),
             span_list=spans.strip_text(table_spans(data.text, ids(hits), signal_rows(both), first_only=True)),
-            evidence=json_evidence(signals=ids(hits), execution_sink=exec_sink), options=opts,
+            evidence=json_evidence(signals=ids(hits), execution_sink=F.col("_ce_sink")), options=opts,
         ),
         [
-            _lc(data),
+            *_text(data),
+            {"_ce_sink": exec_sink},
             {"_ce_hits": F.concat(
-                signal_hits(data.text, F.col("_lc"), list(S.EXEC_ALWAYS)),
-                signal_hits(data.text, F.col("_lc"), list(S.EXEC_INJECTED), also=~exec_sink),
+                signal_hits(TEXT, LOWER, S.EXEC_ALWAYS), signal_hits(TEXT, LOWER, S.EXEC_INJECTED, also="NOT _ce_sink"),
             )},
             {"_ce_score": saturate_hits(hits)},
         ],
@@ -627,9 +628,12 @@ def scan_code_execution(data: ScanInput, opts: Options) -> Scan:
 def sink_tier(tool: Column, table: Mapping[str, str] | None = None, default: str = "medium") -> Column:
     """The highest tier among the table's keys found in the tool name."""
     merged = {**S.SINK_TIERS, **(table or {})}
-    low = F.lower(tool)
-    ranks = [F.when(F.contains(low, F.lit(k)), F.lit(TIERS.index(t))) for k, t in merged.items()]
-    return F.coalesce(F.element_at(F.lit(list(TIERS)), F.greatest(*ranks) + 1), F.lit(default))
+    # The tool's name is bound once by the outer lambda.
+    top = F.transform(F.array(F.lower(tool)), lambda n: F.array_max(F.transform(
+        F.filter(F.expr("array(" + ", ".join(
+            f"named_struct('k', {sqltext.text(k)}, 't', {TIERS.index(t)})" for k, t in merged.items()) + ")"),
+            lambda e: F.contains(n, e["k"])), lambda e: e["t"])))[0]
+    return F.coalesce(F.element_at(sqltext.strings(TIERS), top + 1), F.lit(default))
 
 
 def flow_record(data: ScanInput, opts: Options | None = None) -> dict[str, Column]:
@@ -676,8 +680,8 @@ def scan_token_flow(data: ScanInput, opts: Options) -> Scan:
             evidence=json_evidence(dangerous_patterns=ids(hits), sink=rec["sink"], sink_risk=tier, authority_gap=gap),
             options=opts,
         ),
-        [_lc(data), {
-            "_tf_hits": signal_hits(data.text, F.col("_lc"), list(S.DANGEROUS_ARGUMENTS)), "_tf_tier": rec["sink_risk"],
+        [*_text(data), {
+            "_tf_hits": signal_hits(TEXT, LOWER, S.DANGEROUS_ARGUMENTS), "_tf_tier": rec["sink_risk"],
         }],
     )
 
@@ -711,8 +715,8 @@ def scan_tool_definitions(data: ScanInput, opts: Options) -> Scan:
             {"_tp_norm": X.normalise_text(data.text)},
             {"_tp_lc": regex.folded(norm)},
             {
-                "_tp_poison": signal_hits(norm, F.col("_tp_lc"), list(S.POISON)),
-                "_tp_inj": signal_hits(norm, F.col("_tp_lc"), list(S.INJECTION)),
+                "_tp_poison": signal_hits("_tp_norm", "_tp_lc", S.POISON),
+                "_tp_inj": signal_hits("_tp_norm", "_tp_lc", S.INJECTION),
             },
             {"_tp_hits": F.concat(F.col("_tp_poison"), extra)},
             {"_tp_score": saturate_hits(hits)},

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardspark.functions import regex
-from wardspark.functions.ranks import ACTIONS, BANDS, SEVERITIES, band_rank, severity_rank, worst
+from wardspark.functions import sqltext
+from wardspark.functions.ranks import ACTIONS, BANDS, SEVERITIES, worst
 from wardspark.operators.risk import RiskConfig
 from wardspark.schema import TRACE_DDL
 
 Facts = Mapping[str, Column]
+FactNames = Mapping[str, str]
 _STR = "array<string>"
 
 
@@ -84,62 +84,74 @@ LEAVES = (
 )
 
 
-def _leaf(key: str, value: Any, facts: Facts) -> Column:
+def _leaf(key: str, value: Any, facts: FactNames) -> str:
     if key in _SINGLE:
-        return regex.glob_match(facts[_SINGLE[key]], _list(value))
+        return sqltext.glob(facts[_SINGLE[key]], _list(value))
     if key in _ANY:
-        return regex.glob_match_any(facts[_ANY[key]], _list(value))
+        return sqltext.glob_any(facts[_ANY[key]], _list(value))
     if key in _NONE_OF:
-        return ~regex.glob_match_any(facts[_NONE_OF[key]], _list(value))
+        return f"NOT {sqltext.glob_any(facts[_NONE_OF[key]], _list(value))}"
     if key == "authenticated":
-        return facts["authenticated"] == F.lit(bool(value))
+        return f"{facts['authenticated']} = {sqltext.literal(bool(value))}"
     if key == "severity_at_least":
         if value not in SEVERITIES:
             raise PolicyError(f"unknown severity {value!r}")
-        return severity_rank(facts["severity"]) >= SEVERITIES.index(value)
+        return f"array_position({sqltext.array(SEVERITIES)}, {facts['severity']}) > {SEVERITIES.index(value)}"
     if key == "score_at_least":
-        return F.coalesce(facts["max_score"], F.lit(0.0)) >= float(value)
+        return f"coalesce({facts['max_score']}, 0.0D) >= {float(value)!r}D"
     if key == "risk_at_least":
         if value not in BANDS:
             raise PolicyError(f"unknown risk band {value!r}")
-        return band_rank(F.coalesce(facts["risk_band"], F.lit("none"))) >= BANDS.index(value)
+        return f"array_position({sqltext.array(BANDS)}, coalesce({facts['risk_band']}, 'none')) > {BANDS.index(value)}"
     if key == "risk_score_at_least":
-        return F.coalesce(facts["risk_score"], F.lit(0)) >= int(value)
+        return f"coalesce({facts['risk_score']}, 0) >= {int(value)}"
     if key == "tag":
         if not isinstance(value, Mapping):
             raise PolicyError("'tag' takes a mapping of tag to expected values")
-        tests = [regex.glob_match(facts["tags"][str(k)], [_text(x) for x in _list(v)]) for k, v in value.items()]
-        return reduce(lambda a, b: a & b, tests, F.lit(True))
+        tests = [sqltext.glob(f"{facts['tags']}[{sqltext.text(str(k))}]", [_text(x) for x in _list(v)]) for k, v in value.items()]
+        return " AND ".join(tests) or "true"
     if key == "content_matches":
-        tests = [regex.search(F.coalesce(facts["payload"], F.lit("")), p, True) for p in _list(value)]
-        return reduce(lambda a, b: a | b, tests, F.lit(False))
-    return F.lit(bool(value))
+        return " OR ".join(sqltext.rlike(f"coalesce({facts['payload']}, '')", p, True) for p in _list(value)) or "false"
+    return sqltext.literal(bool(value))
 
 
-def compile_condition(spec: Any, facts: Facts) -> Column:
-    """A ``when`` tree as one boolean column that is never null."""
+def condition_sql(spec: Any, facts: FactNames) -> str:
+    """A ``when`` tree as one boolean SQL expression that is never null."""
     if spec is None:
-        return F.lit(True)
+        return "true"
     if isinstance(spec, bool):
-        return F.lit(spec)
+        return sqltext.literal(spec)
     if isinstance(spec, (list, tuple)):
-        return reduce(lambda a, b: a & b, [compile_condition(s, facts) for s in spec], F.lit(True))
+        return " AND ".join(f"({condition_sql(s, facts)})" for s in spec) or "true"
     if not isinstance(spec, Mapping):
         raise PolicyError(f"a condition is a mapping or a list, not {type(spec).__name__}")
-    out = F.lit(True)
+    parts = []
     for key, value in spec.items():
         if key == "all":
-            part = compile_condition(_list(value), facts)
+            parts.append(condition_sql(_list(value), facts))
         elif key == "any":
-            part = reduce(lambda a, b: a | b, [compile_condition(s, facts) for s in _list(value)], F.lit(False))
+            parts.append(" OR ".join(f"({condition_sql(s, facts)})" for s in _list(value)) or "false")
         elif key in ("not", "none"):
-            part = ~compile_condition(value, facts)
+            parts.append(f"NOT ({condition_sql(value, facts)})")
         elif key in LEAVES:
-            part = F.coalesce(_leaf(key, value, facts), F.lit(False))
+            parts.append(f"coalesce({_leaf(key, value, facts)}, false)")
         else:
             raise PolicyError(f"unknown condition {key!r}")
-        out = out & part
-    return out
+    return " AND ".join(f"({p})" for p in parts) or "true"
+
+
+PREFIX = "_fact_"
+
+
+def with_facts(df: DataFrame, facts: Facts) -> tuple[DataFrame, FactNames]:
+    """Facts as columns of ``df``, computed once however many rules read them, and their names."""
+    return df.withColumns({PREFIX + k: v for k, v in facts.items()}), {k: PREFIX + k for k in facts}
+
+
+def matching(df: DataFrame, spec: Any, facts: Facts, out: str = "matched") -> DataFrame:
+    """Add whether one condition holds."""
+    df, names = with_facts(df, facts)
+    return df.withColumn(out, F.expr(condition_sql(spec, names))).drop(*names.values())
 
 
 @dataclass(frozen=True)
@@ -193,35 +205,29 @@ class Policy:
         )
 
 
-def policy_traces(facts: Facts, policy: Policy, dry_run: bool = False) -> Column:
+def policy_traces(facts: FactNames, policy: Policy, dry_run: bool = False) -> Column:
     """Matched rules in order, up to the first that stops; the default action if none matches."""
 
-    def trace(rule: Rule | None) -> Column:
+    def trace(rule: Rule | None) -> str:
         action = policy.default_action if rule is None else ("allow" if dry_run else rule.action)
-        matched = True if rule is not None else policy.default_action != "allow"
+        matched = rule is not None or policy.default_action != "allow"
         note = "no rule matched; policy default applied" if rule is None else rule.message
         if rule is not None and dry_run:
             note = f"[dry-run: would {rule.action}] {note}"
-        return F.struct(
-            F.lit(policy.id).alias("policy_id"), F.lit(policy.version).alias("policy_version"),
-            F.lit(rule.id if rule else None).cast("string").alias("rule_id"), F.lit(matched).alias("matched"),
-            F.lit(action).alias("action"), F.lit(None).cast("double").alias("elapsed_ms"), F.lit(note).alias("note"),
-        ).cast(TRACE_DDL)
+        fields = [policy.id, policy.version, rule.id if rule else None, matched, action, None, note]
+        return f"cast(struct({', '.join(sqltext.literal(v) for v in fields)}) as {TRACE_DDL})"
 
     if not policy.rules:
-        return F.array(trace(None))
-    matches = F.filter(
-        F.array(*[
-            F.when(compile_condition(r.when, facts), F.struct(F.lit(r.stop and not dry_run).alias("stop"), trace(r).alias("trace")))
-            for r in policy.rules
-        ]),
-        lambda m: m.isNotNull(),
-    )
+        return F.expr(f"array({trace(None)})")
+    matches = sqltext.chosen([
+        (condition_sql(r.when, facts), f"named_struct('stop', {sqltext.literal(r.stop and not dry_run)}, 'trace', {trace(r)})")
+        for r in policy.rules
+    ])
 
     def cut(ms: Column) -> Column:
         first_stop = F.array_position(F.transform(ms, lambda m: m["stop"]), F.lit(True)).cast("int")
         kept = F.when(first_stop > 0, F.slice(ms, F.lit(1), first_stop)).otherwise(ms)
-        return F.when(F.size(ms) == 0, F.array(trace(None))).otherwise(F.transform(kept, lambda m: m["trace"]))
+        return F.when(F.size(ms) == 0, F.expr(f"array({trace(None)})")).otherwise(F.transform(kept, lambda m: m["trace"]))
 
     # Bound once by the outer lambda, so the rule conditions are evaluated a single time.
     return F.transform(F.array(matches), cut)[0]
@@ -237,4 +243,5 @@ def combined_action(findings: Column, traces: Column) -> Column:
 
 
 def apply_policy(df: DataFrame, policy: Policy, facts: Facts, dry_run: bool = False, out: str = "policy_traces") -> DataFrame:
-    return df.withColumn(out, policy_traces(facts, policy, dry_run))
+    df, names = with_facts(df, facts)
+    return df.withColumn(out, policy_traces(names, policy, dry_run)).drop(*names.values())

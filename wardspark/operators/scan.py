@@ -16,7 +16,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardspark.functions import regex, spans
+from wardspark.functions import regex, spans, sqltext
 from wardspark.operators.signals import Entity, Signal
 from wardspark.schema import FINDING_DDL
 
@@ -133,29 +133,15 @@ def finding(
     no_spans = spans.empty_spans()
     no_names = F.array().cast("array<string>")
 
-    def row(detected: bool, *, score_: Column, severity_: Column, action_: Column, summary_: Column,
-            spans_: Column, evidence_: Column, threats_: Column) -> Column:
-        return F.struct(
-            F.lit(name).alias("detector"), F.lit(detected).alias("detected"),
-            score_.cast("double").alias("score"), severity_.alias("severity"), action_.alias("action"),
-            summary_.alias("summary"), F.lit(category).alias("category"), spans_.alias("spans"),
-            evidence_.cast("string").alias("evidence"), F.lit(None).cast("double").alias("elapsed_ms"),
-            F.lit(None).cast("string").alias("error"), threats_.alias("threats"),
-        ).cast(FINDING_DDL)
-
-    found = row(
-        True,
-        score_=F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)),
-        severity_=severity,
-        action_=F.lit(override) if override else action,
-        summary_=summary if summary is not None else F.lit(name),
-        spans_=span_list if span_list is not None else no_spans,
-        evidence_=evidence if evidence is not None else F.lit(None),
-        threats_=threats if threats is not None else no_names,
-    )
-    clean = row(
-        False, score_=F.lit(0.0), severity_=F.lit("info"), action_=F.lit("allow"), summary_=F.lit(""),
-        spans_=no_spans, evidence_=F.lit(None), threats_=no_names,
+    found = F.struct(
+        F.lit(name), F.lit(True), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), severity,
+        F.lit(override) if override else action, summary if summary is not None else F.lit(name), F.lit(category),
+        span_list if span_list is not None else no_spans, evidence if evidence is not None else F.lit(None),
+        F.lit(None), F.lit(None), threats if threats is not None else no_names,
+    ).cast(FINDING_DDL)
+    clean = F.expr(
+        f"cast(struct({sqltext.text(name)}, false, 0.0D, 'info', 'allow', '', {sqltext.text(category)}, array(), NULL, NULL, NULL, "
+        f"array()) as {FINDING_DDL})"
     )
     return F.when(F.coalesce(hit, F.lit(False)), found).otherwise(clean)
 
@@ -169,17 +155,21 @@ def hit_struct(id_: str, weight: float | Column, family: str = "") -> Column:
     return F.struct(F.lit(id_).alias("id"), w.alias("weight"), F.lit(family).alias("family"))
 
 
+def hit_sql(id_: str, weight: float, family: str = "") -> str:
+    return f"named_struct('id', {sqltext.text(id_)}, 'weight', {float(weight)!r}D, 'family', {sqltext.text(family)})"
+
+
 def signal_hits(
-    text: Column, lowered: Column, signals: Sequence[Signal], also: Column | None = None, long_run: Column | None = None
+    text: str, lowered: str, signals: Sequence[Signal], also: str | None = None, long_run: str | None = None
 ) -> Column:
-    """The matched signals of a table, in table order."""
+    """The matched signals of a table, in table order; arguments are column names or SQL conditions."""
     tests = []
     for s in signals:
-        test = regex.guarded(text, lowered, s.pattern, s.words, s.ignore_case)
+        test = sqltext.guarded(text, lowered, s.pattern, s.words, s.ignore_case)
         if s.id == "base64_blob" and long_run is not None:
-            test = long_run & test
-        tests.append(F.when(test if also is None else also & test, hit_struct(s.id, s.weight, s.family)))
-    return present(tests)
+            test = f"{long_run} AND {test}"
+        tests.append((test if also is None else f"{also} AND {test}", hit_sql(s.id, s.weight, s.family)))
+    return sqltext.chosen(tests, _HITS[6:-1]).cast(_HITS)
 
 
 def present(structs: Sequence[Column]) -> Column:
@@ -213,10 +203,10 @@ def table_spans(text: Column, hit_ids: Column, rows: Sequence[tuple[str, str, st
     The rules are one literal array walked by a lambda, so the plan stays small however
     long the table is, and only rows that hit pay for offsets.
     """
-    rules = F.array(*[
-        F.struct(F.lit(i).alias("id"), F.lit(label).alias("label"), F.lit(lead).alias("lead"), F.lit(p).alias("pattern"))
-        for i, label, lead, p in rows
-    ])
+    t = sqltext.text
+    rules = F.expr("array(" + ", ".join(
+        f"named_struct('id', {t(i)}, 'label', {t(label)}, 'lead', {t(lead)}, 'pattern', {t(p)})" for i, label, lead, p in rows
+    ) + ")")
     wanted = F.filter(rules, lambda r: F.array_contains(hit_ids, r["id"]))
 
     def of(rule: Column) -> Column:

@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardspark.functions import sqltext
+
 
 class Threat(NamedTuple):
     id: str
@@ -111,10 +113,7 @@ def threat_catalog(spark: SparkSession) -> DataFrame:
 
 
 def _map(table: dict) -> Column:
-    entries: list[Column] = []
-    for key, value in table.items():
-        entries += [F.lit("|".join(key) if isinstance(key, tuple) else key), F.lit(list(value))]
-    return F.create_map(*entries)
+    return F.expr(sqltext.mapping({"|".join(k) if isinstance(k, tuple) else k: list(v) for k, v in table.items()}))
 
 
 def threats_for(category: Column, stage: Column, explicit: Column | None = None) -> Column:
@@ -129,7 +128,7 @@ def threats_for(category: Column, stage: Column, explicit: Column | None = None)
         ),
     )
     named = mapped if explicit is None else F.concat(mapped, F.coalesce(explicit, none))
-    known = F.array_intersect(F.array_distinct(named), F.lit(list(BY_ID)))
+    known = F.array_intersect(F.array_distinct(named), sqltext.strings(BY_ID))
     return F.when(category.isin(*INTERNAL_CATEGORIES), none).otherwise(known)
 
 
@@ -146,7 +145,7 @@ def annotate_threats(findings: Column, stage: Column) -> Column:
 def threat_ids(findings: Column) -> Column:
     """Union over fired findings, in catalogue order."""
     seen = F.flatten(F.transform(F.filter(findings, lambda f: f["detected"]), lambda f: f["threats"]))
-    return F.array_intersect(F.lit(list(BY_ID)), seen)
+    return F.array_intersect(sqltext.strings(BY_ID), seen)
 
 
 def first_seen_threats(findings: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wardspark.functions.text import digest
 from wardspark.operators.bundles import bundled
 from wardspark.operators.decision import decision_fields, monitor_only as soften
-from wardspark.operators.policy import Policy, policy_facts, policy_traces
+from wardspark.operators.policy import Policy, policy_facts, policy_traces, with_facts
 from wardspark.operators.redact import audit_payload, redacted_payload
 from wardspark.operators.risk import assess_risk, risk_trace
 from wardspark.operators.scan import ScanInput
@@ -43,14 +43,11 @@ def decide(
         **({"trust": trust} if trust is not None else {}), **({"tool": tool} if tool is not None else {}), **ctx,
     )
     # Facts are materialised once: rules read plain columns, not the finding array again.
-    named = {f"_fact_{k}": v for k, v in facts.items()}
-    df = df.withColumns(named)
-    held = {k: F.col(f"_fact_{k}") for k in facts}
+    df, names = with_facts(df, facts)
     by_risk = F.array(risk_trace(F.col("risk"), policy.id, policy.version, policy.risk, dry_run))
     df = df.withColumn(
-        "policy_traces",
-        F.concat(policy_traces(held, policy, dry_run), F.filter(by_risk, lambda t: t.isNotNull())),
-    ).drop(*named)
+        "policy_traces", F.concat(policy_traces(names, policy, dry_run), F.filter(by_risk, lambda t: t.isNotNull()))
+    ).drop(*names.values())
     return decision_fields(df)
 
 
