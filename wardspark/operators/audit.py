@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wardspark.functions.ranks import ACTIONS, SEVERITIES, action_rank
 from wardspark.operators.policy import Policy, apply_policy, policy_facts
+from wardspark.operators.scan import settle
 from wardspark.operators.taxonomy import coverage_report
 
 BLOCKED = ("block", "challenge")
@@ -329,11 +330,12 @@ def replayed(events: DataFrame, policy: Policy, full_facts: bool = False) -> Dat
         facts.update(threats=F.array().cast("array<string>"), risk_score=F.lit(0), risk_band=F.lit("none"))
     matched = F.filter("_traces", lambda t: t["matched"])
     ranked = F.transform(matched, lambda t: F.struct(action_rank(t["action"]).alias("r"), t["action"].alias("a")))
-    return (
+    out = (
         apply_policy(events, policy, facts, out="_traces")
         .withColumn("new_action", F.coalesce(F.array_max(ranked)["a"], F.lit("allow")))
         .withColumn("rules", F.transform(matched, lambda t: t["rule_id"])).drop("_traces")
     )
+    return settle(out, "new_action", "rules")
 
 
 def policy_dry_run(events: DataFrame, policy: Policy, full_facts: bool = False) -> DataFrame:

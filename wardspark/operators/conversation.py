@@ -18,7 +18,7 @@ from wardspark.functions import regex
 from wardspark.functions import text as X
 from wardspark.functions.ranks import AUTHORITY, lookup
 from wardspark.operators import signals as S
-from wardspark.operators.scan import finding, json_evidence
+from wardspark.operators.scan import finding, json_evidence, settle
 
 # How a message's role maps to trust and boundary.
 ROLE_TRUST = {"system": "system", "developer": "system", "user": "user", "assistant": "user", "tool": "tool", "function": "tool"}
@@ -175,8 +175,9 @@ def trajectory_signals(messages: DataFrame, key: str = "conv_id", window: int =
         "topic_drift": F.col("_drift.score"),
         "decomposition": decomposition(F.col("questions"), F.col("_lengths"), F.col("_drift.topic")),
     })
-    return df.select(key, "user_turns", "refusals", "persistence_markers", "questions", "drift_topic",
-                     "refusal_pressure", "topic_drift", "decomposition")
+    names = ("user_turns", "refusals", "persistence_markers", "questions", "drift_topic", "refusal_pressure", "topic_drift",
+             "decomposition")
+    return settle(df.select(key, *names), *names)
 
 
 def scan_trajectory(messages: DataFrame, key: str = "conv_id", threshold: float = S.TRAJECTORY_THRESHOLD,
@@ -198,7 +199,7 @@ def scan_trajectory(messages: DataFrame, key: str = "conv_id", threshold: float
         evidence=json_evidence(refusals=F.col("refusals"), persistence_markers=F.col("persistence_markers"),
                                turns_analysed=F.col("user_turns"), drift_topic=F.col("drift_topic")),
     )
-    return sig.withColumn("trajectory", found)
+    return settle(sig.withColumn("trajectory", found), "score", "trajectory")
 
 
 def scan_prompt_overlap(outputs: DataFrame, prompts: DataFrame, key: str = "conv_id", output_id: str = "turn",
@@ -209,7 +210,7 @@ def scan_prompt_overlap(outputs: DataFrame, prompts: DataFrame, key: str = "conv
     the shuffle and joined on (key, gram), so one hot conversation spreads over its grams.
     """
     def hashed(df: DataFrame) -> Column:
-        return F.explode(F.transform(X.shingles(F.col("text"), ngram), F.xxhash64)).alias("_g")
+        return F.explode(F.transform(X.shingles(F.col("text"), ngram), lambda g: F.xxhash64(g))).alias("_g")
 
     system = prompts.select(key, hashed(prompts)).distinct()
     totals = system.groupBy(key).agg(F.count("*").alias("system_ngrams"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardspark.functions.ranks import SEVERITIES, action_rank, worst
 from wardspark.operators.policy import combined_action
+from wardspark.operators.scan import settle
 from wardspark.operators.taxonomy import first_seen_threats
 from wardspark.schema import FINDING_DDL
 
@@ -49,7 +50,7 @@ def reasons(findings: Column) -> Column:
 def decision_fields(df: DataFrame, findings: str = "findings", traces: str = "policy_traces") -> DataFrame:
     """Add action, severity, threats, reasons (detector names), allowed and blocked."""
     f = F.col(findings)
-    return (
+    out = (
         df.withColumn("action", combined_action(f, F.col(traces)))
         .withColumn("severity", worst(F.transform(F.filter(f, lambda x: x["detected"]), lambda x: x["severity"]), SEVERITIES, "info"))
         .withColumn("threats", first_seen_threats(f))
@@ -57,6 +58,7 @@ def decision_fields(df: DataFrame, findings: str = "findings", traces: str = "po
         .withColumn("allowed", F.col("action").isin("allow", "flag", "redact"))
         .withColumn("blocked", F.col("action") == "block")
     )
+    return settle(out, "action", "severity", "threats", "reasons", "allowed", "blocked")
 
 
 def fail_closed(df: DataFrame, fail_mode: Column) -> DataFrame:

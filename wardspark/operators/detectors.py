@@ -628,12 +628,12 @@ def scan_code_execution(data: ScanInput, opts: Options) -> Scan:
 def sink_tier(tool: Column, table: Mapping[str, str] | None = None, default: str = "medium") -> Column:
     """The highest tier among the table's keys found in the tool name."""
     merged = {**S.SINK_TIERS, **(table or {})}
-    # The tool's name is bound once by the outer lambda.
-    top = F.transform(F.array(F.lower(tool)), lambda n: F.array_max(F.transform(
-        F.filter(F.expr("array(" + ", ".join(
-            f"named_struct('k', {sqltext.text(k)}, 't', {TIERS.index(t)})" for k, t in merged.items()) + ")"),
-            lambda e: F.contains(n, e["k"])), lambda e: e["t"])))[0]
-    return F.coalesce(F.element_at(sqltext.strings(TIERS), top + 1), F.lit(default))
+    table_sql = ", ".join(f"named_struct('k', {sqltext.text(k)}, 't', {TIERS.index(t)})" for k, t in merged.items())
+    name = F.lower(tool)
+    top = F.aggregate(
+        F.expr(f"array({table_sql})"), F.lit(-1), lambda best, e: F.when(F.contains(name, e["k"]), F.greatest(best, e["t"])).otherwise(best)
+    )
+    return F.when(top >= 0, F.element_at(sqltext.strings(TIERS), F.greatest(top, F.lit(0)) + 1)).otherwise(F.lit(default))
 
 
 def flow_record(data: ScanInput, opts: Options | None = None) -> dict[str, Column]:

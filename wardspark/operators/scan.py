@@ -94,6 +94,17 @@ def detector(name: str, **kw: Any) -> Callable:
     return wrap
 
 
+def settle(df: DataFrame, *names: str) -> DataFrame:
+    """Put computed columns behind a one-row generator.
+
+    A filter on a computed column is otherwise inlined through every projection that led to
+    it, which multiplies the expressions. It stays above this node instead, while filters on
+    other columns still pass through. No shuffle, one output row per input row.
+    """
+    keep = [c for c in df.columns if c not in names]
+    return df.select(*keep, F.inline(F.array(F.struct(*names))))
+
+
 def run_scans(df: DataFrame, scans: Sequence[Scan], out: str = "findings") -> DataFrame:
     """Add ``out``, the array of findings in the order of ``scans``."""
     temps: dict[str, None] = {}
@@ -105,7 +116,7 @@ def run_scans(df: DataFrame, scans: Sequence[Scan], out: str = "findings") -> Da
         temps.update(dict.fromkeys(cols))
         df = df.withColumns(cols)
     found = F.array(*[s.finding.cast(FINDING_DDL) for s in scans]) if scans else F.array().cast(f"array<{FINDING_DDL}>")
-    return df.withColumn(out, found).drop(*temps)
+    return settle(df.withColumn(out, found).drop(*temps), out)
 
 
 def run_scan(df: DataFrame, scan: Scan, out: str | None = None) -> DataFrame:

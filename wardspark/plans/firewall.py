@@ -14,7 +14,7 @@ from wardspark.operators.decision import decision_fields, monitor_only as soften
 from wardspark.operators.policy import Policy, policy_facts, policy_traces, with_facts
 from wardspark.operators.redact import audit_payload, redacted_payload
 from wardspark.operators.risk import assess_risk, risk_trace
-from wardspark.operators.scan import ScanInput
+from wardspark.operators.scan import ScanInput, settle
 from wardspark.operators.taxonomy import annotate_threats
 from wardspark.plans.stages import scan_all
 
@@ -48,7 +48,7 @@ def decide(
     df = df.withColumn(
         "policy_traces", F.concat(policy_traces(names, policy, dry_run), F.filter(by_risk, lambda t: t.isNotNull()))
     ).drop(*names.values())
-    return decision_fields(df)
+    return settle(decision_fields(df), "findings", "risk", "policy_traces")
 
 
 def screen(

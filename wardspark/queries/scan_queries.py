@@ -70,7 +70,7 @@ def _secrets(spark, sf):
 def _fam_sql(text: str) -> str:
     fams: dict[str, list[str]] = {}
     for s in S.INJECTION:
-        fams.setdefault(s.family, []).append(f"CASE WHEN regexp_matches({text}, {re2(s.pattern, True)}) THEN {s.weight} ELSE 0 END")
+        fams.setdefault(s.family, []).append(f"CASE WHEN regexp_matches({text}, {re2(s.pattern, True)}) THEN {s.weight}::DOUBLE ELSE 0 END")
     return " * ".join("(1 - greatest(" + ", ".join(v) + ", 0))" for v in fams.values())
 
 
@@ -105,7 +105,7 @@ def _claims_sql() -> str:
 @query("scan_authority_claims", f"""
 WITH {PLANTED_SQL}, c AS (SELECT doc_id, {_claims_sql()} AS claims, regexp_matches(text, {re2(S.SENSITIVE_ASK, True)}) AS ask, doc_id % 2 = 0 AS known FROM planted),
 s AS (SELECT *, claims = 'owner,' AS backed, 0.5 + CASE WHEN ask THEN 0.3 ELSE 0 END + CASE WHEN known THEN 0 ELSE 0.1 END AS raw FROM c WHERE claims <> '')
-SELECT doc_id, claims, round(CASE WHEN backed THEN 0.1 ELSE least(1.0, raw) END, 4) AS score, CASE WHEN backed THEN 'info' ELSE 'high' END AS severity,
+SELECT doc_id, claims, round(CAST(CASE WHEN backed THEN 0.1 ELSE least(1.0, raw) END AS DOUBLE), 4) AS score, CASE WHEN backed THEN 'info' ELSE 'high' END AS severity,
  CASE WHEN backed THEN 'flag' ELSE 'challenge' END AS action FROM s""")
 def _authority(spark, sf):
     out = _scan(planted(spark, sf), "authority_claim", "input", roles=F.array(F.lit("Owner")), authenticated=F.col("doc_id") % 2 == 0)
@@ -119,7 +119,7 @@ WITH {PLANTED_SQL}, t AS (SELECT doc_id, text, unnest(regexp_extract_all(lower(t
 g AS (SELECT doc_id, max(n) AS top, sum(n) AS total FROM (SELECT doc_id, w, count(*) AS n FROM t GROUP BY ALL) GROUP BY 1),
 s AS (SELECT p.doc_id, CASE WHEN length(text) > 20000 THEN 0.9 ELSE 0 END AS big, CASE WHEN g.total >= 200 AND g.top >= 0.1 * g.total THEN 0.7 ELSE 0 END AS flood,
  CASE WHEN regexp_matches(text, {re2(S.ENDLESS, True)}) THEN 0.55 ELSE 0 END AS endless FROM planted p LEFT JOIN g USING (doc_id))
-SELECT doc_id, greatest(big, endless) AS score, CASE WHEN greatest(big, endless) >= 0.6 THEN 'block' ELSE 'flag' END AS action FROM s WHERE greatest(big, endless) > 0""")
+SELECT doc_id, CAST(greatest(big, endless) AS DOUBLE) AS score, CASE WHEN greatest(big, endless) >= 0.6 THEN 'block' ELSE 'flag' END AS action FROM s WHERE greatest(big, endless) > 0""")
 def _abuse(spark, sf):
     out = _scan(planted(spark, sf), "resource_abuse", "input", options={"max_chars": 20_000}).filter("f.detected")
     return out.select("doc_id", "f.score", "f.action")
@@ -165,7 +165,7 @@ def _pages(spark, sf):
 
 
 def _sat(signals, extra: str = "") -> str:
-    return " * ".join(f"(1 - CASE WHEN {extra}regexp_matches(text, {re2(s.pattern, True)}) THEN {s.weight} ELSE 0 END)" for s in signals)
+    return " * ".join(f"(1 - CASE WHEN {extra}regexp_matches(text, {re2(s.pattern, True)}) THEN {s.weight}::DOUBLE ELSE 0 END)" for s in signals)
 
 
 @query("scan_code_execution", f"""
@@ -188,7 +188,7 @@ _DANGER_SQL = " OR ".join(f"regexp_matches(text, {re2(s.pattern, True)})" for s
 WITH {CALLS_SQL}, r AS (SELECT *, {_TIER} AS tier, {_DANGER_SQL} OR regexp_matches(text, {re2(r"https?://[^\s'\"]{4,}", True)}) AS danger,
  CASE trust WHEN 'user' THEN 3 WHEN 'tool' THEN 2 WHEN 'retrieved' THEN 1 ELSE 0 END AS au FROM calls),
 g AS (SELECT *, CASE tier WHEN 'low' THEN 1 WHEN 'medium' THEN 3 ELSE 4 END - au AS gap FROM r)
-SELECT doc_id, tool, tier, round(CASE WHEN danger AND tier IN ('high', 'critical') THEN 1.0 WHEN gap > 0 THEN least(1.0, 0.6 + 0.15 * gap) WHEN danger THEN 0.4 ELSE 0.35 END, 4) AS score,
+SELECT doc_id, tool, tier, round(CAST(CASE WHEN danger AND tier IN ('high', 'critical') THEN 1.0 WHEN gap > 0 THEN least(1.0, 0.6 + 0.15 * gap) WHEN danger THEN 0.4 ELSE 0.35 END AS DOUBLE), 4) AS score,
  CASE WHEN danger AND tier IN ('high', 'critical') THEN 'block' WHEN gap > 0 THEN 'block' ELSE 'flag' END AS action
 FROM g WHERE danger OR gap > 0 OR (contains(tool, 'write') AND au <= 1)""")
 def _flow(spark, sf):
@@ -308,7 +308,7 @@ def _trajectory(spark, sf):
 
 @query("detect_rug_pulls", """
 WITH d AS (SELECT o_orderkey, 's' || (o_custkey % 7) AS server, 'tool' || (o_custkey % 50) AS name, epoch_us(o_orderdate) // 1000 AS ts_ms, o_orderstatus AS fp FROM orders),
-p AS (SELECT server, name, arg_min(fp, ts_ms * 1000000000 + o_orderkey) AS pinned FROM d GROUP BY ALL)
+p AS (SELECT server, name, arg_min(fp, CAST(ts_ms AS HUGEINT) * 1000000000 + o_orderkey) AS pinned FROM d GROUP BY ALL)
 SELECT server, name, count(*) AS definitions, count(*) FILTER (WHERE fp <> pinned) AS changed FROM d JOIN p USING (server, name) GROUP BY ALL""")
 def _rug(spark, sf):
     """Orders as published tool definitions whose description follows the status."""
@@ -332,7 +332,7 @@ def _tooldefs(spark, sf):
 @query("tool_fingerprint", """
 SELECT p_type, count(DISTINCT sha256('{"description":"' || p_name || '","name":"' || p_brand || '","schema":{"size":' || p_size || '}}')) AS fingerprints, count(*) AS tools FROM part GROUP BY 1""")
 def _fingerprint(spark, sf):
-    body = F.to_json(F.struct(F.struct(F.col("p_size").alias("size")).alias("parameters"), F.col("p_brand").alias("name"), F.col("p_name").alias("description")))
+    body = F.format_string('{"parameters": {"size": %d}, "name": "%s", "description": "%s"}', "p_size", "p_brand", "p_name")
     p = table(spark, sf, "part").select("p_type", tool_fingerprint(body).alias("fp"))
     return p.groupBy("p_type").agg(F.count_distinct("fp").alias("fingerprints"), F.count("*").alias("tools"))
 
