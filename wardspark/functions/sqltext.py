@@ -38,8 +38,8 @@ def array(values: Iterable[object]) -> str:
     return f"array({', '.join(items)})" if items else "cast(array() as array<string>)"
 
 
-def mapping(table: Mapping[str, object]) -> str:
-    return "map(" + ", ".join(f"{text(k)}, {literal(v)}" for k, v in table.items()) + ")"
+def mapping(table: Mapping[object, object]) -> str:
+    return "map(" + ", ".join(f"{literal(k)}, {literal(v)}" for k, v in table.items()) + ")"
 
 
 def strings(values: Iterable[str]) -> Column:

@@ -8,6 +8,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from wardspark.functions import regex
 from wardspark.operators.policy import matching, policy_facts
@@ -95,7 +96,7 @@ def audit_access(requests: DataFrame, permissions: DataFrame, closure: DataFrame
         triples_roles = triples.withColumn("_role", F.col("role"))
     rules = permissions.select(
         F.col("role").alias("_role"), F.col("resource_type").alias("_type"), "pattern", "effect",
-        F.udf(regex.glob_regex)("pattern").alias("_re"),
+        F.udf(lambda g: regex.glob_regex(g), StringType())("pattern").alias("_re"),
     )
     small = permissions.limit(max_permissions + 1).count() <= max_permissions
     matched = triples_roles.join(F.broadcast(rules) if small else rules, "_role").filter(

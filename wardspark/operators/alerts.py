@@ -143,11 +143,9 @@ def suppress_cooldown(alerts: DataFrame, key: str = "rule_id", ts: str = "timest
     instant only the first can fire, so the rest are dropped beforehand by a combined
     minimum; the others stream through in sorted batches and only the last firing is kept.
     """
-    timed = alerts.filter(F.col("cooldown_s") >= 1)
-    first = timed.groupBy(key, ts).agg(F.min(tie).alias(tie))
-    thin = timed.join(first, [key, ts, tie], "left_semi").select(*alerts.columns)
-    rest = alerts.filter(F.col("cooldown_s") < 1)
-    ordered = thin.unionByName(rest).repartition(key).sortWithinPartitions(key, ts, tie)
+    alone = F.when(F.col("cooldown_s") < 1, F.col(tie)).alias("_alone")
+    first = alerts.groupBy(key, ts, alone).agg(F.min_by(F.struct(*alerts.columns), F.col(tie)).alias("_row"))
+    ordered = first.select("_row.*").repartition(key).sortWithinPartitions(key, ts, tie)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, last = object(), None

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardspark.functions.text import join_nonblank
+from wardspark.operators.scan import settle
 from wardspark.schema import audit_event_schema
 
 HAYSTACK_CHARS = 8000
@@ -32,13 +33,14 @@ def ingest(raw: DataFrame, json_col: str = "value") -> tuple[DataFrame, DataFram
     """
     schema = audit_event_schema().add("_corrupt", T.StringType())
     parsed = raw.withColumn("_e", F.from_json(json_col, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    parsed = settle(parsed, "_e")  # parsed once, however many checks read it
     e = F.col("_e")
     reason = F.when(e.isNull() | e["_corrupt"].isNotNull(), "malformed JSON or wrong field type")
     for name in REQUIRED:
         reason = reason.when(e[name].isNull(), f"missing {name}")
     reason = reason.when(~e["action"].isin(*ACTION_NAMES), "unknown action")
     reason = reason.when(~e["severity"].isin(*SEVERITY_NAMES), "unknown severity")
-    judged = parsed.withColumn("_reason", reason)
+    judged = settle(parsed.withColumn("_reason", reason), "_reason")
     known = [f.name for f in audit_event_schema()]
     extra = F.to_json(F.map_filter(F.from_json(json_col, "map<string,string>"), lambda k, v: ~k.isin(*known)))
     empty = lambda t: F.array().cast(t)
