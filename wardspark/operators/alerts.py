@@ -70,8 +70,8 @@ def rule_hits(events: DataFrame, rules: Sequence[AlertRule]) -> DataFrame:
                                          F.lit(r.cooldown_s).alias("cooldown_s")))
         for r in chosen
     ]) if chosen else F.array().cast("array<struct<rule_id:string,title:string,rule_severity:string,cooldown_s:int>>")
-    hits = events.withColumn("_rules", F.filter(tags, lambda r: r.isNotNull())).filter(F.size("_rules") > 0)
-    return hits.select(F.explode("_rules").alias("_r"), *events.columns).select("_r.*", *events.columns)
+    tagged = events.withColumn("_rules", F.filter(tags, lambda r: r.isNotNull()))
+    return tagged.select(F.inline("_rules"), *events.columns)
 
 
 def match_alerts(events: DataFrame, rules: Sequence[AlertRule] = DEFAULT_RULES) -> DataFrame:
