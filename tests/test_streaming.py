@@ -17,6 +17,7 @@ from wardspark.streaming import jobs as J
 @pytest.fixture(scope="module")
 def landed(spark, events):
     """The audit view as files a stream can read, in two parts."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
     path = tempfile.mkdtemp(prefix="spark-")
     held = events.withColumn("roles", F.col("principal_roles")).drop("risk", "policy_traces")
     held.repartition(2).write.mode("overwrite").parquet(path)
