@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 
 from wardspark.functions import regex
 from wardspark.operators.policy import matching, policy_facts
-from wardspark.operators.scan import finding
+from wardspark.operators.scan import finding, with_scalars
 from wardspark.schema import FINDING_DDL
 from wardspark.session import ensure_checkpoint_dir
 
@@ -166,8 +166,7 @@ def quota_lease(quotas: DataFrame, instances: DataFrame) -> DataFrame:
     """Each live instance's share of a fleet-wide quota: floor division, at least one."""
     live = instances.filter(F.col("status") == "healthy").agg(F.greatest(F.lit(1), F.count("*")).alias("_n"))
     share = lambda c: F.greatest(F.lit(1), F.floor(F.greatest(F.lit(1), F.col(c)) / F.col("_n"))).cast("int").alias(c)
-    # One aggregated row: its size is one by construction.
-    return quotas.crossJoin(F.broadcast(live)).select("scope", share("rpm"), share("burst"))
+    return with_scalars(quotas, live, "_n").select("scope", share("rpm"), share("burst"))
 
 
 def charged_scopes(principal: str | None, tenant: str | None, roles: Sequence[str], model: str | None,

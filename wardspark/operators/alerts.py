@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardspark.functions.ranks import SEVERITIES, severity_rank
+from wardspark.operators.scan import with_scalars
 
 
 @dataclass(frozen=True)
@@ -101,8 +102,7 @@ def threshold_alerts(events: DataFrame, rules: Sequence[AlertRule], now_ms: int
                           F.max("count").alias("top")) if not by else None
         if by:
             top = groups.agg(F.max("count").alias("top"))
-            # One aggregated row.
-            picked = groups.crossJoin(F.broadcast(top)).filter(F.col("count") == F.col("top")).agg(
+            picked = with_scalars(groups, top, "top").filter(F.col("count") == F.col("top")).agg(
                 F.min("group_key").alias("group_key"), F.max("count").alias("count")).filter(F.col("count").isNotNull())
         else:
             picked = best.filter(F.col("top").isNotNull()).select("m.group_key", "m.count")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardspark.functions.ranks import severity_rank
 from wardspark.operators.audit import is_blocked
+from wardspark.operators.scan import with_scalars
 
 # Thresholds and the detectors production must run.
 INJECTION_THRESHOLD, CROSS_APP_THRESHOLD, VOLUME_SIGMA = 5, 2, 3.0
@@ -93,8 +94,7 @@ def volume_baseline(counters: DataFrame) -> DataFrame:
     """
     per = counters.groupBy("bucket_ms", F.coalesce("application", F.lit("unknown")).alias("application")).agg(F.sum("count").alias("n"))
     span = per.groupBy("bucket_ms").agg(F.lit(1).alias("_one")).agg(F.max("bucket_ms").alias("latest"), F.count("*").alias("minutes"))
-    # ``span`` is one aggregated row.
-    marked = per.crossJoin(F.broadcast(span)).filter(F.col("minutes") >= 5)
+    marked = with_scalars(per, span, "latest", "minutes").filter(F.col("minutes") >= 5)
     past = F.col("bucket_ms") < F.col("latest")
     agg = marked.groupBy("application", "minutes").agg(
         F.coalesce(F.sum(F.when(~past, F.col("n"))), F.lit(0)).alias("current"),
@@ -141,10 +141,10 @@ def midpoint(events: DataFrame) -> DataFrame:
     e = events.select("timestamp_ms", "event_id", F.expr("timestamp_ms div 60000").alias("_m"))
     minutes = _up_to(e.groupBy("_m").agg(F.count("*").alias("n")), "_m")
     total = e.agg(F.count("*").alias("rows")).withColumn("half", F.expr("rows div 2"))
-    at_m = minutes.crossJoin(F.broadcast(total)).filter((F.col("_cum") > F.col("half")) & (F.col("_cum") - F.col("n") <= F.col("half")))
+    at_m = with_scalars(minutes, total, "rows", "half").filter((F.col("_cum") > F.col("half")) & (F.col("_cum") - F.col("n") <= F.col("half")))
     at_m = at_m.select("_m", "rows", "half", (F.col("half") - F.col("_cum") + F.col("n")).alias("_left"))
     ms = _up_to(e.join(F.broadcast(at_m.select("_m")), "_m").groupBy("timestamp_ms").agg(F.count("*").alias("n")), "timestamp_ms")
-    at_ms = ms.crossJoin(F.broadcast(at_m)).filter((F.col("_cum") > F.col("_left")) & (F.col("_cum") - F.col("n") <= F.col("_left")))
+    at_ms = with_scalars(ms, at_m, "rows", "half", "_left").filter((F.col("_cum") > F.col("_left")) & (F.col("_cum") - F.col("n") <= F.col("_left")))
     at_ms = at_ms.select("timestamp_ms", "rows", "half", (F.col("_left") - F.col("_cum") + F.col("n")).alias("_left"))
     same = e.join(F.broadcast(at_ms), "timestamp_ms")
     nth = same.withColumn("_n", F.row_number().over(Window.partitionBy("timestamp_ms").orderBy("event_id")))
@@ -156,7 +156,7 @@ def midpoint(events: DataFrame) -> DataFrame:
 def new_attack_surface(events: DataFrame, min_rows: int = 20) -> DataFrame:
     """Applications without a block in the first half of the rows that block in the second."""
     cut = midpoint(events).filter(F.col("rows") >= min_rows).select("cut_ms", "cut_id")
-    rows = events.crossJoin(F.broadcast(cut)).withColumn(
+    rows = with_scalars(events, cut, "cut_ms", "cut_id").withColumn(
         "_late", (F.col("timestamp_ms") > F.col("cut_ms")) | ((F.col("timestamp_ms") == F.col("cut_ms")) & (F.col("event_id") >= F.col("cut_id")))
     )
     late_block = F.col("_late") & is_blocked()

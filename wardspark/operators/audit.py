@@ -77,7 +77,7 @@ def correlation_summary(events: DataFrame, max_stages: int = 10_000) -> DataFram
     """Each request's start, end, ordered stages, worst action and detectors.
 
     ``stages`` lists one entry per event, so it is as long as the request; everything else is
-    a combined aggregate. ``max_stages`` raises, rather than truncates, on a runaway request.
+    a combined aggregate. A request beyond ``max_stages`` is never gathered: the job fails and says so.
     """
     at = F.struct("timestamp_ms", "event_id")
     plain = events.groupBy("correlation_id").agg(
@@ -88,7 +88,8 @@ def correlation_summary(events: DataFrame, max_stages: int = 10_000) -> DataFram
     )
     guard = F.when(F.col("events") > max_stages, F.raise_error(F.lit("correlation exceeds max_stages"))).otherwise(F.lit(True))
     sized = plain.withColumn("_ok", guard)
-    short = events.select("correlation_id", "timestamp_ms", "event_id", "stage")
+    bounded_runs = events.groupBy("correlation_id").agg(F.count("*").alias("_n")).filter(F.col("_n") <= max_stages)
+    short = events.select("correlation_id", "timestamp_ms", "event_id", "stage").join(bounded_runs, "correlation_id", "left_semi")
     stages = short.groupBy("correlation_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("timestamp_ms", "event_id", "stage"))), lambda x: x["stage"]).alias("stages")
     )
@@ -96,7 +97,7 @@ def correlation_summary(events: DataFrame, max_stages: int = 10_000) -> DataFram
         F.sort_array(F.collect_set("_d")).alias("detectors_fired")
     )
     return (
-        sized.filter("_ok").join(stages, "correlation_id").join(fired, "correlation_id", "left")
+        sized.filter("_ok").join(stages, "correlation_id", "left").join(fired, "correlation_id", "left")
         .withColumns({
             "duration_ms": F.col("ended_ms") - F.col("started_ms"),
             "outcome": F.col("_worst.action"),

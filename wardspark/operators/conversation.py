@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardspark.functions import regex
+from wardspark.functions import regex, sqltext
 from wardspark.functions import text as X
 from wardspark.functions.ranks import AUTHORITY, lookup
 from wardspark.operators import signals as S
@@ -258,22 +258,31 @@ def scan_groundedness(answers: DataFrame, passages: DataFrame, key: str = "conv_
     )
 
 
-def scan_canary(outputs: DataFrame, canaries: DataFrame, text_col: str = "text", max_canaries: int = 10_000) -> DataFrame:
-    """Outputs holding a planted marker; ``canaries`` is (token).
+def scan_canary(outputs: DataFrame, canaries: DataFrame, text_col: str = "text", max_literals: int = 1_000, prefix: int = 8) -> DataFrame:
+    """Outputs holding a planted marker, one row per marker; ``canaries`` is (token).
 
-    Markers are few and made by hand: their number is checked, and up to ``max_canaries`` they
-    are broadcast. Beyond that, markers are matched by equi-join on the windows of their
-    lengths that begin with their first eight characters' hash.
+    Markers are few and made by hand: up to a checked number they become one expression over
+    the text. Beyond it, every window of ``prefix`` characters is joined on its hash to the
+    markers' beginnings and the pairs found are verified; shorter markers stay literal.
     """
-    few = canaries.select("token").distinct().limit(max_canaries + 1).count()
-    if few <= max_canaries:
-        return outputs.join(F.broadcast(canaries.select("token").distinct()), F.contains(F.col(text_col), F.col("token")))
-    keyed = canaries.select("token").distinct().withColumn("_k", F.xxhash64(F.left("token", F.lit(8))))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text_col)))
-    grams = outputs.withColumn(
-        "_k", F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(F.col(text_col), i, F.lit(8))))))
-    )
-    return grams.join(keyed, "_k").filter(F.contains(F.col(text_col), F.col("token"))).drop("_k").distinct()
+    tokens = canaries.select("token").filter(F.length("token") > 0).distinct()
+    text = F.col(text_col)
+
+    def literal(found: list[str]) -> DataFrame:
+        held = F.filter(sqltext.strings(found), lambda t: F.contains(text, t))
+        return outputs.select("*", F.explode(held).alias("token"))
+
+    some = [r[0] for r in tokens.limit(max_literals + 1).collect()]
+    if len(some) <= max_literals:
+        return literal(some)
+    short = [r[0] for r in tokens.filter(F.length("token") < prefix).limit(max_literals + 1).collect()]
+    if len(short) > max_literals:
+        raise ValueError(f"more than {max_literals} markers shorter than {prefix} characters")
+    keyed = tokens.filter(F.length("token") >= prefix).withColumn("_k", F.xxhash64(F.left("token", F.lit(prefix))))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - prefix + 1))
+    grams = outputs.withColumn("_k", F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(text, i, F.lit(prefix)))))))
+    long = grams.join(keyed, "_k").filter(F.contains(text, F.col("token"))).drop("_k")
+    return long.unionByName(literal(short))
 
 
 def scan_registered_secrets(outputs: DataFrame, registered: DataFrame, salt: str, id_col: str = "id",

@@ -105,6 +105,12 @@ def settle(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*keep, F.inline(F.array(F.struct(*names))))
 
 
+def with_scalars(df: DataFrame, one_row: DataFrame, *names: str) -> DataFrame:
+    """Add the columns of a one-row aggregate as a scalar subquery: no join, null where there is no row."""
+    row = one_row.select(F.struct(*names).alias("_row")).scalar()
+    return df.withColumn("_row", row).select("*", *[F.col("_row")[n].alias(n) for n in names]).drop("_row")
+
+
 def run_scans(df: DataFrame, scans: Sequence[Scan], out: str = "findings") -> DataFrame:
     """Add ``out``, the array of findings in the order of ``scans``."""
     temps: dict[str, None] = {}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wardspark.operators import alerts as AL
 from wardspark.operators import anomaly as AN
 from wardspark.operators import audit as A
+from wardspark.operators.scan import with_scalars
 from wardspark.queries.base import audit, audit_events, audit_sql, query, table
 from wardspark.sources import audit_log as L
 from wardspark.sources import export as X
@@ -284,7 +285,7 @@ def _upsert(spark, sf):
 
 def _fleet(spark, sf):
     now = audit(spark, sf).agg(F.max("timestamp_ms").alias("_now"))
-    i = _instances(spark, sf).crossJoin(F.broadcast(now))
+    i = with_scalars(_instances(spark, sf), now, "_now")
     return A.fleet_status(i, F.col("_now"), 600).drop("_now")
 
 
@@ -365,7 +366,7 @@ def _spike(spark, sf):
     """Minute counters with the newest minute amplified thirtyfold."""
     c = A.minute_counters(audit(spark, sf))
     last = c.agg(F.max("bucket_ms").alias("_last"))
-    loud = c.crossJoin(F.broadcast(last)).withColumn("count", F.when(F.col("bucket_ms") == F.col("_last"), F.col("count") * 30).otherwise(F.col("count")))
+    loud = with_scalars(c, last, "_last").withColumn("count", F.when(F.col("bucket_ms") == F.col("_last"), F.col("count") * 30).otherwise(F.col("count")))
     return AN.volume_spike(loud).select("dedupe_key", F.round("score", 4).alias("score"), F.col("evidence")["current"].alias("current"))
 
 
@@ -430,7 +431,7 @@ _THRESHOLDS = (
 def _threshold(spark, sf):
     e = audit(spark, sf)
     now = e.agg(F.max("timestamp_ms").alias("_now"))
-    return AL.threshold_alerts(e.crossJoin(F.broadcast(now)), _THRESHOLDS, F.col("_now")).select("rule_id", "group_key", "count")
+    return AL.threshold_alerts(with_scalars(e, now, "_now"), _THRESHOLDS, F.col("_now")).select("rule_id", "group_key", "count")
 
 
 @query("anomaly_alerts", audit_sql("SELECT 'rule_anomalies' AS rule_id, kind, count(*) AS n FROM an WHERE severity = 'high' GROUP BY ALL", _ANOM))

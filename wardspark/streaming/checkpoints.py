@@ -6,8 +6,9 @@ the accumulated texts at the checkpoints are then screened by the ordinary scans
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,24 +39,30 @@ def open_construct(text: Column) -> Column:
 
 
 def checkpoint_marks(chunks: DataFrame, every: int = CHECK_EVERY, key: str = "stream_id") -> DataFrame:
-    """Add ``checkpoint`` (0, 1, 2, …): how many checks precede a chunk's end, and ``is_check``.
+    """Add ``checkpoint``, the checks made up to a chunk's end, and ``is_check``.
 
-    A check happens when the characters since the last one reach ``every``; the counter then
-    restarts. That is a fold over the stream's chunk lengths, done on lengths alone.
+    A check happens when the characters since the last one reach ``every``, so each depends
+    on the one before. Only lengths are walked, sorted, in batches, with two numbers of state.
     """
-    lengths = chunks.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("seq", F.length("chunk").alias("n")))).alias("_c"))
-    start = F.struct(F.lit(0).alias("since"), F.lit(0).alias("k"), F.array().cast("array<struct<seq:bigint,k:int,check:boolean>>").alias("out"))
-
-    def step(a: Column, c: Column) -> Column:
-        total = a["since"] + c["n"]
-        due = total >= every
-        k = a["k"] + due.cast("int")
-        mark = F.struct(c["seq"].cast("bigint").alias("seq"), k.alias("k"), due.alias("check"))
-        return F.struct(F.when(due, 0).otherwise(total).alias("since"), k.alias("k"), F.concat(a["out"], F.array(mark)).alias("out"))
-
-    folded = lengths.select(key, F.explode(F.aggregate("_c", start, step, lambda a: a["out"])).alias("m"))
-    marks = folded.select(key, "m.seq", F.col("m.k").alias("checkpoint"), F.col("m.check").alias("is_check"))
-    return chunks.join(marks, [key, "seq"])
+    types = dict(chunks.dtypes)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, since, k = object(), 0, 0
+        for pdf in batches:
+            marks, checks = [], []
+            for stream, n in zip(pdf[key], pdf["n"], strict=True):
+                if stream != current:
+                    current, since, k = stream, 0, 0
+                since += n
+                due = since >= every
+                k, since = (k + 1, 0) if due else (k, since)
+                marks.append(k)
+                checks.append(due)
+            yield pdf[[key, "seq"]].assign(checkpoint=marks, is_check=checks)
+
+    lengths = chunks.select(key, "seq", F.length("chunk").alias("n")).repartition(key).sortWithinPartitions(key, "seq")
+    schema = f"{key} {types[key]}, seq {types['seq']}, checkpoint int, is_check boolean"
+    return chunks.join(lengths.mapInPandas(walk, schema), [key, "seq"])
 
 
 def checkpoint_scan(chunks: DataFrame, *, every: int = CHECK_EVERY, trust: str = "system", scans: Sequence[str] = FAST_SCANS,

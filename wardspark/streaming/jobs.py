@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from wardspark.operators.access import charge, charged_scopes, quota_table
 from wardspark.operators.alerts import AlertRule, matches, next_fire, rule_hits
 from wardspark.operators.anomaly import volume_spike
+from wardspark.operators.scan import with_scalars
 from wardspark.sources.audit_log import fan_out
 from wardspark.sources.export import at_least
 
@@ -88,7 +89,7 @@ def stream_volume_spike(counters: DataFrame, sink: Callable[[DataFrame], None],
         batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(table)
         kept = batch.sparkSession.read.parquet(table).dropDuplicates(["bucket_ms", "application", "action"])
         newest = kept.agg(F.max("bucket_ms").alias("_newest"))
-        recent = kept.crossJoin(F.broadcast(newest)).filter(F.col("bucket_ms") > F.col("_newest") - horizon_ms)
+        recent = with_scalars(kept, newest, "_newest").filter(F.col("bucket_ms") > F.col("_newest") - horizon_ms)
         sink(volume_spike(recent))
 
     return counters.writeStream.outputMode("append").foreachBatch(check).option("checkpointLocation", checkpoint).trigger(
