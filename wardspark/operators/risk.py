@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardspark.functions.ranks import ACTIONS, BANDS, TIERS, band_of, lookup
+from wardspark.operators.scan import settle
 from wardspark.operators.taxonomy import BY_ID
 from wardspark.schema import CELL_DDL, RISK_DDL, TRACE_DDL
 
@@ -157,11 +158,12 @@ def assess_risk(
     application: Column | None = None, tier: Column | None = None,
 ) -> DataFrame:
     """Add ``risk`` computed from the annotated ``findings`` column."""
-    return (
+    out = (
         df.withColumn("_cells", threat_cells(F.col(findings), config, application, tier))
         .withColumn("risk", assessment(F.col("_cells"), config))
         .drop("_cells")
     )
+    return settle(out, "risk")
 
 
 def risk_matrix(events: DataFrame, likelihood_col: str = "risk_likelihood", impact_col: str = "risk_impact") -> DataFrame:
