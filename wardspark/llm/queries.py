@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspark.llm import packing, rans, shared, tokens
+from wardspark.llm import jaccard, packing, rans, shared, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,11 @@ def range_coded_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op3_ngram_jaccard")
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 @query("op4_mixture_packing")
 def mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokens.vocabulary("byte_bpe_50k.json")
