@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspark.llm import jaccard, packing, rans, shared, tokens
+from wardspark.llm import jaccard, packing, rans, shared, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query(
+    "op1_warc_archives",
+    """
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+    d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+    m AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+    SELECT page_id, payload_bytes, d.payload_digest,
+           CASE WHEN first_id IS NULL OR first_id IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
+    FROM d LEFT JOIN m ON d.payload_digest = m.payload_digest AND payload_bytes >= 100
+    """,
+)
+def warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared.shared_path(spark, "warc")
+    warc.write_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    return warc.page_records(spark, folder)
+
+
 @query("op2_range_coded_tokens")
 def range_coded_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared.shared_path(spark, "rans")
