@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspark.llm import jaccard, packing, rans, shared, tokens, warc
+from wardspark.llm import extract, jaccard, packing, rans, shared, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,8 @@ def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokens.vocabulary("byte_bpe_50k.json")
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), path), tokens.encoder(path).dtype.itemsize)
+
+
+@query("op6_tree_scored_text")
+def tree_scored_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))

@@ -14,13 +14,15 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 1
 _KEPT = 1_000_000
-_UNSURE = re.compile("<\\||[\x00\x1c-\x1f\x85]")
+_UNSURE = re.compile("[\x00\x1c-\x1f\x85]")
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 # A word and the ASCII signs behind it: the two are always merged apart.
 _SIGNED = re.compile(r"(.*[A-Za-z0-9À-ÖØ-öø-ÿ])([!-/:-@\[-`{-~]+)", re.DOTALL)
@@ -49,7 +51,7 @@ class Encoder:
 
     def cut(self, text: str) -> list[str] | None:
         """Words of a text, each led by its white space if ids depend on that; None if the text is to go whole."""
-        if _UNSURE.search(text):
+        if "<|" in text or _UNSURE.search(text):
             return None
         if self.drops_space:
             return text.split()
@@ -69,7 +71,7 @@ class Encoder:
         texts = [t or "" for t in texts]
         cut = [self.cut(t) if t else [] for t in texts]
         known, rare = self.known, {}
-        new = {w for words in cut if words for w in words if w not in known}
+        new = set(chain.from_iterable(filter(None, cut))) - known.keys()
         if new:
             signed = {w: m.groups() for w in new if (m := _SIGNED.fullmatch(w))}
             plain = (new - signed.keys()) | {w for w, _ in signed.values()} | {self.bare + s for _, s in signed.values()}
@@ -100,7 +102,7 @@ def vocabulary(name: str) -> str:
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts take about ``most`` bytes; a longer text is a part of its own."""
-    sizes = np.array([len(v) if v else 0 for v in batch.column(column).to_pylist()] or [0])
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start, held = 0, 0
     for i in range(batch.num_rows):
         if i > start and held + sizes[i] > most:
