@@ -15,8 +15,7 @@ ORACLE_SQL = None
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document that is left, in sequences mixed by source."""
-    path = tokens.vocabulary("byte_bpe_50k.json")
-    return packing.digests(packing.pack(docs, path), tokens.encoder(path).dtype.itemsize)
+    return packing.digests(packing.pack(docs, tokens.vocabulary("byte_bpe_50k.json")))
 
 
 STAGES: list[tuple[str, Stage]] = [("pack", pack)]

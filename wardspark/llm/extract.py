@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 
 from wardspark.llm.tokens import slices
 
+#: Levels of elements around a block that get its points; what the next would get is too little to matter.
+LEVELS = 24
+
 _MARK = re.compile(r"""<(?:!--(?:.*?--!?>|.*\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*(?:>|\Z)))""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _TOKEN = re.compile(r"[a-z0-9]+")
@@ -95,18 +98,14 @@ class _Tree:
         size = len(text)
         worth = (1 if size >= 25 else size / 25) + text.count(",") + text.count("、") + text.count("，") + min(3.0, size / 100)
         worth *= 1 - linked / max(1, size)
-        at, level = node, 0
-        if self.tag[node] in _PARAGRAPH:
-            self.chars[node] += size
-            self.linked[node] += linked
-            at = self.parent[node]
-        while True:
-            self.chars[at] += size
-            self.linked[at] += linked
+        self.chars[node] += size
+        self.linked[node] += linked
+        at = self.parent[node] if self.tag[node] in _PARAGRAPH else node
+        for level in range(LEVELS):
             self.points[at] += worth / (1 if level == 0 else 2 if level == 1 else 3 * level)
             if not at:
                 break
-            at, level = self.parent[at], level + 1
+            at = self.parent[at]
 
     def score(self, node: int) -> float:
         return self.points[node] * (1 - self.linked[node] / max(1, self.chars[node]))
@@ -114,6 +113,9 @@ class _Tree:
     def kept(self) -> list[str]:
         if not self.blocks:
             return []
+        for i in range(len(self.tag) - 1, 0, -1):  # an element comes after those around it
+            self.chars[self.parent[i]] += self.chars[i]
+            self.linked[self.parent[i]] += self.linked[i]
         scores = [self.score(i) for i in range(len(self.tag))]
         best = max(range(1, len(scores)), key=lambda i: (scores[i], -i), default=0)
         at = best

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,15 +77,16 @@ class Rounds:
             j += 1
 
 
-def _cut(rounds: Rounds, sequence: int, width: int):
+def _cut(rounds: Rounds, sequence: int, dtype: np.dtype):
     names = {n: i for i, n in enumerate(rounds.names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for doc, source, n, before, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "n_tokens", "before", "ids")), strict=True):
+                wide = np.frombuffer(raw, dtype).astype("<u4").tobytes()
                 for window, start, place, size in rounds.pieces(names[source], before, n, sequence):
-                    rows.append((doc, source, start, size, n, window, place // sequence, place % sequence, raw[start * width : (start + size) * width]))
+                    rows.append((doc, source, start, size, n, window, place // sequence, place % sequence, wide[4 * start : 4 * (start + size)]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PIECES, strict=True)], schema=PIECES)
 
@@ -94,8 +96,7 @@ def _cut(rounds: Rounds, sequence: int, width: int):
 def pack(docs: DataFrame, vocabulary: str, targets: dict[str | None, int] | None = None, sequence: int = SEQUENCE, window: int = WINDOW) -> DataFrame:
     """Pieces of all documents: where each lies in its document and in its sequence, with its ids.
 
-    ``targets`` are whole-number weights by source. ids are little-endian unsigned, ``ids_width``
-    bytes each. Totals by source, one row a source, pass the driver.
+    ``targets`` are whole-number weights by source. ids are little-endian unsigned 32-bit integers. Totals by source, one row a source, pass the driver.
     """
     dtype = tokens.encoder(vocabulary).dtype
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
@@ -108,14 +109,9 @@ def pack(docs: DataFrame, vocabulary: str, targets: dict[str | None, int] | None
     parts = tuple(r["n"] if targets is None else 1_000_000 * targets.get(r["source"], 0) or max(1, most) for r in sums)
     rounds = Rounds(tuple(r["source"] for r in sums), tuple(r["n"] for r in sums), parts, window)
     placed = shared.running_total(ids.select("row", "doc_id", "source", "n_tokens"), ["source"], ["doc_id", "row"], "n_tokens", "before").select("row", "before")
-    return ids.join(placed, "row").select("doc_id", "source", "n_tokens", "before", "ids").mapInArrow(_cut(rounds, sequence, dtype.itemsize), PIECES_DDL)
+    return ids.join(placed, "row").select("doc_id", "source", "n_tokens", "before", "ids").mapInArrow(_cut(rounds, sequence, dtype), PIECES_DDL)
 
 
-def widened(ids, width: int):
-    """A binary column of unsigned integers of 2 bytes as one of 4 bytes, little-endian."""
-    return ids if width == 4 else F.unhex(F.regexp_replace(F.hex(ids), "(.{4})", "$10000"))
-
-
-def digests(pieces: DataFrame, width: int) -> DataFrame:
+def digests(pieces: DataFrame) -> DataFrame:
     """Pieces with the checksum of their ids instead of the ids."""
-    return pieces.select("doc_id", "start", "length", F.crc32(widened(F.col("ids"), width)).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source", "window")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source", "window")

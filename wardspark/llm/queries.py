@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspark.llm import extract, jaccard, packing, rans, shared, tokens, warc
+from wardspark.llm import extract, jaccard, packing, prefix_hash, rans, shared, tokens, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,10 +59,33 @@ def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_mixture_packing")
 def mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokens.vocabulary("byte_bpe_50k.json")
-    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), path), tokens.encoder(path).dtype.itemsize)
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json")))
 
 
 @query("op6_tree_scored_text")
 def tree_scored_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query(
+    "op7_top_products",
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    s AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+    )
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM s QUALIFY rank <= 10
+    """,
+)
+def top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 100 = 0"))
+
+
+@query("op8_prefix_fingerprints")
+def prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_hash.fingerprints(table(spark, sf_dir, "documents"))
