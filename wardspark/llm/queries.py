@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspark.llm import extract, jaccard, packing, prefix_hash, rans, shared, tokens, topk, warc
+from wardspark.llm import attention, extract, jaccard, packing, prefix_hash, rans, shared, tokens, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,12 @@ def top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_prefix_fingerprints")
 def prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_hash.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op10_attention_quality")
+def attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    model = attention.train(docs, table(spark, sf_dir, "labels"))
+    scored = attention.score_documents(docs, model)
+    held_out = F.coalesce(attention.fold_of(F.col("doc_id")) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= attention.THRESHOLD).cast("int").alias("predicted"))
