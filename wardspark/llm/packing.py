@@ -108,7 +108,7 @@ def pack(docs: DataFrame, vocabulary: str, targets: dict[str | None, int] | None
     most = max((targets or {}).values(), default=0)
     parts = tuple(r["n"] if targets is None else 1_000_000 * targets.get(r["source"], 0) or max(1, most) for r in sums)
     rounds = Rounds(tuple(r["source"] for r in sums), tuple(r["n"] for r in sums), parts, window)
-    placed = shared.running_total(ids.select("row", "doc_id", "source", "n_tokens"), ["source"], ["doc_id", "row"], "n_tokens", "before").select("row", "before")
+    placed = shared.running_totals(ids.select("row", "doc_id", "source", "n_tokens"), ["source"], ["doc_id", "row"], {"before": "n_tokens"}).select("row", "before")
     return ids.join(placed, "row").select("doc_id", "source", "n_tokens", "before", "ids").mapInArrow(_cut(rounds, sequence, dtype), PIECES_DDL)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspark.llm import attention, extract, jaccard, packing, prefix_hash, rans, shared, tokens, topk, warc
+from wardspark.llm import attention, chat, extract, jaccard, mixing, packing, prefix_hash, rans, shared, tokens, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,32 @@ def attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = attention.score_documents(docs, model)
     held_out = F.coalesce(attention.fold_of(F.col("doc_id")) == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= attention.THRESHOLD).cast("int").alias("predicted"))
+
+
+TARGETS = {"good": 0.85, "poor": 0.1, "toxic": 0.05}
+
+
+@query("op5_soft_mixing")
+def soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mixing.mix(docs, table(spark, sf_dir, "labels"), TARGETS).drop("_row")
+
+
+@query(
+    "op9_collapsed_chats",
+    r"""
+    WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+    d AS (SELECT *, sha256(length(role) || ':' || role || text) AS digest FROM t),
+    n AS (SELECT *, row_number() OVER w - 1 AS place, md5(string_agg(digest, ',') OVER w) AS prefix FROM d
+          WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, digest ROWS UNBOUNDED PRECEDING)),
+    e AS (SELECT conv_id, max(place) AS place, arg_max(prefix, place) AS prefix FROM n GROUP BY conv_id),
+    k AS (SELECT min(conv_id) AS conv_id FROM e WHERE NOT EXISTS (
+              SELECT 1 FROM n JOIN e AS f ON f.conv_id = n.conv_id WHERE n.prefix = e.prefix AND n.place = e.place AND n.place < f.place)
+          GROUP BY prefix)
+    SELECT conv_id, place // 64 AS part, CAST(count(*) AS INTEGER) AS n_turns,
+           string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY place) AS text
+    FROM n SEMI JOIN k USING (conv_id) GROUP BY ALL
+    """,
+)
+def collapsed_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_rows(table(spark, sf_dir, "conversations"))

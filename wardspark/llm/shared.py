@@ -45,22 +45,22 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def running_total(df: DataFrame, group: list[str], order: list[str], value: str, into: str) -> DataFrame:
-    """``df`` with ``into``: the sum of ``value`` over earlier rows of its group.
+def running_totals(df: DataFrame, group: list[str], order: list[str], values: dict[str, str | Column]) -> DataFrame:
+    """``df`` with, under each name of ``values``, the sum of that value over earlier rows of its group.
 
     A group may hold most rows: rows are ranged by (group, order), so that a large group covers
     many ranges; each range is summed, the sums are accumulated by range, and rows add only what
     precedes them in their own range. ``order`` must tell the rows of a group apart.
     """
-    ranged = saved(df.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()), "ranged")
+    ranged = df.select("*", *(F.col(v).alias(f"_v_{n}") if isinstance(v, str) else v.alias(f"_v_{n}") for n, v in values.items()))
+    ranged = saved(ranged.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()), "ranged")
     keys = [*group, "_range"]
-    sums = ranged.groupBy(*keys).agg(F.sum(value).alias("_sum"))
+    sums = ranged.groupBy(*keys).agg(*(F.sum(f"_v_{n}").alias(f"_sum_{n}") for n in values))
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(*(F.col(k).alias(f"_{k}") for k in keys), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    bases = sums.select(*(F.col(k).alias(f"_key_{k}") for k in keys), *(F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_base_{n}") for n in values))
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    own = ranged.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    same: Column = F.lit(True)
+    own = ranged.select("*", *(F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)).alias(f"_own_{n}") for n in values))
+    same = F.lit(True)
     for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    joined = own.join(bases, same)
-    return joined.select(*df.columns, (F.col("_base") + F.col("_inside")).alias(into))
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return own.join(bases, same).select(*df.columns, *((F.col(f"_base_{n}") + F.col(f"_own_{n}")).alias(n) for n in values))
