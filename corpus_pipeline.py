@@ -1,16 +1,48 @@
-"""From raw documents to packed sequences: each stage works on all that the one before it kept."""
+"""From raw documents to packed sequences: each stage works on all that the one before it kept.
+
+Every stage takes (spark, docs, sf_dir), keeps the columns of documents (the last returns pieces)
+and has defined results for nulls, empty texts, repeated rows and empty tables: see its operator.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wardspark.llm import packing, shared, tokens
+from wardspark.llm import attention, jaccard, mixing, packing, shared, tokens
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Packing runs the tokenizers library, which SQL cannot express.
+#: A fitted network and the tokenizers library have no SQL form.
 ORACLE_SQL = None
+#: What is left after the first stages should be good prose; toxic text gets no share.
+TARGETS = {"good": 0.98, "poor": 0.02, "toxic": 0.0}
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    model = attention.train(docs, _labels(spark, sf_dir))
+    return attention.score_documents(docs, model, "_score").where(F.col("_score") >= attention.THRESHOLD).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the smallest doc_id, of equal ones the first row."""
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    groups = jaccard.jaccard_groups(rows.select(F.col("_row").alias("doc_id"), "text"))
+    named = groups.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).join(rows.select("_row", "doc_id"), "_row")
+    first = named.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
+    return rows.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its rate, rounded, says: once for most, never for toxic ones."""
+    rates = mixing.mix(docs, _labels(spark, sf_dir), TARGETS)
+    return mixing.apply_rates(docs, rates)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +50,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(docs, tokens.vocabulary("byte_bpe_50k.json")))
 
 
-STAGES: list[tuple[str, Stage]] = [("pack", pack)]
+STAGES: list[tuple[str, Stage]] = [("quality", keep_quality), ("near copies", drop_near_copies), ("mixing", mix_sources), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,5 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = shared.saved(docs, f"stage-{name}")
+            docs = shared.saved(docs, "stage-" + name.replace(" ", "-"))
     return docs

@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 from wardspark.llm import shared
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 20
 MAX_LABELLED = 20_000
 #: A word counts as evidence if its odds are raised e^2 times, and it is in that many labelled documents.
 LEAST_ODDS, LEAST_DOCS = 2.0, 4
-STEPS = 30
-RIDGE = 0.05
+STEPS = 48
+RIDGE = 0.01
 MOST = 4.0
 
 DOMAIN = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "good")
@@ -98,10 +98,11 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column = DOMAIN, mos
     place = {d: i for i, d in enumerate(names)}
     word = rows.select("domain", F.explode(F.array_distinct(_split("text"))).alias("w")).where("w != ''")
     counts = np.zeros((BUCKETS, n))
-    for r in word.groupBy(_bucket(F.col("w")).alias("b"), "domain").count().where(f"count >= {LEAST_DOCS}").collect():
-        counts[r["b"], place[r["domain"]]] = r["count"]
+    by_domain = word.groupBy(_bucket(F.col("w")).alias("b")).agg(F.count("*").alias("all"), *(F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(names)))
+    for r in by_domain.where(f"all >= {LEAST_DOCS}").collect():
+        counts[r["b"]] = [r[f"n{i}"] for i in range(n)]
     odds = _log_odds(counts, per)
-    weight = np.where((odds >= LEAST_ODDS) & (counts >= LEAST_DOCS), odds, 0.0)
+    weight = np.where((odds >= LEAST_ODDS) & (counts >= LEAST_DOCS - 1), odds, 0.0)
     kept = np.flatnonzero(weight.any(axis=1))
     fields = ", ".join(f"w{d} double" for d in range(n))
     words = spark.createDataFrame([(int(b), *(float(v) for v in weight[b])) for b in kept], f"bucket int, {fields}")
