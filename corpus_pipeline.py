@@ -16,12 +16,12 @@ from wardspark.llm import attention, jaccard, mixing, packing, shared, tokens
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: A fitted network and the tokenizers library have no SQL form.
 ORACLE_SQL = None
-#: What is left after the first stages should be good prose; toxic text gets no share.
-TARGETS = {"good": 0.98, "poor": 0.02, "toxic": 0.0}
+#: What is left after the first stages should be good prose; other domains get no share.
+TARGETS = {"good": 1.0, "poor": 0.0, "toxic": 0.0}
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return shared.ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ STAGES: list[tuple[str, Stage]] = [("quality", keep_quality), ("near copies", dr
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each stage's rows are written once and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = shared.ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):

@@ -28,8 +28,8 @@ from wardspark.llm import shared
 
 BUCKETS = 1 << 20
 MAX_LABELLED = 20_000
-#: A word counts as evidence if its odds are raised e^2 times, and it is in that many labelled documents.
-LEAST_ODDS, LEAST_DOCS = 2.0, 4
+#: A word in that many labelled documents counts as evidence if, two standard errors below what was counted, its odds are still raised so far (as a logarithm).
+LEAST_ODDS, LEAST_DOCS = 1.5, 4
 STEPS = 48
 RIDGE = 0.01
 MOST = 4.0
@@ -102,7 +102,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column = DOMAIN, mos
     for r in by_domain.where(f"all >= {LEAST_DOCS}").collect():
         counts[r["b"]] = [r[f"n{i}"] for i in range(n)]
     odds = _log_odds(counts, per)
-    weight = np.where((odds >= LEAST_ODDS) & (counts >= LEAST_DOCS - 1), odds, 0.0)
+    error = np.sqrt(1 / (counts + 0.5) + 1 / (counts.sum(axis=1, keepdims=True) - counts + 0.5))
+    weight = np.where(odds - 2 * error >= LEAST_ODDS, odds - 2 * error, 0.0)
     kept = np.flatnonzero(weight.any(axis=1))
     fields = ", ".join(f"w{d} double" for d in range(n))
     words = spark.createDataFrame([(int(b), *(float(v) for v in weight[b])) for b in kept], f"bucket int, {fields}")

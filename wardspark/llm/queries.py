@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return shared.ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @query(

@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give executors this package, once a session: they need no copy of the repository and no search path."""
+    if spark.sparkContext.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parent.parent
+        made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/{package.name}", "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(made)
+        _SHIPPED.add(spark.sparkContext.applicationId)
+    return spark
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; a local session without one gets its own.
 
