@@ -13,7 +13,7 @@ Null and empty texts have no words: their posteriors are the domains' shares, an
 count in totals. Labels that are null are left out; a document labelled twice counts in its
 rarest-named domain (the greatest name). Domains without a labelled document get no posterior, and
 their target is shared by the others; without labels all rates are 1. Equal doc_ids are rated
-one by one; an empty table gives no rows; other columns stay.
+one by one; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ STEPS = 48
 RIDGE = 0.01
 MOST = 4.0
 
-DOMAIN = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "good")
+#: SQL for a labelled row's domain.
+DOMAIN = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'poor' WHEN quality = 1 THEN 'good' END"
 
 
 @dataclass(frozen=True)
@@ -83,10 +84,10 @@ def _log_odds(counts: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.log((counts + 0.5) / (docs + 1)) - np.log((rest + 0.5) / (docs.sum() - docs + 1))
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column = DOMAIN, most: int = MAX_LABELLED) -> Domains:
+def fit_domains(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN, most: int = MAX_LABELLED) -> Domains:
     """Learn from at most ``most`` labelled documents, those of smallest hash; counts by bucket and domain reach the driver."""
     spark = docs.sparkSession
-    known = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), domain.alias("domain")).where("domain is not null")
+    known = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(domain).alias("domain")).where("domain is not null")
     known = known.groupBy("doc_id").agg(F.max("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = shared.saved(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(known), "doc_id").select(F.monotonically_increasing_id().alias("row"), "domain", "text"), "labelled")
     sizes = rows.groupBy("domain").count().orderBy("domain").collect()
@@ -134,7 +135,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column = DOMAIN, mos
 def posteriors(docs: DataFrame, model: Domains) -> DataFrame:
     """``docs`` with ``_row`` (a number of each row), n_words and p_<domain>, written once."""
     n = len(model.names)
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    numbered = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
     if model.words is None:
         words = F.size(F.filter(_split("text"), lambda w: w != "")).cast("long")
         return shared.saved(numbered.select("doc_id", "_row", words.alias("n_words"), *(F.lit(1.0).alias(f"p_{d}") for d in model.names)), "posteriors")
@@ -174,7 +175,7 @@ def fit_rates(rows: DataFrame, names: list[str], targets: dict[str, float], step
     return now.drop("_old")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: Column = DOMAIN) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = DOMAIN) -> DataFrame:
     """doc_id, _row, n_words, posteriors p_<domain> and rate of every document."""
     model = fit_domains(docs, labels, domain)
     return fit_rates(posteriors(docs, model), model.names, targets)
@@ -182,7 +183,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: C
 
 def apply_rates(docs: DataFrame, rates: DataFrame) -> DataFrame:
     """``docs`` with each row as often as its rate, rounded; ``rates`` come from the same rows by ``_row``."""
-    copies = rates.select("_row", F.round("rate").cast("int").alias("_copies"))
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    kept = numbered.join(copies, "_row").where("_copies > 0")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    row, copies, copy = (shared.free(docs, n) for n in ("_row", "_copies", "_copy"))
+    rounded = rates.select(F.col("_row").alias(row), F.round("rate").cast("int").alias(copies))
+    kept = docs.withColumn(row, F.monotonically_increasing_id()).join(rounded, row).where(F.col(copies) > 0)
+    return kept.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
