@@ -27,16 +27,18 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     model = attention.train(docs, _labels(spark, sf_dir))
-    return attention.score_documents(docs, model, "_score").where(F.col("_score") >= attention.THRESHOLD).select(*docs.columns)
+    score = shared.free(docs, "_score")
+    return attention.score_documents(docs, model, score).where(F.col(score) >= attention.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the smallest doc_id, of equal ones the first row."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    groups = jaccard.jaccard_groups(rows.select(F.col("_row").alias("doc_id"), "text"))
-    named = groups.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).join(rows.select("_row", "doc_id"), "_row")
-    first = named.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
-    return rows.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    row = shared.free(docs, "_row")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    groups = jaccard.jaccard_groups(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    named = groups.join(rows.select(F.col(row).alias("row"), "doc_id"), "row")
+    first = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    return rows.join(first.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

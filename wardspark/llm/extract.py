@@ -20,7 +20,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from wardspark.llm import shared
 from wardspark.llm.tokens import slices
 
 #: Levels of elements around a block that get its points; what the next would get is too little to matter.
@@ -220,16 +222,15 @@ def main_text(page: str | None) -> str:
 def extract_pages(pages: DataFrame, html_column: str = "html") -> DataFrame:
     """``pages`` with text and n_chars instead of the html."""
     others = [c for c in pages.columns if c != html_column and c not in ("text", "n_chars")]
-    rows = pages.select(*others, F.col(html_column).alias("_html"))
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    made = rows.drop("_html").withColumn("text", F.lit("")).withColumn("n_chars", F.lit(0).cast("long")).schema
+    raw = shared.free(pages, "_html")
+    rows = pages.select(*others, F.col(html_column).alias(raw))
+    made = rows.drop(raw).withColumn("text", F.lit("")).withColumn("n_chars", F.lit(0).cast("long")).schema
     schema = to_arrow_schema(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "_html"):
-                texts = [main_text(p) for p in batch.column("_html").to_pylist()]
+            for batch in slices(whole, raw):
+                texts = [main_text(p) for p in batch.column(raw).to_pylist()]
                 columns = [batch.column(c) for c in others] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

@@ -10,8 +10,8 @@ when 100 * overlap >= 75 * union, that is when they share need(n, m) = ceil(3 (n
   it decides only how long the lists get, never which links are found.
 
 Lists are worked in two rounds, so that no group emits all its pairs. First each list ties its
-members to its smallest one, and links that hold are joined into components. Then only members
-of different components are paired, and only if they share enough of their listed shingles.
+members to one, and links that hold are joined into components. Then only members of different
+components are paired, and only those whose lists leave room for a link.
 Both rounds read the texts of the candidates and count their overlap exactly; sets that agree
 as a whole are one class from the start.
 
@@ -28,7 +28,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardspark.llm import shared
@@ -56,8 +56,12 @@ def listed(n):
     return n - -(-3 * n // 4) + 1
 
 
-def need_sql(n: str, m: str) -> Column:
-    return F.expr(f"cast(ceil(3 * ({n} + {m}) / 7) as int)")
+def least_shared(n: str, m: str) -> str:
+    """SQL for how many listed shingles linked sets of these sizes share at least.
+
+    What they share beyond their lists is at most what one of them does not list.
+    """
+    return f"greatest(1, ceil(3 * ({n} + {m}) / 7) - ceil(3 * greatest({n}, {m}) / 4) + 1)"
 
 
 @lru_cache(maxsize=256)
@@ -93,7 +97,7 @@ SHAPES = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kind 0: (doc_id, set size, tag) of each document. Kind 1: (shingle, count) of those that recur in a slice."""
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", 16_000_000):
             sets = shingle_sets(batch.column("text"), WIDTH)
             tags = [tag_of(s) for s in sets]
             once = [s for _, s in {t: s for t, s in zip(tags, sets, strict=True)}.items() if len(s)]
@@ -107,20 +111,21 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], schema=SHAPES)
 
 
-ENTRIES = pa.schema([("key", pa.int64()), ("tag", pa.int64()), ("n", pa.int32()), ("c", pa.int32())])
+ENTRIES = pa.schema([("key", pa.int64()), ("tag", pa.int64()), ("n", pa.int32()), ("c", pa.int32()), ("pos", pa.int32()), ("rare", pa.int32())])
+ENTRIES_DDL = "key long, tag long, n int, c int, pos int, rare int"
 
 
 def _entries(order, boundary: int):
-    """List entries of each distinct set of a slice; c is the subset's size, 0 for a listed shingle."""
+    """List entries of each distinct set of a slice; c is the subset's size, 0 for a listed shingle; pos is its place in the list of the set; rare counts the set's shingles that are not frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, level = order.value
         for whole in batches:
             for batch in slices(whole, "text"):
-                keys, tags, sizes, cs = [], [], [], []
+                keys, tags, sizes, cs, places, rares = [], [], [], [], [], []
                 sets = {tag_of(s): s for s in shingle_sets(batch.column("text"), WIDTH) if len(s)}
                 for tag, s in sets.items():
-                    n, got = len(s), []
+                    n, got, rare = len(s), [], len(s)
                     for c in subset_sizes(n, boundary) if n <= 4 * boundary // 3 else ():
                         spread = mix(s ^ np.uint64(c))
                         total = spread.sum(dtype=np.uint64)
@@ -131,6 +136,7 @@ def _entries(order, boundary: int):
                         if len(frequent):
                             at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                             rank = np.where(frequent[at] == s, level[at], 0)
+                            rare = n - int(np.count_nonzero(rank))
                             s = s[np.argsort(rank, kind="stable")[:k]] if rank.any() else s[:k]
                         got.append((s[:k], 0))
                     for found, c in got:
@@ -138,40 +144,38 @@ def _entries(order, boundary: int):
                         tags.append(np.full(len(found), tag, np.int64))
                         sizes.append(np.full(len(found), n, np.int32))
                         cs.append(np.full(len(found), c, np.int32))
+                        places.append(np.arange(len(found), dtype=np.int32))
+                        rares.append(np.full(len(found), rare, np.int32))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (tags, sizes, cs))], schema=ENTRIES)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (tags, sizes, cs, places, rares))], schema=ENTRIES)
 
     return run
 
 
-LISTS = pa.schema([*ENTRIES, ("hub", pa.int64()), ("hub_n", pa.int32())])
+LISTS = pa.schema([
+    ("key", pa.int64()), ("tag", pa.int64()), ("n", pa.int32()), ("c", pa.int32()), ("pos", pa.int32()), ("hub", pa.int64()), ("hub_n", pa.int32()),
+])
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries sorted by (key, c, tag) come in; those of lists with several sets go out, with the list's first set as hub.
+    """Entries sorted by (key, c, rare, tag) come in; those of lists with several sets go out, with the list's first set as hub.
 
-    Only the last entry is held between batches, so a list may be of any length.
+    The hub has the fewest rare shingles: of near copies it is the one closest to all others, in
+    whichever lists it stands. Only the last entry is held between batches, so a list may be of any length.
     """
-    held = None  # the last entry, whether it is known to be in company, and its list's hub
+    held = None  # the last entry, whether it is in company, and its list's hub
     for batch in batches:
-        key, tag, n, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        key, tag, n, c, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
         if not len(key):
             continue
-        company = np.zeros(len(key) + 1, bool)
-        hub, hub_n = tag.copy(), n.copy()
         if held:
-            key, tag, n, c = (np.concatenate([[h], x]).astype(x.dtype) for h, x in zip(held[0], (key, tag, n, c), strict=True))
-            hub, hub_n = tag.copy(), n.copy()
-            company = np.zeros(len(key), bool)
-            company[0] = held[1]
-        else:
-            company = company[:-1]
+            key, tag, n, c, pos = (np.concatenate([np.array([h], x.dtype), x]) for h, x in zip(held[0], (key, tag, n, c, pos), strict=True))
+        again = np.concatenate([[False], (key[1:] == key[:-1]) & (c[1:] == c[:-1]) & (tag[1:] == tag[:-1])])
+        if again.any():  # the same set from several slices
+            key, tag, n, c, pos = (x[~again] for x in (key, tag, n, c, pos))
         same = (key[1:] == key[:-1]) & (c[1:] == c[:-1])
-        again = np.concatenate([[False], same & (tag[1:] == tag[:-1])])
-        if again.any():  # the same set from several slices; its company stays with the one that is kept
-            keep = ~again
-            key, tag, n, c, company = key[keep], tag[keep], n[keep], c[keep], company[keep]
-            same = (key[1:] == key[:-1]) & (c[1:] == c[:-1])
+        company = np.zeros(len(key), bool)
+        company[0] = bool(held and held[1])
         company[1:] |= same
         company[:-1] |= same
         start = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(key)), 0))
@@ -180,8 +184,8 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hub[start == 0], hub_n[start == 0] = held[2]
         out = company[:-1]
         if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][out]) for x in (key, tag, n, c, hub, hub_n)], schema=LISTS)
-        held = ((key[-1], tag[-1], n[-1], c[-1]), bool(company[-1]), (hub[-1], hub_n[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][out]) for x in (key, tag, n, c, pos, hub, hub_n)], schema=LISTS)
+        held = ((key[-1], tag[-1], n[-1], c[-1], pos[-1]), bool(company[-1]), (hub[-1], hub_n[-1]))
     if held and held[1]:
         yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip((*held[0], *held[2]), LISTS, strict=True)], schema=LISTS)
 
@@ -236,26 +240,32 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     order = spark.sparkContext.broadcast((keys[by_key], level[by_key]))
     sizes = {r["n"]: r["count"] for r in classes.where(F.col("n") <= _SMALL_MOST).groupBy("n").count().collect()}
 
-    entries = docs.select("text").mapInArrow(_entries(order, choose_boundary(sizes)), "key long, tag long, n int, c int")
-    sorted_entries = entries.repartition("key").sortWithinPartitions("key", "c", "tag")
-    lists = shared.saved(sorted_entries.mapInArrow(_lists, "key long, tag long, n int, c int, hub long, hub_n int"), "lists")
+    entries = docs.select("text").mapInArrow(_entries(order, choose_boundary(sizes)), ENTRIES_DDL)
+    sorted_entries = entries.repartition("key").sortWithinPartitions("key", "c", "rare", "tag")
+    lists = shared.saved(sorted_entries.mapInArrow(_lists, "key long, tag long, n int, c int, pos int, hub long, hub_n int"), "lists")
 
     tied = lists.where("hub != tag").groupBy(F.col("hub").alias("a"), F.col("tag").alias("b"), F.col("hub_n").alias("n"), F.col("n").alias("m")).agg(
         F.max("c").alias("c"), F.expr("count_if(c = 0)").alias("shared"))
-    tied = shared.saved(_weighed(tied), "tied")
+    tied = shared.saved(_weighed(tied, least_shared("n", "m")), "tied")
     links = _links(tied, docs, classes)
     label = components(links)
 
-    here = lists.join(label.withColumnRenamed("node", "tag"), "tag", "left").select("key", "c", "tag", "n", F.coalesce("label", "tag").alias("label"))
+    here = lists.join(label.withColumnRenamed("node", "tag"), "tag", "left").select("key", "c", "tag", "n", "pos", F.coalesce("label", "tag").alias("label"))
     here = shared.saved(here, "labelled")
     split = here.groupBy("key", "c").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "c")
-    open_lists = shared.saved(here.join(split, ["key", "c"], "left_semi"), "open")
+    open_lists = here.join(split, ["key", "c"], "left_semi")
+    # A pair shares at least least_shared(n, m) listed shingles, all of them in open lists.
+    standing = here.where("c = 0").join(split, ["key", "c"], "left_semi").groupBy("tag").agg(F.count("*").cast("int").alias("open"))
+    open_lists = shared.saved(open_lists.join(standing, "tag", "left").select("key", "c", "tag", "n", "pos", "label", F.coalesce("open", F.lit(0)).alias("open")), "open")
     x, y = open_lists.alias("x"), open_lists.alias("y")
+    # It also shares one among the first n - need + 1 and m - need + 1 of their lists.
+    need_of = "ceil(3 * (x.n + y.n) / 7)"
+    can = f"if(x.c = 0, {least_shared('x.n', 'y.n')} <= least(x.open, y.open) and greatest(x.pos - x.n, y.pos - y.n) + {need_of} <= 0, x.c >= {need_of})"
     fits = "x.label != y.label and x.tag < y.tag and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)"
-    crossed = x.join(y, F.expr("x.key = y.key and x.c = y.c and " + fits)).groupBy(
+    crossed = x.join(y, F.expr(f"x.key = y.key and x.c = y.c and {fits} and {can}")).groupBy(
         F.col("x.tag").alias("a"), F.col("y.tag").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(
         F.max("x.c").alias("c"), F.expr("count_if(x.c = 0)").alias("shared"))
-    crossed = shared.saved(_weighed(crossed), "crossed")
+    crossed = shared.saved(_weighed(crossed, "1"), "crossed")
     more = _links(crossed, docs, classes)
     label = components(links.union(more))
 
@@ -265,12 +275,11 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     return shapes.join(member, "tag", "left").select("doc_id", F.col("n_shingles"), F.expr("if(n_shingles = 0, doc_id, component_id)").alias("component_id"))
 
 
-def _weighed(pairs: DataFrame) -> DataFrame:
-    """Pairs that link by a shared subset, or may link: beyond their shared listed shingles they share at most the rest."""
-    need_of = need_sql("n", "m")
-    rest = F.expr("cast(ceil(3 * greatest(n, m) / 4) as int) - 1")
-    fits = F.expr("4 * least(n, m) >= 3 * greatest(n, m)")
-    return pairs.withColumn("sure", (F.col("c") > 0) & (F.col("c") >= need_of)).where(F.col("sure") | ((F.col("shared") > 0) & (F.col("shared") + rest >= need_of) & fits)).select("a", "b", "sure")
+def _weighed(pairs: DataFrame, least: str) -> DataFrame:
+    """Pairs that link by a shared subset, or may link as they share at least ``least`` listed shingles."""
+    sure = F.expr("c > 0 and c >= ceil(3 * (n + m) / 7)")
+    may = F.expr(f"shared >= {least} and 4 * least(n, m) >= 3 * greatest(n, m)")
+    return pairs.withColumn("sure", sure).where(F.col("sure") | may).select("a", "b", "sure")
 
 
 def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
