@@ -15,22 +15,23 @@ from wardspark.functions.sqltext import strings
 
 # Word lists.
 STOPWORDS = (
-    "a an the and or but if then of to in on at by for with from as is are was were be been being this that "
-    "these those it its it's you your we our they their he she his her i me my do does did not no can could "
-    "would should will shall may might must have has had there here what which who when where why how all any "
-    "some each other more most than so such only own same too very"
-).split()
+    "a", "an", "the", "and", "or", "but", "if", "then", "of", "to", "in", "on", "at", "by", "for", "with", "from",
+    "as", "is", "are", "was", "were", "be", "been", "being", "this", "that", "these", "those", "it", "its", "it's",
+    "you", "your", "we", "our", "they", "their", "he", "she", "his", "her", "i", "me", "my", "do", "does", "did",
+    "not", "no", "can", "could", "would", "should", "will", "shall", "may", "might", "must", "have", "has", "had",
+    "there", "here", "what", "which", "who", "when", "where", "why", "how", "all", "any", "some", "each", "other",
+    "more", "most", "than", "so", "such", "only", "own", "same", "too", "very",
+)
 MEMORY_STOPWORDS = (
-    "the and for with from that this when where what have has was were are you your our their"
-).split()
+    "the", "and", "for", "with", "from", "that", "this", "when", "where", "what", "have", "has", "was", "were", "are",
+    "you", "your", "our", "their",
+)
 
 # Character sets and candidates.
 INVISIBLE = r"[\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\x{E0000}-\x{E007F}]"
 BASE64_RUN = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{16,}={0,2}(?![A-Za-z0-9+/=])"
 HEX_RUN = r"(?<![0-9a-fA-F])(?:[0-9a-fA-F]{2}){12,}(?![0-9a-fA-F])"
 SPACED_LETTERS = r"(?<=\b\w)[\s.\-_*]{1,2}(?=\w\b)"
-MAX_DECODE_CHARS = 16_384
-MAX_SEGMENTS = 8
 
 #: Latin text whose compatibility normal form is itself; anything else goes to the normaliser.
 _NFKC_STABLE = (
@@ -70,12 +71,11 @@ def has_long_run(text: Column) -> Column:
 
 
 def decoded_segments(text: Column, long_run: Column | None = None) -> Column:
-    """Readable plaintexts hidden as base64 or hex, at most eight, base64 first."""
+    """Readable plaintexts hidden as base64 or hex, base64 first."""
 
     def candidates(pattern: str) -> Column:
         runs = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        found = F.when(has_long_run(text) if long_run is None else long_run, runs).otherwise(F.array().cast("array<string>"))
-        return F.filter(found, lambda s: F.length(s) <= MAX_DECODE_CHARS)
+        return F.when(has_long_run(text) if long_run is None else long_run, runs).otherwise(F.array().cast("array<string>"))
 
     def from_base64(run: Column) -> Column:
         core = F.rtrim(run, F.lit("="))
@@ -99,7 +99,7 @@ def decoded_segments(text: Column, long_run: Column | None = None) -> Column:
         F.transform(candidates(BASE64_RUN), lambda s: readable(from_base64(s))),
         F.transform(candidates(HEX_RUN), lambda s: readable(F.try_to_binary(s, F.lit("hex")))),
     )
-    return F.slice(F.filter(plains, lambda p: p.isNotNull()), 1, MAX_SEGMENTS)
+    return F.filter(plains, lambda p: p.isNotNull())
 
 
 def words(text: Column) -> Column:

@@ -17,6 +17,11 @@ from wardspark.schema import FINDING_DDL
 from wardspark.session import ensure_checkpoint_dir
 
 
+@F.pandas_udf(StringType())
+def _glob_regex(globs: pd.Series) -> pd.Series:
+    return globs.map(regex.glob_regex, na_action="ignore")
+
+
 def parse_permission(role: str, spec: str | Mapping[str, Any]) -> tuple[str, str, str, str]:
     """``model:gpt-4*`` or ``!tool:shell.*`` as (role, resource_type, pattern, effect)."""
     if isinstance(spec, Mapping):
@@ -38,7 +43,7 @@ def permissions_from_policy(spark: SparkSession, model_access: Mapping[str, Sequ
     return spark.createDataFrame(rows, "role string, resource_type string, pattern string, effect string")
 
 
-def effective_roles(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def effective_roles(edges: DataFrame) -> DataFrame:
     """(role, inherits) edges closed under inheritance: (role, effective), every role reaching itself.
 
     Frontier expansion: each round joins only the pairs found last and keeps the new ones, so
@@ -50,13 +55,12 @@ def effective_roles(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     names = edges.select("role").union(edges.select("inherits")).distinct()
     found = names.select("role", F.col("role").alias("effective")).checkpoint()
     frontier = found
-    for _ in range(max_rounds):
+    while True:
         reached = frontier.select("role", F.col("effective").alias("_via")).join(step, "_via").select("role", "effective").distinct()
         frontier = reached.join(found, ["role", "effective"], "left_anti").checkpoint()
         if frontier.isEmpty():
             return found
         found = found.union(frontier)
-    raise ValueError(f"role graph deeper than {max_rounds}")
 
 
 def effective_roles_sql(edges: DataFrame) -> DataFrame:
@@ -77,14 +81,12 @@ def effective_roles_sql(edges: DataFrame) -> DataFrame:
 
 
 def audit_access(requests: DataFrame, permissions: DataFrame, closure: DataFrame | None = None, *, id_col: str = "event_id",
-                 roles: str = "roles", superusers: Sequence[str] = ("admin",), default_effect: str = "deny",
-                 max_permissions: int = 100_000) -> DataFrame:
+                 roles: str = "roles", superusers: Sequence[str] = ("admin",), default_effect: str = "deny") -> DataFrame:
     """(id, allowed, reason) for each request (id, roles, resource_type, resource).
 
     Superuser roles pass; a deny beats any allow; otherwise the default applies. Requests are
     first reduced to distinct (role, type, resource) triples, so glob matching runs once per
-    triple however often it was asked. The permission table is broadcast only after its size
-    is checked; above the bound it is joined on role instead.
+    triple however often it was asked. Whether the permission table is broadcast is Spark's choice.
     """
     asked = requests.select(id_col, roles, "resource_type", "resource")
     per_role = asked.select(id_col, "resource_type", "resource", F.explode(roles).alias("role"))
@@ -96,10 +98,9 @@ def audit_access(requests: DataFrame, permissions: DataFrame, closure: DataFrame
         triples_roles = triples.withColumn("_role", F.col("role"))
     rules = permissions.select(
         F.col("role").alias("_role"), F.col("resource_type").alias("_type"), "pattern", "effect",
-        F.udf(lambda g: regex.glob_regex(g), StringType())("pattern").alias("_re"),
+        _glob_regex("pattern").alias("_re"),
     )
-    small = permissions.limit(max_permissions + 1).count() <= max_permissions
-    matched = triples_roles.join(F.broadcast(rules) if small else rules, "_role").filter(
+    matched = triples_roles.join(rules, "_role").filter(
         (F.col("_type").isin("*") | (F.col("_type") == F.col("resource_type"))) & F.expr("resource rlike _re")
     )
     label = F.concat_ws(":", "_type", "pattern")

@@ -162,7 +162,7 @@ def suppress_cooldown(alerts: DataFrame, key: str = "rule_id", ts: str = "timest
     return ordered.mapInPandas(walk, alerts.schema)
 
 
-def alert_list(alerts: DataFrame, acks: DataFrame | None = None, unacknowledged_only: bool = False, limit: int | None = 100) -> DataFrame:
+def alert_list(alerts: DataFrame, acks: DataFrame | None = None, unacknowledged_only: bool = False, limit: int | None = None) -> DataFrame:
     """Newest alerts with their first acknowledgement (alert_id, acknowledged_ms, acknowledged_by)."""
     if acks is None:
         out = alerts.withColumns({"acknowledged_ms": F.lit(None).cast("bigint"), "acknowledged_by": F.lit(None).cast("string")})

@@ -73,11 +73,11 @@ def correlation_timeline(events: DataFrame, correlation_id: str) -> DataFrame:
     return events.filter(F.col("correlation_id") == correlation_id).orderBy("timestamp_ms", "event_id")
 
 
-def correlation_summary(events: DataFrame, max_stages: int = 10_000) -> DataFrame:
+def correlation_summary(events: DataFrame) -> DataFrame:
     """Each request's start, end, ordered stages, worst action and detectors.
 
-    ``stages`` lists one entry per event, so it is as long as the request; everything else is
-    a combined aggregate. A request beyond ``max_stages`` is never gathered: the job fails and says so.
+    ``stages`` lists one entry per event, so it is as long as the request (``correlation_timeline``
+    has them as rows); everything else is a combined aggregate.
     """
     at = F.struct("timestamp_ms", "event_id")
     plain = events.groupBy("correlation_id").agg(
@@ -86,28 +86,24 @@ def correlation_summary(events: DataFrame, max_stages: int = 10_000) -> DataFram
         F.count("*").alias("events"),
         F.max(F.struct(action_rank(F.col("action")).alias("r"), "action")).alias("_worst"),
     )
-    guard = F.when(F.col("events") > max_stages, F.raise_error(F.lit("correlation exceeds max_stages"))).otherwise(F.lit(True))
-    sized = plain.withColumn("_ok", guard)
-    bounded_runs = events.groupBy("correlation_id").agg(F.count("*").alias("_n")).filter(F.col("_n") <= max_stages)
-    short = events.select("correlation_id", "timestamp_ms", "event_id", "stage").join(bounded_runs, "correlation_id", "left_semi")
-    stages = short.groupBy("correlation_id").agg(
+    stages = events.groupBy("correlation_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("timestamp_ms", "event_id", "stage"))), lambda x: x["stage"]).alias("stages")
     )
     fired = events.select("correlation_id", F.explode("detectors_fired").alias("_d")).groupBy("correlation_id").agg(
         F.sort_array(F.collect_set("_d")).alias("detectors_fired")
     )
     return (
-        sized.filter("_ok").join(stages, "correlation_id", "left").join(fired, "correlation_id", "left")
+        plain.join(stages, "correlation_id", "left").join(fired, "correlation_id", "left")
         .withColumns({
             "duration_ms": F.col("ended_ms") - F.col("started_ms"),
             "outcome": F.col("_worst.action"),
             "detectors_fired": F.coalesce("detectors_fired", F.array().cast("array<string>")),
-        }).drop("_worst", "_ok")
+        }).drop("_worst")
     )
 
 
-def overview(events: DataFrame, instances: DataFrame | None = None, since_ms: int | None = None, top: int = 20) -> DataFrame:
-    """(facet, key, events) rows: totals, by action, by severity, top applications, and measures in ``value``.
+def overview(events: DataFrame, instances: DataFrame | None = None, since_ms: int | None = None, top: int | None = None) -> DataFrame:
+    """(facet, key, events) rows: totals, by action, by severity, by application (the ``top`` busiest, if given), and measures in ``value``.
 
     One scan and one shuffle: the facets are grouping sets over the same rows.
     """
@@ -122,7 +118,8 @@ def overview(events: DataFrame, instances: DataFrame | None = None, since_ms: in
     sets = sets.select(tag.alias("facet"), F.coalesce("action", "severity", "application", F.lit("all")).alias("key"),
                        "events", "_b", "_avg", "_max")
     # One row per action, severity and application: the ranked filter works on grouped rows only.
-    apps = sets.filter(F.col("facet") == "application").orderBy(F.desc("events"), "key").limit(top)
+    apps = sets.filter(F.col("facet") == "application")
+    apps = apps if top is None else apps.orderBy(F.desc("events"), "key").limit(top)
     value = lambda facet, col: sets.filter(F.col("facet") == "total").select(
         F.lit("measure").alias("facet"), F.lit(facet).alias("key"), F.col("events"), col.cast("double").alias("value"))
     plain = lambda d: d.select("facet", "key", "events", F.lit(None).cast("double").alias("value"))
@@ -345,7 +342,7 @@ def policy_dry_run(events: DataFrame, policy: Policy, full_facts: bool = False)
     return out.groupBy(F.col("action").alias("from_action"), F.col("new_action").alias("to_action")).agg(F.count("*").alias("events"))
 
 
-def policy_changes(events: DataFrame, policy: Policy, full_facts: bool = False, examples: int | None = 50) -> DataFrame:
+def policy_changes(events: DataFrame, policy: Policy, full_facts: bool = False, examples: int | None = None) -> DataFrame:
     """Events whose outcome would change; ``examples`` is how many the report shows, ``None`` all."""
     out = replayed(events, policy, full_facts).filter(F.col("new_action") != F.col("action")).select(
         "event_id", "correlation_id", F.col("action").alias("from_action"), F.col("new_action").alias("to_action"), "rules"

@@ -258,31 +258,44 @@ def scan_groundedness(answers: DataFrame, passages: DataFrame, key: str = "conv_
     )
 
 
-def scan_canary(outputs: DataFrame, canaries: DataFrame, text_col: str = "text", max_literals: int = 1_000, prefix: int = 8) -> DataFrame:
+_SEEN_BITS = 1 << 16
+
+
+def scan_canary(outputs: DataFrame, canaries: DataFrame, text_col: str = "text", prefix: int = 8) -> DataFrame:
     """Outputs holding a planted marker, one row per marker; ``canaries`` is (token).
 
-    Markers are few and made by hand: up to a checked number they become one expression over
-    the text. Beyond it, every window of ``prefix`` characters is joined on its hash to the
-    markers' beginnings and the pairs found are verified; shorter markers stay literal.
+    Markers are known by their first ``prefix`` characters (all, if they are shorter). Windows of
+    a text that no marker can begin with are dropped in place by a bitmap of fixed size; the rest
+    meet the markers by hash without their text, and the pairs found are verified on the text. One
+    plan serves any number of markers; with very many the bitmap fills and only drops less.
     """
     tokens = canaries.select("token").filter(F.length("token") > 0).distinct()
     text = F.col(text_col)
-
-    def literal(found: list[str]) -> DataFrame:
-        held = F.filter(sqltext.strings(found), lambda t: F.contains(text, t))
-        return outputs.select("*", F.explode(held).alias("token"))
-
-    some = [r[0] for r in tokens.limit(max_literals + 1).collect()]
-    if len(some) <= max_literals:
-        return literal(some)
-    short = [r[0] for r in tokens.filter(F.length("token") < prefix).limit(max_literals + 1).collect()]
-    if len(short) > max_literals:
-        raise ValueError(f"more than {max_literals} markers shorter than {prefix} characters")
-    keyed = tokens.filter(F.length("token") >= prefix).withColumn("_k", F.xxhash64(F.left("token", F.lit(prefix))))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - prefix + 1))
-    grams = outputs.withColumn("_k", F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(text, i, F.lit(prefix)))))))
-    long = grams.join(keyed, "_k").filter(F.contains(text, F.col("token"))).drop("_k")
-    return long.unionByName(literal(short))
+    start = F.left("token", F.lit(prefix))
+    keyed = tokens.select("token", F.length(start).alias("_n"), F.xxhash64(start).alias("_k"))
+    lengths = sorted(r[0] for r in keyed.select("_n").distinct().collect())  # at most ``prefix`` values
+    bits = keyed.select(F.pmod("_k", F.lit(_SEEN_BITS)).alias("b")).distinct()
+    packed = bits.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).collect()
+    seen = [0] * (_SEEN_BITS // 64)
+    for r in packed:
+        seen[r["w"]] = r["v"]
+    bitmap = F.array(*(F.lit(v).cast("bigint") for v in seen))
+
+    def known(k: Column) -> Column:
+        slot = F.pmod(k, F.lit(_SEEN_BITS))
+        return F.bit_get(F.element_at(bitmap, (F.shiftright(slot, 6) + 1).cast("int")), F.pmod(slot, F.lit(64)).cast("int")) == 1
+
+    def windows(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(text) - n + 1)
+        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.xxhash64(F.substring(text, i, F.lit(n)))))
+
+    hashes = [windows(n) for n in lengths]
+    every = F.flatten(F.filter(F.array(*hashes), lambda a: a.isNotNull())) if hashes else F.array().cast("array<bigint>")
+    same = F.struct(F.xxhash64(text).alias("a"), F.crc32(text.cast("binary")).alias("b"), F.length(text).alias("n"))
+    named = outputs.withColumn("_text", same)
+    grams = named.select("_text", F.explode(F.array_distinct(F.filter(every, known))).alias("_k"))
+    pairs = grams.join(keyed.select("_k", "token"), "_k").select("_text", "token").distinct()
+    return named.join(pairs, "_text").filter(F.contains(text, F.col("token"))).drop("_text")
 
 
 def scan_registered_secrets(outputs: DataFrame, registered: DataFrame, salt: str, id_col: str = "id",
@@ -291,9 +304,7 @@ def scan_registered_secrets(outputs: DataFrame, registered: DataFrame, salt: str
 
     Only registered lengths are windowed. Windows are hashed in place and joined on the digest.
     """
-    lengths = [r[0] for r in registered.filter(F.col("length") >= min_length).select("length").distinct().limit(1025).collect()]
-    if len(lengths) > 1024:
-        raise ValueError("more than 1,024 distinct secret lengths; register fewer shapes")
+    lengths = [r[0] for r in registered.filter(F.col("length") >= min_length).select("length").distinct().collect()]
     text = F.col(text_col)
     every = [
         F.when(F.length(text) >= n, F.transform(

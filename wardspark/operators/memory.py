@@ -5,6 +5,8 @@ Memories are (memory_id, content, trust, source, derived_from, transformations,
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ def provenance_edges(memories: DataFrame) -> DataFrame:
     return edges.join(known, "parent", "left_semi").select("child", "parent")
 
 
-def effective_trust(memories: DataFrame, max_rounds: int = 256) -> DataFrame:
+def effective_trust(memories: DataFrame) -> DataFrame:
     """Add ``effective_trust`` and ``authority``: no record outranks any ancestor.
 
     Lowered levels spread along the edges until none changes; a round touches only the
@@ -41,7 +43,7 @@ def effective_trust(memories: DataFrame, max_rounds: int = 256) -> DataFrame:
     start = F.when(orphan, F.lit(0)).when(merged, F.lit(5)).otherwise(authority(F.col("trust")))
     state = memories.join(parented, "memory_id", "left").select("memory_id", start.alias("level")).checkpoint()
     changed = state
-    for _ in range(max_rounds):
+    while True:
         offers = (
             edges.join(changed.withColumnRenamed("memory_id", "parent"), "parent")
             .groupBy(F.col("child").alias("memory_id")).agg(F.min("level").alias("_offer"))
@@ -56,8 +58,6 @@ def effective_trust(memories: DataFrame, max_rounds: int = 256) -> DataFrame:
         state = state.join(lowered, "memory_id", "left").select(
             "memory_id", F.coalesce("_low", "level").alias("level")
         ).checkpoint()
-    else:
-        raise ValueError(f"provenance deeper than {max_rounds}")
     confirmed = F.coalesce(F.col("user_confirmed"), F.lit(False)) & (F.col("level") >= AUTHORITY["user"])
     return memories.join(state, "memory_id").select(
         *memories.columns,
@@ -67,14 +67,14 @@ def effective_trust(memories: DataFrame, max_rounds: int = 256) -> DataFrame:
     )
 
 
-def lineage(memories: DataFrame, ids: DataFrame, max_rounds: int = 256) -> DataFrame:
+def lineage(memories: DataFrame, ids: DataFrame) -> DataFrame:
     """(memory_id, ancestor, depth): the full ancestry of each requested id, itself at depth 0."""
     ensure_checkpoint_dir(memories.sparkSession)
     edges = provenance_edges(memories).checkpoint()
     known = ids.select("memory_id").distinct().join(memories.select("memory_id"), "memory_id", "left_semi")
     found = known.select("memory_id", F.col("memory_id").alias("ancestor"), F.lit(0).alias("depth")).checkpoint()
     frontier = found
-    for depth in range(1, max_rounds):
+    for depth in count(1):
         up = (
             frontier.select("memory_id", F.col("ancestor").alias("child")).join(edges, "child")
             .select("memory_id", F.col("parent").alias("ancestor")).distinct()
@@ -83,7 +83,6 @@ def lineage(memories: DataFrame, ids: DataFrame, max_rounds: int = 256) -> DataF
         if frontier.isEmpty():
             return found
         found = found.union(frontier)
-    raise ValueError(f"provenance deeper than {max_rounds}")
 
 
 def recall(queries: DataFrame, memories: DataFrame, k: int = 5, min_trust: str | None = None) -> DataFrame:

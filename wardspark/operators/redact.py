@@ -46,9 +46,9 @@ def truncated(text: Column, limit: int) -> Column:
 
 def audit_payload(
     text: Column, findings: Column | None = None, *, mode: str = "redacted", salt: str = "", include: bool = True,
-    max_chars: int = 4000, extra: Sequence[str] = (),
+    max_chars: int = 0, extra: Sequence[str] = (),
 ) -> tuple[Column, Column]:
-    """What of a payload may be stored: (text, redacted labels)."""
+    """What of a payload may be stored: (text, redacted labels); ``max_chars`` 0 keeps all of it."""
     nothing = F.lit(None).cast("string")
     no_labels = F.array().cast("array<string>")
     if mode == "none" or not include:

@@ -38,29 +38,21 @@ def resolve_tool_risk(calls: DataFrame, specs: DataFrame | None = None, tool: st
     ).drop("_spec")
 
 
-def detect_rug_pulls(defs: DataFrame, pins: DataFrame | None = None, max_pins: int = 10_000,
-                     key: Sequence[str] = ("server", "name"), order: Sequence[str] = ("ts_ms", "seq")) -> DataFrame:
+def detect_rug_pulls(defs: DataFrame, pins: DataFrame | None = None, key: Sequence[str] = ("server", "name"),
+                     order: Sequence[str] = ("ts_ms", "seq")) -> DataFrame:
     """Definitions whose fingerprint differs from the pinned one; adds ``pinned`` and ``rug_pull``.
 
     The first fingerprint of a (server, tool) is its pin unless ``pins`` (server, name, fingerprint)
-    names one. Learned pins stop at ``max_pins``: the earliest-seen tools keep theirs. Both the first
-    sighting and the cap are aggregates, so a tool with a third of the rows is no hot group.
+    names one. The first sighting is an aggregate, so a tool with a third of the rows is no hot group.
     """
     keys = list(key)
-    at = F.struct(*order)
-    first = defs.groupBy(*keys).agg(F.min(at).alias("_first"), F.min_by("fingerprint", at).alias("_learned"))
+    first = defs.groupBy(*keys).agg(F.min_by("fingerprint", F.struct(*order)).alias("_learned"))
     if pins is not None:
-        known = pins.select(*keys, F.col("fingerprint").alias("_given"))
+        known = pins.groupBy(*keys).agg(F.min("fingerprint").alias("_given"))
         first = first.join(known, keys, "left")
     else:
         first = first.withColumn("_given", F.lit(None).cast("string"))
-    room = max_pins - (0 if pins is None else pins.count())
-    learned = first.filter(F.col("_given").isNull()).select(*keys, "_first")
-    # The cap bounds this sort: Spark plans it as a top-k of at most ``max_pins`` small rows.
-    admitted = learned.orderBy("_first", *keys).limit(max(0, room)).select(*keys, F.lit(True).alias("_in"))
-    table = first.join(admitted, keys, "left").select(
-        *keys, F.coalesce("_given", F.when(F.col("_in"), F.col("_learned"))).alias("pinned")
-    )
+    table = first.select(*keys, F.coalesce("_given", "_learned").alias("pinned"))
     return defs.join(table, keys, "left").withColumn(
         "rug_pull", F.coalesce(F.col("pinned") != F.col("fingerprint"), F.lit(False))
     )

@@ -202,7 +202,7 @@ def _net(spark, sf):
 
 @query("audit_payload", """
 SELECT doc_id, 'sha256:' || substr(sha256('pepper' || text), 1, 32) AS hashed,
- CASE WHEN length(text) > 4000 THEN substr(text, 1, 4000) || '…[truncated ' || (length(text) - 4000) || ' chars]' ELSE text END AS shown,
+ text AS shown,
  CAST(NULL AS VARCHAR) AS hidden FROM documents""")
 def _payload(spark, sf):
     t = F.col("text")

@@ -12,7 +12,6 @@ from wardspark.functions.text import join_nonblank
 from wardspark.operators.scan import settle
 from wardspark.schema import audit_event_schema
 
-HAYSTACK_CHARS = 8000
 # What a shipped event must carry, and the names it may use.
 REQUIRED = ("event_id", "correlation_id", "timestamp_ms", "stage", "action", "severity", "application")
 ACTION_NAMES = ("allow", "flag", "redact", "challenge", "block")
@@ -77,12 +76,18 @@ def normalise_event(events: DataFrame, received_ms: Column | None = None) -> Dat
         F.array_join(F.transform("findings", lambda f: F.coalesce(f["summary"], F.lit(""))), " "),
         F.array_join("detectors_fired", " "), F.array_join("threats", " "),
     ])
-    return lifted.withColumn("search_text", F.left(F.lower(hay), F.lit(HAYSTACK_CHARS)))
+    return lifted.withColumn("search_text", F.lower(hay))
 
 
 def idempotent_ingest(batch: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Rows of ``batch`` to store: one per event id, none already stored. Re-delivery is normal."""
-    fresh = batch.dropDuplicates(["event_id"])
+    """Rows of ``batch`` to store: one per event id, none already stored. Re-delivery is normal.
+
+    Of several deliveries the first received stays, of those received together the one with the
+    smallest digest of the whole row, so that a repeated run stores the same.
+    """
+    seen = [F.col("received_ms")] if "received_ms" in batch.columns else []
+    whole = F.struct(*batch.columns)
+    fresh = batch.groupBy("event_id").agg(F.min_by(whole, F.struct(*seen, F.sha2(F.to_json(whole), 256))).alias("_row")).select("_row.*")
     return fresh if stored is None else fresh.join(stored.select("event_id"), "event_id", "left_anti")
 
 
