@@ -395,15 +395,23 @@ def _all_anomalies(spark, sf):
     return AN.analyse_anomalies(e, A.minute_counters(e), _fleet(spark, sf))
 
 
-_ANOM = (_INJ_ROWS + ", an AS (SELECT 'repeated_injection' AS kind, CASE WHEN count(*) >= 10 THEN 'high' ELSE 'medium' END AS severity FROM r GROUP BY p, application HAVING count(*) >= 5 "
-         "UNION ALL SELECT 'cross_application_probe', 'high' FROM a GROUP BY k HAVING count(DISTINCT application) >= 2 AND count(*) FILTER (WHERE action IN ('block', 'challenge', 'flag')) > 0)")
+_QUIET = _SPIKE.replace("CASE WHEN b = (SELECT max(b) FROM m0) THEN 30 * n0 ELSE n0 END", "n0")
+_SAME_APP = _SURF.replace("concat(application, '-', k)", "application")
+_ANOM = (
+    _INJ_ROWS, _QUIET, _SAME_APP, _REPORTS_SQL,
+    "an AS (SELECT 'repeated_injection' AS kind, CASE WHEN count(*) >= 10 THEN 'high' ELSE 'medium' END AS severity FROM r GROUP BY p, application HAVING count(*) >= 5 "
+    "UNION ALL SELECT 'cross_application_probe', 'high' FROM a GROUP BY k HAVING count(DISTINCT application) >= 2 AND count(*) FILTER (WHERE action IN ('block', 'challenge', 'flag')) > 0 "
+    "UNION ALL SELECT 'volume_spike', 'medium' FROM ms WHERE cur > 0 AND (cur - mean) / sd >= 3 "
+    "UNION ALL SELECT 'new_attack_surface', 'medium' FROM h GROUP BY app HAVING count(*) FILTER (WHERE NOT late) > 0 "
+    "AND count(*) FILTER (WHERE NOT late AND action IN ('block', 'challenge')) = 0 AND count(*) FILTER (WHERE late AND action IN ('block', 'challenge')) > 0 "
+    f"UNION ALL SELECT 'coverage_gap', 'high' FROM inst WHERE environment = 'production' AND {_STATUS} = 'healthy')",
+)
 
 
-@query("analyse_anomalies", audit_sql("SELECT kind, severity, count(*) AS n FROM an GROUP BY ALL", _ANOM))
+@query("analyse_anomalies", audit_sql("SELECT kind, severity, count(*) AS n FROM an GROUP BY ALL", *_ANOM))
 def _anomalies(spark, sf):
-    """All kinds together; the two that recorded traffic can be checked on are compared."""
-    out = _all_anomalies(spark, sf).filter(F.col("kind").isin("repeated_injection", "cross_application_probe"))
-    return out.groupBy("kind", "severity").agg(F.count("*").alias("n"))
+    """All five kinds together."""
+    return _all_anomalies(spark, sf).groupBy("kind", "severity").agg(F.count("*").alias("n"))
 
 
 # --- alerts ------------------------------------------------------------------------------------------
@@ -434,10 +442,9 @@ def _threshold(spark, sf):
     return AL.threshold_alerts(with_scalars(e, now, "_now"), _THRESHOLDS, F.col("_now")).select("rule_id", "group_key", "count")
 
 
-@query("anomaly_alerts", audit_sql("SELECT 'rule_anomalies' AS rule_id, kind, count(*) AS n FROM an WHERE severity = 'high' GROUP BY ALL", _ANOM))
+@query("anomaly_alerts", audit_sql("SELECT 'rule_anomalies' AS rule_id, kind, count(*) AS n FROM an WHERE severity = 'high' GROUP BY ALL", *_ANOM))
 def _aalerts(spark, sf):
-    out = AL.anomaly_alerts(_all_anomalies(spark, sf)).filter(F.col("kind").isin("repeated_injection", "cross_application_probe"))
-    return out.groupBy("rule_id", "kind").agg(F.count("*").alias("n"))
+    return AL.anomaly_alerts(_all_anomalies(spark, sf)).groupBy("rule_id", "kind").agg(F.count("*").alias("n"))
 
 
 @query("suppress_cooldown")

@@ -368,7 +368,7 @@ WITH {PLANTED_SQL}, p AS (SELECT source, lang, doc_id, text,
     ELSE (CAST(substr(reverse(regexp_replace(raw, '[^0-9]', '', 'g')), i, 1) AS INT) * 2) // 10 + (CAST(substr(reverse(regexp_replace(raw, '[^0-9]', '', 'g')), i, 1) AS INT) * 2) % 10 END)) % 10 = 0)) > 0 AS hit FROM planted)
 SELECT source, lang, count(*) AS docs, count(*) FILTER (WHERE hit) AS redacted, count(*) FILTER (WHERE hit) AS low_risk, count(*) FILTER (WHERE NOT hit) AS no_risk FROM p GROUP BY ALL""")
 def _corpus(spark, sf):
-    """The flagship: scan, threats, risk, policy and decision over the corpus, by source and language."""
+    """Personal data of three kinds, then threats, risk, policy and decision, by source and language."""
     opts = {"entities": ["email", "ip_address", "credit_card"]}
     docs = planted(spark, sf)
     found = scan_all(docs, ScanInput(F.col("text"), stage="input"), names=["pii"], options={"pii": opts})
