@@ -39,6 +39,8 @@ from wardspark.llm.words import mix, shingle_sets
 WIDTH = 5
 #: Counts of frequent shingles kept as the order of rarity (a bound on what each task is sent).
 ORDER_SIZE = 400_000
+#: Shingles a task counts at a time.
+COUNTED = 2_000_000
 #: What checking one candidate costs, in listed rows.
 CHECK_COST = 40
 #: Documents compared with one hub in a task at a time.
@@ -94,21 +96,34 @@ def tag_of(hashes: np.ndarray) -> int:
 SHAPES = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("tag", pa.int64())])
 
 
+def _rows(kind: int, key: pa.Array, n, tag: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(tag), kind, np.int32)), key, pa.array(n, pa.int64()), pa.array(tag)], schema=SHAPES)
+
+
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: (doc_id, set size, tag) of each document. Kind 1: (shingle, count) of those that recur in a slice."""
+    """Kind 0: (doc_id, set size, tag) of each document. Kind 1: (shingle, count) of those that recur among ``COUNTED`` shingles or so."""
+    held: dict[int, np.ndarray] = {}  # distinct sets that are not counted yet
+    size = 0
+
+    def often() -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(list(held.values())), return_counts=True)
+        kept = counts >= 3
+        return _rows(1, pa.array(values[kept].view(np.int64)), counts[kept], np.zeros(kept.sum(), np.int64))
+
     for whole in batches:
-        for batch in slices(whole, "text", 16_000_000):
+        for batch in slices(whole, "text"):
             sets = shingle_sets(batch.column("text"), WIDTH)
             tags = [tag_of(s) for s in sets]
-            once = [s for _, s in {t: s for t, s in zip(tags, sets, strict=True)}.items() if len(s)]
-            values, counts = np.unique(np.concatenate(once), return_counts=True) if once else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = counts >= 3
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat([0, 1], [len(sets), often.sum()]), pa.int32()),
-                pa.concat_arrays([batch.column("doc_id"), pa.array(values[often].view(np.int64))]),
-                pa.array(np.concatenate([[len(s) for s in sets], counts[often]]), pa.int64()),
-                pa.array(np.concatenate([np.array(tags, np.int64), np.zeros(often.sum(), np.int64)])),
-            ], schema=SHAPES)
+            yield _rows(0, batch.column("doc_id"), [len(s) for s in sets], np.array(tags, np.int64))
+            for tag, s in zip(tags, sets, strict=True):
+                if len(s) and tag not in held:
+                    held[tag] = s
+                    size += len(s)
+            if size >= COUNTED:
+                yield often()
+                held, size = {}, 0
+    if held:
+        yield often()
 
 
 ENTRIES = pa.schema([("key", pa.int64()), ("tag", pa.int64()), ("n", pa.int32()), ("c", pa.int32()), ("pos", pa.int32()), ("rare", pa.int32())])

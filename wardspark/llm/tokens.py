@@ -22,12 +22,10 @@ import pyarrow.compute as pc
 
 END_ID = 1
 _KEPT = 1_000_000
-_UNSURE = re.compile("[\x00\x1c-\x1f\x85]")
+_UNSURE = ("<|", "\x00", "\x1c", "\x1d", "\x1e", "\x1f", "\x85")
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 # A word and the ASCII signs behind it: the two are always merged apart.
 _SIGNED = re.compile(r"(.*[A-Za-z0-9À-ÖØ-öø-ÿ])([!-/:-@\[-`{-~]+)", re.DOTALL)
-# White space other than one space between words or one line feed at the end of a word.
-_LOOSE = re.compile(r"^\s|\s$|\s\s|[^\S \n]")
 
 
 class Encoder:
@@ -51,13 +49,14 @@ class Encoder:
 
     def cut(self, text: str) -> list[str] | None:
         """Words of a text, each led by its white space if ids depend on that; None if the text is to go whole."""
-        if "<|" in text or _UNSURE.search(text):
+        if any(sign in text for sign in _UNSURE):
             return None
         if self.drops_space:
             return text.split()
-        if _LOOSE.search(text):
-            return [w if w[0] == " " else self.bare + w for w in _PIECES.findall(text)]
         words = text.replace("\n", " \n").split(" ")
+        single = "\n\n" not in text and "\n " not in text and text[-1] != "\n" and "" not in words
+        if not single or len(text.split()) != len(words):  # other white space than one sign between words
+            return [w if w[0] == " " else self.bare + w for w in _PIECES.findall(text)]
         words[0] = self.bare + words[0]
         return words
 
