@@ -314,24 +314,33 @@ def scan_authority_claims(data: ScanInput, opts: Options) -> Scan:
 # --- resource abuse ----------------------------------------------------------------
 
 
-def top_token_share(text: Column, min_tokens: int) -> Column:
-    """Share of the commonest token where there are ``min_tokens`` or more, exact from one half up.
+def top_token_share(text: Column, min_tokens: int, least: float = 0.5) -> Column:
+    """Share of the commonest token where there are ``min_tokens`` or more, exact from ``least`` up.
 
-    A token filling half of a sorted list sits at one of the two middle places.
+    A token filling half of a sorted list sits at one of the two middle places; smaller shares
+    take the longest run of the list.
     """
     ordered = F.sort_array(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\S+"), F.lit(0)))
 
-    def share(tokens: Column) -> Column:
+    def middle_share(tokens: Column) -> Column:
         n = F.size(tokens)
-
         middle = F.array_distinct(F.array(
             F.element_at(tokens, F.floor((n - 1) / 2).cast("int") + 1), F.element_at(tokens, F.floor(n / 2).cast("int") + 1)
         ))
         times = F.transform(middle, lambda w: F.size(F.filter(tokens, lambda t: t == w)))
         return F.when(n >= min_tokens, F.array_max(times) / n)
 
+    def longest_run(tokens: Column) -> Column:
+        def step(acc: Column, token: Column) -> Column:
+            run = F.when(acc["token"] == token, acc["run"] + 1).otherwise(F.lit(1))
+            return F.struct(token.alias("token"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+
+        start = F.struct(F.lit(None).cast("string").alias("token"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+        n = F.size(tokens)
+        return F.when(n >= min_tokens, F.aggregate(tokens, start, step, lambda acc: acc["best"]) / n)
+
     long_enough = F.length(text) >= 2 * min_tokens - 1
-    return F.when(long_enough, F.transform(F.array(ordered), share)[0])
+    return F.when(long_enough, F.transform(F.array(ordered), middle_share if least >= 0.5 else longest_run)[0])
 
 
 @detector("resource_abuse", stages=("input",), category="unbounded_consumption")
@@ -364,7 +373,7 @@ def scan_resource_abuse(data: ScanInput, opts: Options) -> Scan:
         ),
         [
             *_text(data),
-            {"_ra_share": top_token_share(data.text, int(opts.get("flood_min_tokens", S.FLOOD_MIN_TOKENS)))},
+            {"_ra_share": top_token_share(data.text, int(opts.get("flood_min_tokens", S.FLOOD_MIN_TOKENS)), share)},
             {"_ra_hits": present(tests)},
         ],
     )

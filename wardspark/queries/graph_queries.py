@@ -85,11 +85,24 @@ def _scope(spark, sf):
     return out.groupBy("tool", F.col("roles")[0].alias("role"), "scope_reason").agg(F.count("*").alias("n"))
 
 
+_MODEL_PERMISSIONS = (("agent", "model", "model-*", "allow"), ("agent", "model", "model-2", "deny"), ("analyst", "model", "model-0", "allow"))
+_MODEL_VERDICT = ("CASE role WHEN 'agent' THEN CASE model WHEN 'model-2' THEN 'denied by model:model-2' ELSE 'allowed by model:model-*' END "
+                  "ELSE CASE model WHEN 'model-0' THEN 'allowed by model:model-0' ELSE 'no permission for model:' || model || ' (roles: ' || role || ')' END END")
+
+
 @query("access_denials", audit_sql(
-    f"SELECT CASE WHEN principal_id IS NULL THEN 'unauthenticated' ELSE 'model_forbidden' END AS denial, CASE WHEN principal_id IS NULL THEN 'unauthenticated principal' ELSE 'model: ' || {_VERDICT} END AS denial_reason, count(*) AS n "
-    f"FROM a WHERE stage = 'tool_call' AND (principal_id IS NULL OR {_VERDICT} NOT LIKE 'allowed%') GROUP BY ALL"))
+    f"SELECT denial, CASE denial WHEN 'unauthenticated' THEN 'unauthenticated principal' WHEN 'model_forbidden' THEN 'model: ' || v ELSE 'rate limit exceeded for tenant:' || tenant END AS denial_reason, count(*) AS n FROM "
+    f"(SELECT CASE WHEN principal_id IS NULL THEN 'unauthenticated' WHEN {_MODEL_VERDICT} NOT LIKE 'allowed%' THEN 'model_forbidden' WHEN k % 5 = 0 THEN 'rate_limited' END AS denial, {_MODEL_VERDICT} AS v, tenant FROM a WHERE stage = 'tool_call') "
+    "WHERE denial IS NOT NULL GROUP BY ALL"))
 def _denials(spark, sf):
-    return AC.access_denials(_calls(spark, sf), _access(spark, sf)).groupBy("denial", "denial_reason").agg(F.count("*").alias("n"))
+    """Calls refused for their principal, their model or a limit, in that order; every fifth is over its tenant's limit."""
+    e = audit(spark, sf).filter("stage = 'tool_call'")
+    perms = spark.createDataFrame(list(_MODEL_PERMISSIONS), "role string, resource_type string, pattern string, effect string")
+    closure = AC.effective_roles(spark.createDataFrame(list(_ROLE_EDGES), "role string, inherits string"))
+    calls = _calls(spark, sf)
+    access = AC.audit_access(calls.select("event_id", "roles", F.lit("model").alias("resource_type"), F.col("model").alias("resource")), perms, closure)
+    limits = e.select("event_id", (F.substring("prompt", 15, 9).cast("int") % 5 != 0).alias("allowed"), F.concat(F.lit("tenant:"), "tenant").alias("scope"))
+    return AC.access_denials(calls, access, limits).groupBy("denial", "denial_reason").agg(F.count("*").alias("n"))
 
 
 @query("quota_lease", "SELECT 's' || s_suppkey AS scope, CAST(greatest(1, (s_suppkey + 5) // (SELECT count(*) FROM nation WHERE n_nationkey % 4 <> 0)) AS INT) AS rpm, CAST(greatest(1, greatest(1, s_suppkey // 3) // (SELECT count(*) FROM nation WHERE n_nationkey % 4 <> 0)) AS INT) AS burst FROM supplier")

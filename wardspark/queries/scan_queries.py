@@ -119,10 +119,10 @@ WITH {PLANTED_SQL}, t AS (SELECT doc_id, text, unnest(regexp_extract_all(lower(t
 g AS (SELECT doc_id, max(n) AS top, sum(n) AS total FROM (SELECT doc_id, w, count(*) AS n FROM t GROUP BY ALL) GROUP BY 1),
 s AS (SELECT p.doc_id, CASE WHEN length(text) > 20000 THEN 0.9 ELSE 0 END AS big, CASE WHEN g.total >= 200 AND g.top >= 0.1 * g.total THEN 0.7 ELSE 0 END AS flood,
  CASE WHEN regexp_matches(text, {re2(S.ENDLESS, True)}) THEN 0.55 ELSE 0 END AS endless FROM planted p LEFT JOIN g USING (doc_id))
-SELECT doc_id, CAST(greatest(big, endless) AS DOUBLE) AS score, CASE WHEN greatest(big, endless) >= 0.6 THEN 'block' ELSE 'flag' END AS action FROM s WHERE greatest(big, endless) > 0""")
+SELECT doc_id, flood > 0 AS flooded, CAST(greatest(big, flood, endless) AS DOUBLE) AS score, CASE WHEN greatest(big, flood, endless) >= 0.6 THEN 'block' ELSE 'flag' END AS action FROM s WHERE greatest(big, flood, endless) > 0""")
 def _abuse(spark, sf):
-    out = _scan(planted(spark, sf), "resource_abuse", "input", options={"max_chars": 20_000}).filter("f.detected")
-    return out.select("doc_id", "f.score", "f.action")
+    out = _scan(planted(spark, sf), "resource_abuse", "input", options={"max_chars": 20_000, "flood_share": 0.1}).filter("f.detected")
+    return out.select("doc_id", F.contains("f.evidence", F.lit("token_flood")).alias("flooded"), "f.score", "f.action")
 
 
 def _topic_sql(name: str) -> str:
