@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -81,16 +81,32 @@ def stream_export(events: DataFrame, sinks: Mapping[str, Callable[[DataFrame], N
     ).start()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def stream_volume_spike(counters: DataFrame, sink: Callable[[DataFrame], None], checkpoint: str, table: str,
                         horizon_ms: int = 15 * 60_000, **trigger: Any):
-    """Append minute counters (append mode input) and test the last horizon after each batch."""
+    """Keep the minute counters of the last horizon (append mode input) and test them after each batch.
+
+    Each batch writes what is within the horizon to a folder of its own, from its rows and the
+    folder of the batch before. A repeated batch overwrites the same folder, and no batch reads
+    more than one horizon.
+    """
 
     def check(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(table)
-        kept = batch.sparkSession.read.parquet(table).dropDuplicates(["bucket_ms", "application", "action"])
+        spark = batch.sparkSession
+        kept, before = batch, f"{table}/batch={batch_id - 1}"
+        if _exists(spark, before):
+            kept = kept.unionByName(spark.read.schema(batch.schema).parquet(before))
+        kept = kept.dropDuplicates(["bucket_ms", "application", "action"])
         newest = kept.agg(F.max("bucket_ms").alias("_newest"))
         recent = with_scalars(kept, newest, "_newest").filter(F.col("bucket_ms") > F.col("_newest") - horizon_ms)
-        sink(volume_spike(recent))
+        recent.select(*batch.columns).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        sink(volume_spike(spark.read.schema(batch.schema).parquet(f"{table}/batch={batch_id}")))
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/batch={batch_id - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return counters.writeStream.outputMode("append").foreachBatch(check).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})
@@ -106,7 +122,7 @@ def _rows(batches: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
 
 
 class _Cooldown(StatefulProcessor):
-    """Remembers when a rule last fired."""
+    """Remembers when a rule last fired: one number a rule."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", T.StructType([T.StructField("ms", T.LongType())]))
@@ -138,6 +154,8 @@ def stream_match_alerts(events: DataFrame, rules: Sequence[AlertRule]) -> DataFr
 
 
 class _Pins(StatefulProcessor):
+    """Pins never expire: a tool redefined after a long silence must still be reported. One small value a tool."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.pin = handle.getValueState("pin", T.StructType([T.StructField("fp", T.StringType())]))
 
