@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wardspark.functions import checks, regex, spans, sqltext
 from wardspark.functions import text as X
-from wardspark.functions.ranks import AUTHORITY, REQUIRED_AUTHORITY, SEVERITIES, TIERS, authority, lookup, rank, tier_rank, worst
+from wardspark.functions.ranks import AUTHORITY, REQUIRED_AUTHORITY, SEVERITIES, TIERS, authority, lookup, worst
 from wardspark.operators import signals as S
 from wardspark.operators.scan import (
     Scan,

@@ -11,7 +11,7 @@ from wardspark.operators.detectors import exfil_hosts
 from wardspark.operators.redact import audit_payload, safety_net
 from wardspark.operators.signals import PII, SAFETY_NET
 from wardspark.queries.base import (
-    AUDIT_SQL, CHATS_SQL, PLANTED_SQL, audit, chats, planted, quoted, query, re2, spread, table,
+    AUDIT_SQL, PLANTED_SQL, audit, planted, quoted, query, re2, spread, table,
 )
 from wardspark.sources.text import scan_totals, screened_lines
 
