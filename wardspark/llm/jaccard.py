@@ -39,6 +39,8 @@ from wardspark.llm.words import mix, shingle_sets
 WIDTH = 5
 #: Counts of frequent shingles kept as the order of rarity (a bound on what each task is sent).
 ORDER_SIZE = 400_000
+#: Bytes of text hashed at a time: a task holds some fifty times as much for its words.
+SLICE = 2_000_000
 #: Shingles a task counts at a time.
 COUNTED = 2_000_000
 #: What checking one candidate costs, in listed rows.
@@ -111,7 +113,7 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _rows(1, pa.array(values[kept].view(np.int64)), counts[kept], np.zeros(kept.sum(), np.int64))
 
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", SLICE):
             sets = shingle_sets(batch.column("text"), WIDTH)
             tags = [tag_of(s) for s in sets]
             yield _rows(0, batch.column("doc_id"), [len(s) for s in sets], np.array(tags, np.int64))
@@ -136,7 +138,7 @@ def _entries(order, boundary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, level = order.value
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 keys, tags, sizes, cs, places, rares = [], [], [], [], [], []
                 sets = {tag_of(s): s for s in shingle_sets(batch.column("text"), WIDTH) if len(s)}
                 for tag, s in sets.items():
@@ -212,7 +214,7 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (a, chunk, hub first) come in: the hub's text, then texts to compare with it. Links go out."""
     at, base, base_n = None, None, 0
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", SLICE):
             sets = shingle_sets(batch.column("text"), WIDTH)
             found: list[tuple[int, int]] = []
             for a, chunk, hub, tag, s in zip(*(batch.column(c).to_pylist() for c in ("a", "chunk", "hub", "tag")), sets, strict=True):
