@@ -39,7 +39,7 @@ from wardspark.llm.words import mix, shingle_sets
 WIDTH = 5
 #: Counts of frequent shingles kept as the order of rarity (a bound on what each task is sent).
 ORDER_SIZE = 400_000
-#: Bytes of text hashed at a time: a task holds some fifty times as much for its words.
+#: Bytes of text hashed at a time; a task holds several arrays of eight bytes for each of them.
 SLICE = 2_000_000
 #: Shingles a task counts at a time.
 COUNTED = 2_000_000

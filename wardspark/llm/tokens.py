@@ -27,6 +27,16 @@ _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 # A word and the ASCII signs behind it: the two are always merged apart.
 _SIGNED = re.compile(r"(.*[A-Za-z0-9À-ÖØ-öø-ÿ])([!-/:-@\[-`{-~]+)", re.DOTALL)
 
+_LATIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)")
+_SAMPLE = ("a", "The", "ÉTÉ", "straße", "ÿ", "Übermut", "thereof")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write bytes: printable ones as they are, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
 
 class Encoder:
     """Ids of texts as little-endian unsigned integers of ``dtype``; words seen are remembered up to a bound."""
@@ -42,11 +52,22 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         one = [e.ids for e in self.library.encode_batch(["b", " b"], add_special_tokens=False)]
         self.drops_space = one[0] == one[1]
+        self.letters = _byte_letters()
+        self.lowers = self.library.encode("ABC", add_special_tokens=False).ids == self.library.encode("abc", add_special_tokens=False).ids
+        words = [*_SAMPLE, *(f" {w}" for w in _SAMPLE)]
+        self.direct = [self.merged(_LATIN.fullmatch(w)) for w in words] == self.whole(words)
         self.bare = "" if self.drops_space else "\0"  # leads a word of ``cut`` that no white space leads
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array.array(self.code, e.ids).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def merged(self, word: re.Match) -> bytes:
+        """Ids of a word of Latin letters, which is split no further, from the library's merges alone."""
+        space, core = word.groups()
+        core = (core.lower() if self.lowers else core).encode().decode("latin-1").translate(self.letters)
+        lead = "" if self.drops_space or not space else self.letters[32]
+        return array.array(self.code, [t.id for t in self.library.model.tokenize(lead + core)]).tobytes()
+
     def cut(self, text: str) -> list[str] | None:
         """Words of a text, each led by its white space if ids depend on that; None if the text is to go whole."""
         if any(sign in text for sign in _UNSURE):
@@ -75,7 +96,11 @@ class Encoder:
             signed = {w: m.groups() for w in new if (m := _SIGNED.fullmatch(w))}
             plain = (new - signed.keys()) | {w for w, _ in signed.values()} | {self.bare + s for _, s in signed.values()}
             plain = [w for w in plain if w not in known]
-            got = dict(zip(plain, self.whole([self.spelled(w) for w in plain]), strict=True))
+            spelled = [self.spelled(w) for w in plain]
+            latin = {w: m for w, x in zip(plain, spelled, strict=True) if (m := _LATIN.fullmatch(x))} if self.direct else {}
+            got = {w: self.merged(m) for w, m in latin.items()}
+            other = [(w, x) for w, x in zip(plain, spelled, strict=True) if w not in latin]
+            got |= zip((w for w, _ in other), self.whole([x for _, x in other]), strict=True)
             part = lambda w: known.get(w) or got[w]
             got |= {w: part(a) + part(self.bare + b) for w, (a, b) in signed.items()}
             if len(known) < self.keep:
