@@ -98,6 +98,26 @@ def test_token_files_hold_all_documents(spark, odd, empty, monkeypatch):
     assert rans.read_tokens(spark, folder).count() == 0
 
 
+def test_token_files_keep_order_when_a_task_reads_many_ranges(spark):
+    """One task reads the largest range first; what lies between two of its ranges must not be skipped."""
+    conf = {"spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    rng = np.random.default_rng(5)
+    noise = lambda n: " ".join(str(v) for v in rng.integers(0, 10**9, n))
+    docs = spark.createDataFrame([(i, noise((400, 5, 200, 50)[i // 50])) for i in range(200)], "doc_id long, text string").repartition(3)
+    folder = shared.shared_path(spark, "rans")
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rans.write_tokens(docs, folder, WORD_BPE)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    got = sorted(rans.read_tokens(spark, folder).collect(), key=lambda r: r["doc_id"])
+    assert [r["doc_id"] for r in got] == list(range(200))
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got[:-1])]).tolist()
+
+
 def check_pieces(rows, want, sequence):
     """Every id lies in one piece, and sequences have no gaps."""
     by_doc = defaultdict(list)

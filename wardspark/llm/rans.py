@@ -165,7 +165,8 @@ def _codec(folder: str) -> Codec:
 class _File:
     """One output file: ids in, blocks out; documents may run across blocks."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, place: int):
+        self.place = place
         self.path = f"{folder}/{uuid.uuid4().hex}.rans"
         self.codec = _codec(folder)
         store, inner = files.at(self.path)
@@ -205,7 +206,7 @@ class _File:
         self.out.write(directory)
         self.out.write(struct.pack("<QQQQI", self.at, len(directory), len(self.docs), len(self.blocks), zlib.crc32(directory)) + MAGIC)
         self.out.close()
-        return {"file": self.path.rpartition("/")[2], "first": self.docs[0], "last": self.docs[-1], "docs": len(self.docs), "ids": self.n}
+        return {"file": self.path.rpartition("/")[2], "place": self.place, "first": self.docs[0], "last": self.docs[-1], "docs": len(self.docs), "ids": self.n}
 
 
 @dataclass
@@ -221,21 +222,21 @@ class _Writer(DataSourceArrowWriter):
         made: list[dict] = []
         file, last = None, None
         for batch in iterator:
-            for doc, raw, wide in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), batch.column("width").to_pylist(), strict=True):
-                # A task may read several ranges of documents; each file holds one ascending run.
-                if file and (file.n >= FILE_IDS or (doc is None and last is not None) or (doc is not None and last is not None and doc < last)):
+            for place, doc, raw, wide in zip(*(batch.column(c).to_pylist() for c in ("place", "doc_id", "ids", "width")), strict=True):
+                # A task may read several ranges of documents in any order; each file holds one run without gaps.
+                if file and (file.n >= FILE_IDS or place != last + 1):
                     made.append(file.close())
                     file = None
-                file = file or _File(self.folder)
+                file = file or _File(self.folder, place)
                 file.add(doc, np.frombuffer(raw, "<u2" if wide == 2 else "<u4"))
-                last = doc
+                last = place
         if file:
             made.append(file.close())
         return _Written(made)
 
     def commit(self, messages: list[_Written | None]) -> None:
         made = [f for m in messages if m for f in m.made]
-        made.sort(key=lambda f: (f["first"] is not None, f["first"] or 0, f["last"] or 0, f["file"]))
+        made.sort(key=lambda f: f["place"])
         start = 0
         for f in made:
             f["start"] = start
@@ -355,12 +356,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, ids and their width in bytes, in files that ascend by doc_id."""
+    """doc_id, n_tokens, ids, their width in bytes and place, which ascends by doc_id over all files and has no gaps within one."""
     width = tokens.encoder(vocabulary).dtype.itemsize
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     ids = ordered.mapInArrow(tokens.encode_batches(vocabulary, schema), "doc_id long, n_tokens long, ids binary")
-    return shared.saved(ids.withColumn("width", F.lit(width)), "ids")
+    return shared.saved(ids.withColumns({"width": F.lit(width), "place": F.monotonically_increasing_id()}), "ids")
 
 
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str) -> None:
@@ -373,7 +374,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str) -> None:
     table = Frequencies.of(np.array([r["id"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64))
     files.write_bytes(f"{folder}/frequencies.bin", table.to_bytes())
     spark.dataSource.register(RansTokens)
-    ids.select("doc_id", "ids", "width").write.format("rans_tokens").option("path", folder).mode("append").save()
+    ids.select("doc_id", "ids", "width", "place").write.format("rans_tokens").option("path", folder).mode("append").save()
     shared.discard(ids)
 
 
