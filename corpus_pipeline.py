@@ -42,8 +42,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate, rounded, says: once for most, never for toxic ones."""
-    rates = mixing.mix(docs, _labels(spark, sf_dir), TARGETS)
+    """Each document once or, with the chance that its rate leaves, not at all; none twice, as near copies are gone."""
+    rates = mixing.mix(docs, _labels(spark, sf_dir), TARGETS, most=1.0)
     return mixing.apply_rates(docs, rates)
 
 

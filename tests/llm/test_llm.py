@@ -299,6 +299,29 @@ def test_mixing_of_odd_tables(spark, odd, empty):
     assert mixing.apply_rates(odd, rates).count() == 2 * (len(ODD) + 2)
 
 
+def test_fractional_rates_keep_their_totals(spark):
+    docs = shared.saved(spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")), "docs")
+    wanted = [0.4, 0.6, 1.0, 2.5]
+    rates = docs.select(F.monotonically_increasing_id().alias("_row"), F.element_at(F.lit(wanted), (F.col("doc_id") % 4 + 1).cast("int")).alias("rate"))
+    got = {r["k"]: r for r in mixing.apply_rates(docs, rates).groupBy((F.col("doc_id") % 4).alias("k")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs")).collect()}
+    assert all(abs(got[k]["n"] / 5000 - w) < 0.03 for k, w in enumerate(wanted))
+    assert got[2]["n"] == got[2]["docs"] == 5000 and got[3]["docs"] == 5000
+
+
+def test_the_mixing_stage_keeps_clean_documents_once(spark, sf):
+    big = sf.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
+    rates = shared.saved(mixing.mix(docs, labels, corpus_pipeline.TARGETS, most=1.0), "rates")
+    out = shared.saved(corpus_pipeline.mix_sources(spark, docs, big), "mixed")
+    expected = rates.agg(F.sum(F.col("rate") * F.col("n_words"))).first()[0]
+    words = out.agg(F.sum(F.expr("size(filter(split(text, '[ \n\t\r\x0b\x0c]'), w -> w != ''))"))).first()[0]
+    assert out.count() == out.select("doc_id").distinct().count() and abs(words / expected - 1) < 0.05
+    clean = rates.where("p_good > 0.95").select("doc_id")
+    assert out.join(clean, "doc_id").count() >= 0.98 * clean.count()
+    assert mixing.shortfalls(rates, corpus_pipeline.TARGETS)["good"] > 0  # no repeats: what is missing is reported
+    assert mixing.shortfalls(mixing.mix(docs, labels, corpus_pipeline.TARGETS, most=None), corpus_pipeline.TARGETS)["good"] < 0.02
+
+
 # --- pages ----------------------------------------------------------------------------------
 
 PAGE = """<html><head><title>t</title></head><body><header class="site-header"><a href=/>Home</a></header><div id="cookie-notice">We use cookies, ok?</div>

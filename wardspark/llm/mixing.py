@@ -151,8 +151,8 @@ def posteriors(docs: DataFrame, model: Domains) -> DataFrame:
     return shared.saved(joined.select("doc_id", "_row", F.coalesce("n_words", F.lit(0)).alias("n_words"), *filled), "posteriors")
 
 
-def fit_rates(rows: DataFrame, names: list[str], targets: dict[str, float], steps: int = STEPS, ridge: float = RIDGE, most: float = MOST) -> DataFrame:
-    """``rows`` with rate. Every few steps the rates are written, which keeps plans short."""
+def fit_rates(rows: DataFrame, names: list[str], targets: dict[str, float], steps: int = STEPS, ridge: float = RIDGE, most: float | None = MOST) -> DataFrame:
+    """``rows`` with rate, unbounded if ``most`` is None. Every few steps the rates are written, which keeps plans short."""
     wanted = np.array([max(0.0, targets.get(d, 0.0)) for d in names])
     if len(names) < 2 or not wanted.sum():
         return rows.withColumn("rate", F.lit(1.0))
@@ -168,22 +168,38 @@ def fit_rates(rows: DataFrame, names: list[str], targets: dict[str, float], step
         sums = ahead.agg(*(F.sum(F.col("_ahead") * F.col("n_words") * F.col(f"p_{d}")).alias(d) for d in names)).first()
         pull = [float(sums[d]) / total - float(w) for d, w in zip(names, wanted, strict=True)]
         slope = sum((F.col(f"p_{d}") * c for d, c in zip(names, pull, strict=True)), F.lit(0.0)) + ridge * (F.col("_ahead") - 1)
-        new = F.least(F.greatest(F.col("_ahead") - step * slope, F.lit(0.0)), F.lit(most))
+        new = F.greatest(F.col("_ahead") - step * slope, F.lit(0.0))
+        new = new if most is None else F.least(new, F.lit(most))
         now = ahead.select(*rows.columns, F.col("rate").alias("_old"), new.alias("rate"))
         if k % 6 == 5:
             now = shared.saved(now, "rates")
     return now.drop("_old")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = DOMAIN) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = DOMAIN, most: float | None = MOST) -> DataFrame:
     """doc_id, _row, n_words, posteriors p_<domain> and rate of every document."""
     model = fit_domains(docs, labels, domain)
-    return fit_rates(posteriors(docs, model), model.names, targets)
+    return fit_rates(posteriors(docs, model), model.names, targets, most=most)
+
+
+def shortfalls(rates: DataFrame, targets: dict[str, float]) -> dict[str, float]:
+    """By domain: its target less its expected words, as a share of all words; a bound on rates leaves some above 0."""
+    names = [c[2:] for c in rates.columns if c.startswith("p_")]
+    wanted = {d: max(0.0, targets.get(d, 0.0)) for d in names}
+    sums = rates.agg(F.sum("n_words").alias("_all"), *(F.sum(F.col("rate") * F.col("n_words") * F.col(f"p_{d}")).alias(f"p_{d}") for d in names)).first()
+    if not sums["_all"] or not sum(wanted.values()):
+        return {}
+    return {d: w / sum(wanted.values()) - sums[f"p_{d}"] / sums["_all"] for d, w in wanted.items()}
 
 
 def apply_rates(docs: DataFrame, rates: DataFrame) -> DataFrame:
-    """``docs`` with each row as often as its rate, rounded; ``rates`` come from the same rows by ``_row``."""
+    """``docs`` with each row as often as its rate: the whole part, and once more with the chance of the rest.
+
+    The chance is a hash of the row's number, so expected totals are those of the rates; ``rates``
+    come from the same rows by ``_row``.
+    """
     row, copies, copy = (shared.free(docs, n) for n in ("_row", "_copies", "_copy"))
-    rounded = rates.select(F.col("_row").alias(row), F.round("rate").cast("int").alias(copies))
-    kept = docs.withColumn(row, F.monotonically_increasing_id()).join(rounded, row).where(F.col(copies) > 0)
+    chance = F.pmod(F.xxhash64(F.lit("copies"), "_row"), F.lit(1 << 32)) / float(1 << 32)
+    whole = rates.select(F.col("_row").alias(row), F.floor(F.col("rate") + chance).cast("int").alias(copies))
+    kept = docs.withColumn(row, F.monotonically_increasing_id()).join(whole, row).where(F.col(copies) > 0)
     return kept.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
