@@ -34,7 +34,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the smallest doc_id, of equal ones the first row."""
     row = shared.free(docs, "_row")
-    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    rows = shared.numbered(docs, row)
     groups = jaccard.jaccard_groups(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
     named = groups.join(rows.select(F.col(row).alias("row"), "doc_id"), "row")
     first = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
@@ -43,8 +43,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document once or, with the chance that its rate leaves, not at all; none twice, as near copies are gone."""
-    rates = mixing.mix(docs, _labels(spark, sf_dir), TARGETS, most=1.0)
-    return mixing.apply_rates(docs, rates)
+    row = shared.free(docs, "_row")
+    rows = shared.numbered(docs, row)
+    rates = mixing.mix(rows, _labels(spark, sf_dir), TARGETS, most=1.0, row=row)
+    return mixing.apply_rates(rows, rates, row).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -492,6 +492,30 @@ def test_stages_of_the_pipeline(spark, sf):
         assert stage(spark, docs.where("false"), sf).count() == 0
 
 
+@pytest.mark.parametrize("stage, module, name", [("drop_near_copies", jaccard, "jaccard_groups"), ("mix_sources", mixing, "mix")])
+def test_stages_keep_row_numbers_when_scans_split_anew(spark, sf, monkeypatch, stage, module, name):
+    """After the first jobs of a stage the table is scanned in another number of splits."""
+    docs = shared.saved(spark.read.parquet(f"{sf}/documents.parquet").repartition(6, "doc_id"), "docs")
+    run = lambda: sorted(r["doc_id"] for r in getattr(corpus_pipeline, stage)(spark, docs, sf).collect())
+    want = run()
+    real = getattr(module, name)
+
+    def then_split_anew(*args, **kw):
+        made = shared.saved(real(*args, **kw), "made")
+        for k, v in {"openCostInBytes": "0", "minPartitionNum": "1"}.items():
+            spark.conf.set(f"spark.sql.files.{k}", v)
+        return made
+
+    monkeypatch.setattr(module, name, then_split_anew)
+    try:
+        got = run()
+    finally:
+        for k in ("openCostInBytes", "minPartitionNum"):
+            spark.conf.unset(f"spark.sql.files.{k}")
+    # Numbers decide which documents are thinned, so mixing is compared by what is surely kept.
+    assert got == want if stage == "drop_near_copies" else len(got) > 0.9 * len(want)
+
+
 def groups_of_sets(texts):
     """How many groups of near copies there are, by an inverted index."""
     sets = [shingles(t) for t in texts]

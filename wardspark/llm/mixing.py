@@ -132,10 +132,10 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN, most:
     return Domains(names, words, signs, slope, offset, per / per.sum())
 
 
-def posteriors(docs: DataFrame, model: Domains) -> DataFrame:
-    """``docs`` with ``_row`` (a number of each row), n_words and p_<domain>, written once."""
+def posteriors(docs: DataFrame, model: Domains, row: str | None = None) -> DataFrame:
+    """``docs`` with ``_row`` (its column ``row``, or a number of each row), n_words and p_<domain>, written once."""
     n = len(model.names)
-    numbered = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
+    numbered = docs.select("doc_id", "text", F.col(row).alias("_row")) if row else shared.numbered(docs.select("doc_id", "text"), "_row")
     if model.words is None:
         words = F.size(F.filter(_split("text"), lambda w: w != "")).cast("long")
         return shared.saved(numbered.select("doc_id", "_row", words.alias("n_words"), *(F.lit(1.0).alias(f"p_{d}") for d in model.names)), "posteriors")
@@ -176,10 +176,10 @@ def fit_rates(rows: DataFrame, names: list[str], targets: dict[str, float], step
     return now.drop("_old")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = DOMAIN, most: float | None = MOST) -> DataFrame:
-    """doc_id, _row, n_words, posteriors p_<domain> and rate of every document."""
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = DOMAIN, most: float | None = MOST, row: str | None = None) -> DataFrame:
+    """doc_id, _row, n_words, posteriors p_<domain> and rate of every document; ``row`` names a column that numbers them."""
     model = fit_domains(docs, labels, domain)
-    return fit_rates(posteriors(docs, model), model.names, targets, most=most)
+    return fit_rates(posteriors(docs, model, row), model.names, targets, most=most)
 
 
 def shortfalls(rates: DataFrame, targets: dict[str, float]) -> dict[str, float]:
@@ -192,14 +192,15 @@ def shortfalls(rates: DataFrame, targets: dict[str, float]) -> dict[str, float]:
     return {d: w / sum(wanted.values()) - sums[f"p_{d}"] / sums["_all"] for d, w in wanted.items()}
 
 
-def apply_rates(docs: DataFrame, rates: DataFrame) -> DataFrame:
+def apply_rates(docs: DataFrame, rates: DataFrame, number: str | None = None) -> DataFrame:
     """``docs`` with each row as often as its rate: the whole part, and once more with the chance of the rest.
 
-    The chance is a hash of the row's number, so expected totals are those of the rates; ``rates``
-    come from the same rows by ``_row``.
+    The chance is a hash of the row's number, so expected totals are those of the rates. ``number``
+    is the column of ``docs`` that numbered the rows for ``mix`` (see ``shared.numbered``); without
+    it rows are numbered anew, which is right only for a scan that cannot be split differently.
     """
     row, copies, copy = (shared.free(docs, n) for n in ("_row", "_copies", "_copy"))
     chance = F.pmod(F.xxhash64(F.lit("copies"), "_row"), F.lit(1 << 32)) / float(1 << 32)
     whole = rates.select(F.col("_row").alias(row), F.floor(F.col("rate") + chance).cast("int").alias(copies))
-    kept = docs.withColumn(row, F.monotonically_increasing_id()).join(whole, row).where(F.col(copies) > 0)
+    kept = docs.withColumn(row, F.col(number) if number else F.monotonically_increasing_id()).join(whole, row).where(F.col(copies) > 0)
     return kept.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

@@ -59,6 +59,11 @@ def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number for each row under ``name``, written once: a scan done again may number its rows differently."""
+    return saved(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a table from ``saved`` that nothing will read again."""
     spark = df.sparkSession
