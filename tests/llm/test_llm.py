@@ -342,6 +342,15 @@ def test_main_text_of_a_page():
     assert extract.main_text("<div>y" * 5000).count("y") == 5000 and extract.main_text('<a "' * 5000) == ""
 
 
+def test_pages_without_article_keep_what_lies_beside_the_body():
+    long = "<p>" + "Some words, and more words, that make a paragraph of text. " * 4 + "</p>"
+    said = " ".join(re.sub("<.?p>", " ", long).split())
+    assert extract.main_text(f"<div><h1>Title</h1><div class=body>{long * 3}</div><p>Short last line.</p></div>") == f"Title {said} {said} {said} Short last line."
+    page = f"<body><nav>Menu</nav><h1>T</h1>before<div class=body>{long * 3}</div>loose, text<ul><li>one<li>two</ul><blockquote>Quote</blockquote><pre>x = 1</pre>"
+    page += f"<section>Short part.</section><div>{long}</div><p>End.</p><ul><li><a href=a>link</a><li><a href=b>other</a></ul><footer>F</footer></body>"
+    assert extract.main_text(page) == f"T before {said} {said} {said} loose, text one two Quote x = 1 Short part. {said} End."
+
+
 def test_given_pages_give_their_article(spark, sf):
     def article(page):
         a, b = page.find("<article>"), page.find("</article>")

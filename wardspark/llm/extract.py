@@ -3,8 +3,10 @@
 Each block of text passes points for its length and commas to the elements around it: whole
 points to the nearest container, half to the next, then a third of a level's share. A container's
 points are discounted by the share of its text that is link text. The best container is kept
-(the whole article element if it lies in one), with those of its siblings that score a fifth of
-it or are long prose; parts that are never main text by tag, role, class or id are left out.
+(the whole article element if it lies in one). Of its siblings those stay that score a fifth of
+it or are long prose; outside of articles also headings, paragraphs, lists, quotes, tables and loose
+text of the parent that are not mostly links, and whatever else of that kind lies between kept ones.
+Parts that are never main text by tag, role, class or id are left out.
 
 Null and empty pages give an empty text, as do pages without text of their own; broken or cut
 markup ends where the page ends; repeated rows give repeated results; an empty table gives no
@@ -48,6 +50,7 @@ _ENDS_BEFORE = {
 }
 _HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",)}
 _ARTICLE = frozenset(("article", "main"))
+_PROSE = _PARAGRAPH | frozenset(("ul", "ol", "dl", "blockquote", "figure", "table", "details", "hgroup"))
 _ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "tablist"))
 # Words in a class or id that mark a part which is no main text.
 _BOILERPLATE = frozenset((
@@ -84,7 +87,7 @@ class _Tree:
     def __init__(self) -> None:
         self.tag, self.parent, self.inside = [""], [0], [False]
         self.points, self.chars, self.linked = [0.0], [0], [0]
-        self.blocks: list[tuple[int, str]] = []
+        self.blocks: list[tuple[int, str, int]] = []
 
     def add(self, tag: str, parent: int) -> int:
         self.tag.append(tag)
@@ -96,7 +99,7 @@ class _Tree:
         return len(self.tag) - 1
 
     def block(self, node: int, text: str, linked: int) -> None:
-        self.blocks.append((node, text))
+        self.blocks.append((node, text, linked))
         size = len(text)
         worth = (1 if size >= 25 else size / 25) + text.count(",") + text.count("、") + text.count("，") + min(3.0, size / 100)
         worth *= 1 - linked / max(1, size)
@@ -129,16 +132,26 @@ class _Tree:
             best = self.parent[best]
         keep = {best}
         up = self.parent[best]
+        loose = False
         if best and self.tag[best] not in ("body", "html"):
-            for i in range(1, len(scores)):
-                if self.parent[i] == up and i != best and self.chars[i]:
-                    density = self.linked[i] / self.chars[i]
-                    if scores[i] >= max(10.0, scores[best] / 5) or (self.tag[i] == "p" and self.chars[i] > 80 and density < 0.25):
-                        keep.add(i)
+            article = self.tag[best] in _ARTICLE
+            loose = not article
+            siblings = [i for i in range(1, len(scores)) if self.parent[i] == up and i != best and self.chars[i]]
+            for i in siblings:
+                density = self.linked[i] / self.chars[i]
+                if article:
+                    kept = scores[i] >= max(10.0, scores[best] / 5) or (self.tag[i] == "p" and self.chars[i] > 80 and density < 0.25)
+                else:
+                    kept = (scores[best] > 0 and scores[i] >= scores[best] / 5) or (self.tag[i] in _PROSE and density < 0.25)
+                if kept:
+                    keep.add(i)
+            if loose:  # elements are numbered in page order
+                first, last = min(keep), max(keep)
+                keep.update(i for i in siblings if first < i < last and self.linked[i] < 0.25 * self.chars[i])
         within = [False] * len(scores)
         for i in range(len(scores)):
             within[i] = i in keep or (i > 0 and within[self.parent[i]])
-        return [text for node, text in self.blocks if within[node]]
+        return [text for node, text, linked in self.blocks if within[node] or (loose and node == up and linked < 0.25 * len(text))]
 
 
 def main_text(page: str | None) -> str:
