@@ -202,3 +202,18 @@ def test_replay_covers_all_events(events):
     out = A.policy_dry_run(events, bundled("default"))
     assert out.agg(F.sum("events")).first()[0] == events.count()
     assert set(audit_event_schema().fieldNames()) >= {"event_id", "findings", "risk"}
+
+
+def test_redecided_events_cover_every_stage(spark, sf, events):
+    from collections import Counter
+
+    from wardspark.plans.firewall import decide
+    import wardspark.queries.risk_queries  # noqa: F401 - registers
+    from wardspark.queries.base import QUERIES
+
+    got = {(r["action"], r["band"]): r["events"] for r in QUERIES["redecide_events"](spark, sf).collect()}
+    want = Counter()
+    for stage in ("input", "output", "retrieval", "tool_call", "tool_result"):
+        one = decide(events.filter(F.col("stage") == stage).select("event_id", "findings"), stage=stage)
+        want.update({(r["action"], r["band"]): r["count"] for r in one.groupBy("action", "risk.band").count().collect()})
+    assert got == dict(want) and sum(got.values()) == events.count()

@@ -24,7 +24,7 @@ PROMPT_STAGES = ("input", "retrieval", "tool_call", "tool_result", "memory_write
 def decide(
     df: DataFrame,
     *,
-    stage: str,
+    stage: str | Column,
     policy: Policy | None = None,
     text: Column | None = None,
     trust: Column | None = None,
@@ -33,7 +33,7 @@ def decide(
     context: Mapping[str, Column] | None = None,
     dry_run: bool = False,
 ) -> DataFrame:
-    """Findings to decision: threats, risk, traces, action and its derived fields."""
+    """Findings to decision: threats, risk, traces, action and its derived fields; ``stage`` may be a column."""
     policy = policy or bundled("default")
     ctx = dict(context or {})
     df = df.withColumn("findings", annotate_threats(F.col("findings"), F.lit(stage)))

@@ -364,6 +364,6 @@ def _bundles(spark, sf):
 
 @query("redecide_events")
 def _redecide(spark, sf):
-    """Recorded findings at the input boundary decided again under the default policy and matrix."""
-    e = audit(spark, sf).filter("stage = 'input'").select("event_id", "findings")
-    return decide(e, stage="input").groupBy("action", "risk.band").agg(F.count("*").alias("events"))
+    """Recorded findings of every stage decided again under the default policy and matrix."""
+    e = audit(spark, sf).select("event_id", F.col("stage").alias("at"), "findings")
+    return decide(e, stage=F.col("at")).groupBy("action", "risk.band").agg(F.count("*").alias("events"))
