@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspark.llm import attention, bond, chat, extract, jaccard, mixing, packing, prefix_hash, rans, shared, tokens, topk, warc
+from wardspark.llm import attention, bond, chat, extract, jaccard, mixing, packing, prefix_hash, rans, shared, substrings, tokens, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -153,3 +153,21 @@ def collapsed_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")
     return bond.hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label")), F.expr("vec_id % 100 = 0"))
+
+
+@query(
+    "op12_fm_substrings",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT id, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM d, LATERAL (SELECT unnest(range(1, len(w) - 48)) AS i)),
+    m AS (SELECT h, min(doc_id) AS least FROM s GROUP BY h),
+    c AS (SELECT id, i FROM s JOIN m USING (h) WHERE least < doc_id),
+    r AS (SELECT DISTINCT id, i + k AS p FROM c, LATERAL (SELECT unnest(range(50)) AS k)),
+    g AS (SELECT id, list(p) AS ps FROM r GROUP BY id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+           sha256(CASE WHEN ps IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(ps, p)), lambda p: w[p]), ' ') END) AS kept_sha256
+    FROM d LEFT JOIN g USING (id)
+    """,
+)
+def fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(substrings.without_repeats(table(spark, sf_dir, "documents")))

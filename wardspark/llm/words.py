@@ -34,8 +34,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and at which word each text begins (one more entry than texts)."""
+def words(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and at which word each text begins (one more entry than texts); A-Z stay unless ``fold``."""
     data, offsets = text_bytes(column)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
@@ -48,7 +48,7 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     firsts = np.searchsorted(at, offsets)
     if not len(at):
         return np.zeros(0, np.uint64), firsts
-    low = np.where((data >= 65) & (data <= 90), data | 32, data)[solid]
+    low = (np.where((data >= 65) & (data <= 90), data | 32, data) if fold else data)[solid]
     ids = np.cumsum(begins)[solid] - 1  # the word of each byte
     place = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
     index = ((np.arange(len(low)) - place[ids]) << 8) | low
