@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspark.llm import attention, bond, chat, extract, jaccard, mixing, packing, prefix_hash, rans, shared, substrings, tokens, topk, warc
+from wardspark.llm import attention, bond, chat, extract, jaccard, mixing, packing, phrases, prefix_hash, rans, shared, substrings, tokens, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -155,6 +155,31 @@ def bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bond.hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label")), F.expr("vec_id % 100 = 0"))
 
 
+@query(
+    "op11_suffix_phrases",
+    r"""
+    WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM t),
+    g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+          FROM p, (VALUES (1), (2), (3)) AS v(k) WHERE len(w) >= k),
+    f AS (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL),
+    n AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+    c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 10),
+    cuts AS (SELECT c.lang, c.k, phrase, a, w, j, array_to_string(w[:j], ' ') AS x, array_to_string(w[j + 1:], ' ') AS y FROM c, (VALUES (1), (2)) AS v(j) WHERE j < c.k),
+    s AS (SELECT q.lang, q.k, q.phrase, a, q.w, j, x.n AS l, y.n AS r, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(x.n AS HUGEINT) * y.n) AS BIGINT) AS score
+          FROM cuts q JOIN f x ON x.lang = q.lang AND x.phrase = q.x AND x.k = j JOIN f y ON y.lang = q.lang AND y.phrase = q.y AND y.k = q.k - j),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+    longer AS (SELECT lang, phrase, max(a) AS a FROM (
+                   SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE k = 3) GROUP BY ALL)
+    SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, l, r, n.n, score
+    FROM b JOIN n USING (lang) LEFT JOIN longer ON b.k = 2 AND longer.lang = b.lang AND longer.phrase = b.phrase
+    WHERE longer.a IS NULL OR 100 * longer.a < 50 * b.a QUALIFY rank <= 2000
+    """,
+)
+def suffix_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op12_fm_substrings",
     r"""

@@ -40,14 +40,23 @@ def words(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    begins, at = starts_of(solid, offsets)
+    return hashed(data, solid, begins, at, fold), np.searchsorted(at, offsets)
+
+
+def starts_of(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of ``solid`` bytes begin, none of which reaches across the start of a text: as a mask and as places."""
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
-    edges = offsets[:-1][offsets[:-1] < len(data)]
+    edges = offsets[:-1][offsets[:-1] < len(solid)]
     begins[edges] = solid[edges]
-    at = np.flatnonzero(begins)
-    firsts = np.searchsorted(at, offsets)
+    return begins, np.flatnonzero(begins)
+
+
+def hashed(data: np.ndarray, solid: np.ndarray, begins: np.ndarray, at: np.ndarray, fold: bool) -> np.ndarray:
+    """The hash of each word that begins ``at``."""
     if not len(at):
-        return np.zeros(0, np.uint64), firsts
+        return np.zeros(0, np.uint64)
     low = (np.where((data >= 65) & (data <= 90), data | 32, data) if fold else data)[solid]
     ids = np.cumsum(begins)[solid] - 1  # the word of each byte
     place = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
@@ -56,7 +65,7 @@ def words(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     value = _NEAR[np.where(far, 0, index)]
     if far.any():
         value[far] = mix(index[far].astype(np.uint64))
-    return mix(np.add.reduceat(value, place)), firsts
+    return mix(np.add.reduceat(value, place))
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
