@@ -16,9 +16,10 @@ from, an empty table gives no pieces, and other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,9 @@ SEQUENCE = 2048
 WINDOW = 32 * SEQUENCE
 PIECES = pa.schema([
     ("doc_id", pa.int64()), ("source", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()),
-    ("window", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary()),
+    ("window", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()),
 ])
-PIECES_DDL = "doc_id long, source string, start long, length long, doc_tokens long, window long, sequence_id long, offset long, ids binary"
+PIECES_DDL = "doc_id long, source string, start long, length long, doc_tokens long, window long, sequence_id long, offset long, ids_crc32 long, ids binary"
 
 
 @dataclass(frozen=True)
@@ -45,13 +46,16 @@ class Rounds:
     parts: tuple[int, ...]
     window: int
 
+    @cached_property
+    def whole(self) -> int:
+        return sum(self.parts)
+
     def given(self, j: int) -> list[int]:
-        whole = sum(self.parts)
-        return [min(t, j * self.window * p // whole) for t, p in zip(self.totals, self.parts, strict=True)]
+        return [min(t, j * self.window * p // self.whole) for t, p in zip(self.totals, self.parts, strict=True)]
 
     def round_of(self, s: int, position: int) -> int:
         """The round in which source ``s`` gives its id at ``position``."""
-        return -(-(position + 1) * sum(self.parts) // (self.window * self.parts[s])) - 1
+        return -(-(position + 1) * self.whole // (self.window * self.parts[s])) - 1
 
     @lru_cache(maxsize=4096)
     def layout(self, j: int) -> tuple[list[int], list[int], list[int]]:
@@ -77,7 +81,7 @@ class Rounds:
             j += 1
 
 
-def _cut(rounds: Rounds, sequence: int, dtype: np.dtype):
+def _cut(rounds: Rounds, sequence: int, dtype: np.dtype, keep_ids: bool):
     names = {n: i for i, n in enumerate(rounds.names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,15 +90,16 @@ def _cut(rounds: Rounds, sequence: int, dtype: np.dtype):
             for doc, source, n, before, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "n_tokens", "before", "ids")), strict=True):
                 wide = np.frombuffer(raw, dtype).astype("<u4").tobytes()
                 for window, start, place, size in rounds.pieces(names[source], before, n, sequence):
-                    rows.append((doc, source, start, size, n, window, place // sequence, place % sequence, wide[4 * start : 4 * (start + size)]))
+                    piece = wide[4 * start : 4 * (start + size)]
+                    rows.append((doc, source, start, size, n, window, place // sequence, place % sequence, zlib.crc32(piece), piece if keep_ids else None))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PIECES, strict=True)], schema=PIECES)
 
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, targets: dict[str | None, int] | None = None, sequence: int = SEQUENCE, window: int = WINDOW) -> DataFrame:
-    """Pieces of all documents: where each lies in its document and in its sequence, with its ids.
+def pack(docs: DataFrame, vocabulary: str, targets: dict[str | None, int] | None = None, sequence: int = SEQUENCE, window: int = WINDOW, keep_ids: bool = True) -> DataFrame:
+    """Pieces of all documents: where each lies in its document and in its sequence, with the checksum of its ids and, if ``keep_ids``, with these.
 
     ``targets`` are whole-number weights by source. ids are little-endian unsigned 32-bit integers. Totals by source, one row a source, pass the driver.
     """
@@ -109,9 +114,9 @@ def pack(docs: DataFrame, vocabulary: str, targets: dict[str | None, int] | None
     parts = tuple(r["n"] if targets is None else 1_000_000 * targets.get(r["source"], 0) or max(1, most) for r in sums)
     rounds = Rounds(tuple(r["source"] for r in sums), tuple(r["n"] for r in sums), parts, window)
     placed = shared.running_totals(ids.select("row", "doc_id", "source", "n_tokens"), ["source"], ["doc_id", "row"], {"before": "n_tokens"}).select("row", "before")
-    return ids.join(placed, "row").select("doc_id", "source", "n_tokens", "before", "ids").mapInArrow(_cut(rounds, sequence, dtype), PIECES_DDL)
+    return ids.join(placed, "row").select("doc_id", "source", "n_tokens", "before", "ids").mapInArrow(_cut(rounds, sequence, dtype, keep_ids), PIECES_DDL)
 
 
 def digests(pieces: DataFrame) -> DataFrame:
-    """Pieces with the checksum of their ids instead of the ids."""
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source", "window")
+    """Pieces with the checksum of their ids only."""
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "window")

@@ -59,7 +59,7 @@ def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_mixture_packing")
 def mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json")))
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"), keep_ids=False))
 
 
 @query("op6_tree_scored_text")

@@ -90,25 +90,30 @@ class Encoder:
     def __call__(self, texts: Iterable[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
         cut = [self.cut(t) if t else [] for t in texts]
-        known, rare = self.known, {}
-        new = set(chain.from_iterable(filter(None, cut))) - known.keys()
+        known = self.known
+        got = [[*map(known.get, words)] if words else [] for words in cut]  # None where a word is new
+        new = {w for words, ids in zip(cut, got, strict=True) if words for w, x in zip(words, ids, strict=True) if x is None}
         if new:
-            signed = {w: m.groups() for w in new if (m := _SIGNED.fullmatch(w))}
-            plain = (new - signed.keys()) | {w for w, _ in signed.values()} | {self.bare + s for _, s in signed.values()}
-            plain = [w for w in plain if w not in known]
-            spelled = [self.spelled(w) for w in plain]
-            latin = {w: m for w, x in zip(plain, spelled, strict=True) if (m := _LATIN.fullmatch(x))} if self.direct else {}
-            got = {w: self.merged(m) for w, m in latin.items()}
-            other = [(w, x) for w, x in zip(plain, spelled, strict=True) if w not in latin]
-            got |= zip((w for w, _ in other), self.whole([x for _, x in other]), strict=True)
-            part = lambda w: known.get(w) or got[w]
-            got |= {w: part(a) + part(self.bare + b) for w, (a, b) in signed.items()}
+            learned = self.learn(new)
+            get = lambda w: known.get(w) or learned[w]
+            got = [[x or get(w) for w, x in zip(words, ids, strict=True)] if ids and None in ids else ids for words, ids in zip(cut, got, strict=True)]
             if len(known) < self.keep:
-                known.update(got)
-            else:
-                rare = got
-        get = known.__getitem__ if not rare else lambda w: known.get(w) or rare[w]
-        return [self.whole([t])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, cut, strict=True)]
+                known.update(learned)
+        return [self.whole([t])[0] if words is None else b"".join(ids) for t, words, ids in zip(texts, cut, got, strict=True)]
+
+    def learn(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of words of ``cut`` that are not known."""
+        known = self.known
+        signed = {w: m.groups() for w in new if (m := _SIGNED.fullmatch(w))}
+        plain = (new - signed.keys()) | {w for w, _ in signed.values()} | {self.bare + s for _, s in signed.values()}
+        plain = [w for w in plain if w not in known]
+        spelled = [self.spelled(w) for w in plain]
+        latin = {w: m for w, x in zip(plain, spelled, strict=True) if (m := _LATIN.fullmatch(x))} if self.direct else {}
+        got = {w: self.merged(m) for w, m in latin.items()}
+        other = [(w, x) for w, x in zip(plain, spelled, strict=True) if w not in latin]
+        got |= zip((w for w, _ in other), self.whole([x for _, x in other]), strict=True)
+        part = lambda w: known.get(w) or got[w]
+        return got | {w: part(a) + part(self.bare + b) for w, (a, b) in signed.items()}
 
 
 @lru_cache(maxsize=4)
