@@ -51,7 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document that is left, in sequences mixed by source."""
-    return packing.digests(packing.pack(docs, tokens.vocabulary("byte_bpe_50k.json")))
+    return packing.digests(packing.pack(docs, tokens.vocabulary("byte_bpe_50k.json"), keep_ids=False))
 
 
 STAGES: list[tuple[str, Stage]] = [("quality", keep_quality), ("near copies", drop_near_copies), ("mixing", mix_sources), ("packing", pack)]
