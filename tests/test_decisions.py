@@ -97,9 +97,9 @@ def test_redaction_modes(spark):
     t = F.lit("contact bob@example.com about card 4111 1111 1111 1111")
     r = spark.range(1).select(
         RD.audit_payload(t, mode="none")[0].alias("none"), RD.audit_payload(t, mode="hash_only")[0].alias("hash"), RD.audit_payload(t, mode="full")[0].alias("full"),
-        RD.audit_payload(t)[0].alias("red"), RD.audit_payload(t)[1].alias("labels"), RD.audit_payload(F.lit("x" * 5000), mode="full")[0].alias("cut")).first()
+        RD.audit_payload(t)[0].alias("red"), RD.audit_payload(t)[1].alias("labels"), RD.audit_payload(F.lit("x" * 5000), mode="full", max_chars=4000)[0].alias("cut"), RD.audit_payload(F.lit("x" * 5000), mode="full")[0].alias("whole")).first()
     assert r.none is None and r.hash.startswith("sha256:") and "bob@" in r.full and "bob@" not in r.red and "4111" not in r.red
-    assert r.labels == ["email", "card_like"] and r.cut.endswith("[truncated 1000 chars]")
+    assert r.labels == ["email", "card_like"] and r.cut.endswith("[truncated 1000 chars]") and r.whole == "x" * 5000
 
 
 def test_redaction_is_idempotent(spark, screened):
