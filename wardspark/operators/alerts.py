@@ -7,12 +7,14 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardspark.functions.ranks import SEVERITIES, severity_rank
 from wardspark.operators.scan import with_scalars
+from wardspark.session import ensure_checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -136,30 +138,102 @@ def next_fire(last_ms: int | None, at_ms: int, cooldown_s: int) -> bool:
     return last_ms is None or at_ms - last_ms >= cooldown_s * 1000
 
 
+def firing_chain(at: np.ndarray, cooldown_s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of alerts in order: how late the last firing may be for each (or one before it) to fire, and which fires next after each.
+
+    An alert fires if the last firing is not after ``at - cooldown``. The running maximum of that is sorted, and
+    its first place not below a last firing is the alert that fires.
+    """
+    latest = at - cooldown_s.astype(np.int64) * 1000
+    reach = np.maximum.accumulate(latest)
+    n = len(at)
+    after = np.maximum(np.searchsorted(reach, at), np.arange(n) + 1)
+    for i in np.flatnonzero(cooldown_s < 1).tolist():  # without a cooldown the next alert may be of the same instant
+        while after[i] < n and latest[after[i]] < at[i]:
+            after[i] += 1
+    return reach, after
+
+
 def suppress_cooldown(alerts: DataFrame, key: str = "rule_id", ts: str = "timestamp_ms", tie: str = "event_id") -> DataFrame:
     """Alerts that really fire: at most one per rule and cooldown since the last *fired* one.
 
-    Each firing depends on the one before, so a rule is walked in order. Of rows at one
-    instant only the first can fire, so the rest are dropped beforehand by a combined
-    minimum; the others stream through in sorted batches and only the last firing is kept.
+    Each firing depends on the one before. Alerts are ranged by (rule, time), so that a hot rule covers many
+    slices. A slice is a function from the last firing before it to the last firing within it, which takes
+    as many values as alerts can be first to fire there; these functions are applied one after the other, a row
+    a slice, and then each slice fires from its own start. Of rows at one instant only the first can
+    fire, so the rest are dropped beforehand by a combined minimum.
     """
+    ensure_checkpoint_dir(alerts.sparkSession)
     alone = F.when(F.col("cooldown_s") < 1, F.col(tie)).alias("_alone")
-    first = alerts.groupBy(key, ts, alone).agg(F.min_by(F.struct(*alerts.columns), F.col(tie)).alias("_row"))
-    ordered = first.select("_row.*").repartition(key).sortWithinPartitions(key, ts, tie)
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, last = object(), None
+    first = alerts.groupBy(key, ts, alone).agg(F.min_by(F.struct(*alerts.columns), F.col(tie)).alias("_row")).select("_row.*")
+    # Written once: a range computed anew may be cut elsewhere.
+    sliced = first.repartitionByRange(key, ts, tie).sortWithinPartitions(key, ts, tie).withColumn("_slice", F.spark_partition_id()).checkpoint()
+    kind, columns = dict(alerts.dtypes)[key], alerts.columns
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[Any, int, pd.DataFrame]]:
+        """The alerts of each rule of a slice; a slice is one range, so it fits a task."""
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            for _, part in pdf.groupby(key, sort=False, dropna=False):
+                if held and held[-1][key].iloc[-1] != part[key].iloc[0]:
+                    whole = pd.concat(held, ignore_index=True)
+                    yield whole[key].iloc[0], int(whole["_slice"].iloc[0]), whole
+                    held = []
+                held.append(part)
+        if held:
+            whole = pd.concat(held, ignore_index=True)
+            yield whole[key].iloc[0], int(whole["_slice"].iloc[0]), whole
+
+    def shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rule, number, pdf in runs(batches):
+            at, cool = pdf[ts].to_numpy(np.int64), pdf["cooldown_s"].to_numpy(np.int64)
+            reach, after = firing_chain(at, cool)
+            exits = at.copy()
+            for i in range(len(at) - 1, -1, -1):
+                if after[i] < len(at):
+                    exits[i] = exits[after[i]]
+            # No firing before the slice is later than its first alert: alerts beyond the first that always fires are never first.
+            most = min(len(at), int(np.searchsorted(reach, at[0])) + 1)
+            steps = np.flatnonzero(np.concatenate([np.diff(exits[:most]) != 0, [True]]))
+            yield pd.DataFrame({key: [rule], "_slice": [number], "_reach": [reach[steps].tolist()], "_exit": [exits[steps].tolist()]})
+
+    def enter(name: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """The last firing before each slice of a rule."""
+        last, before = None, []
+        pdf = pdf.sort_values("_slice")
+        for reach, exits in zip(pdf["_reach"], pdf["_exit"], strict=True):
+            before.append(last)
+            place = 0 if last is None else int(np.searchsorted(reach, last))
+            last = int(exits[place]) if place < len(exits) else last
+        return pd.DataFrame({key: pdf[key], "_slice": pdf["_slice"], "_last": pd.array(before, "Int64")})
+
+    def fire(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, _, pdf in runs(batches):
+            reach, after = firing_chain(pdf[ts].to_numpy(np.int64), pdf["cooldown_s"].to_numpy(np.int64))
+            last, fired = pdf["_last"].iloc[0], []
+            i = 0 if pd.isna(last) else int(np.searchsorted(reach, int(last)))
+            while i < len(pdf):
+                fired.append(i)
+                i = int(after[i])
+            yield pdf.iloc[fired][columns]
+
+    shapes = sliced.select(key, ts, "cooldown_s", "_slice").mapInPandas(shape, f"{key} {kind}, _slice int, _reach array<bigint>, _exit array<bigint>")
+    entries = shapes.groupBy(key).applyInPandas(enter, f"{key} {kind}, _slice int, _last bigint")
+    begun = sliced.join(entries, [key, "_slice"]).repartition(key, "_slice").sortWithinPartitions(key, "_slice", ts, tie)
+
+    def by_slice(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A task may hold several slices of a rule; each starts from its own last firing."""
+        held: list[pd.DataFrame] = []
         for pdf in batches:
-            keep = []
-            for rule, at, cool in zip(pdf[key], pdf[ts], pdf["cooldown_s"], strict=True):
-                if rule != current:
-                    current, last = rule, None
-                fire = next_fire(last, at, cool)
-                last = at if fire else last
-                keep.append(fire)
-            yield pdf[keep]
-
-    return ordered.mapInPandas(walk, alerts.schema)
+            for _, part in pdf.groupby([key, "_slice"], sort=False, dropna=False):
+                if held and (held[-1][key].iloc[-1], held[-1]["_slice"].iloc[-1]) != (part[key].iloc[0], part["_slice"].iloc[0]):
+                    yield from fire(iter([pd.concat(held, ignore_index=True)]))
+                    held = []
+                held.append(part)
+        if held:
+            yield from fire(iter([pd.concat(held, ignore_index=True)]))
+
+    return begun.mapInPandas(by_slice, alerts.schema)
 
 
 def alert_list(alerts: DataFrame, acks: DataFrame | None = None, unacknowledged_only: bool = False, limit: int | None = None) -> DataFrame:

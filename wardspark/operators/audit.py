@@ -428,14 +428,10 @@ def fleet_status(instances: DataFrame, now_ms: int | Column, stale_after_s: int
 
 
 def fleet_summary(instances: DataFrame) -> DataFrame:
-    """(facet, key, instances): totals, versions, policies and who only monitors."""
-    def facet(name: str, key: Column, rows: DataFrame = instances) -> DataFrame:
-        return rows.groupBy(F.lit(name).alias("facet"), key.alias("key")).agg(F.count("*").alias("instances"))
-
+    """(facet, key, instances): totals, versions, policies and who only monitors, from one scan."""
     ref = F.concat_ws("@", F.coalesce("policy_id", F.lit("None")), F.coalesce("policy_version", F.lit("None")))
-    return (
-        facet("total", F.lit("all")).unionByName(facet("status", F.col("status")))
-        .unionByName(facet("sdk_version", F.coalesce("sdk_version", F.lit("unknown"))))
-        .unionByName(facet("policy_version", ref))
-        .unionByName(facet("monitor_only", F.col("instance_id"), instances.filter("monitor_only")))
-    )
+    keys = {"total": F.lit("all"), "status": F.col("status"), "sdk_version": F.coalesce("sdk_version", F.lit("unknown")), "policy_version": ref}
+    facets = [F.struct(F.lit(name).alias("facet"), key.cast("string").alias("key")) for name, key in keys.items()]
+    alone = F.when(F.col("monitor_only"), F.struct(F.lit("monitor_only").alias("facet"), F.col("instance_id").cast("string").alias("key")))
+    cells = instances.select(F.inline(F.filter(F.array(*facets, alone), lambda c: c.isNotNull())))
+    return cells.groupBy("facet", "key").agg(F.count("*").alias("instances"))

@@ -8,11 +8,14 @@ shuffle, so a hot conversation sends at most a window of rows per input task.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardspark.functions import regex
 from wardspark.functions import text as X
@@ -258,68 +261,98 @@ def scan_groundedness(answers: DataFrame, passages: DataFrame, key: str = "conv_
     )
 
 
-_SEEN_BITS = 1 << 16
+#: Bytes of markers, and digests of registered values, that one pass over the texts takes along.
+MARKER_BYTES = 16 << 20
+DIGESTS = 200_000
 
 
-def scan_canary(outputs: DataFrame, canaries: DataFrame, text_col: str = "text", prefix: int = 8) -> DataFrame:
+def _passes(df: DataFrame, cost: Column, most: int, key: str) -> Iterator[list[tuple]]:
+    """The rows of ``df`` in parts that cost about ``most`` each; a part is small enough to go to every task."""
+    total = df.agg(F.coalesce(F.sum(cost), F.lit(0)).alias("n")).first()["n"]
+    count = max(1, -(-int(total) // most))
+    for i in range(count):
+        part = df.where(F.pmod(F.xxhash64(key), F.lit(count)) == i).collect()
+        if part:
+            yield [tuple(r) for r in part]
+
+
+def scan_canary(outputs: DataFrame, canaries: DataFrame, text_col: str = "text") -> DataFrame:
     """Outputs holding a planted marker, one row per marker; ``canaries`` is (token).
 
-    Markers are known by their first ``prefix`` characters (all, if they are shorter). Windows of
-    a text that no marker can begin with are dropped in place by a bitmap of fixed size; the rest
-    meet the markers by hash without their text, and the pairs found are verified on the text. One
-    plan serves any number of markers; with very many the bitmap fills and only drops less.
+    All markers are looked for at once by an automaton, in time linear in the text and in its hits, however
+    alike the markers are. Markers of more than ``MARKER_BYTES`` take several passes over the texts. No shuffle of texts.
+    Null texts and null or empty markers match nothing; a marker counts once for each row.
     """
     tokens = canaries.select("token").filter(F.length("token") > 0).distinct()
-    text = F.col(text_col)
-    start = F.left("token", F.lit(prefix))
-    keyed = tokens.select("token", F.length(start).alias("_n"), F.xxhash64(start).alias("_k"))
-    lengths = sorted(r[0] for r in keyed.select("_n").distinct().collect())  # at most ``prefix`` values
-    bits = keyed.select(F.pmod("_k", F.lit(_SEEN_BITS)).alias("b")).distinct()
-    packed = bits.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).collect()
-    seen = [0] * (_SEEN_BITS // 64)
-    for r in packed:
-        seen[r["w"]] = r["v"]
-    bitmap = F.array(*(F.lit(v).cast("bigint") for v in seen))
-
-    def known(k: Column) -> Column:
-        slot = F.pmod(k, F.lit(_SEEN_BITS))
-        return F.bit_get(F.element_at(bitmap, (F.shiftright(slot, 6) + 1).cast("int")), F.pmod(slot, F.lit(64)).cast("int")) == 1
-
-    def windows(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(text) - n + 1)
-        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.xxhash64(F.substring(text, i, F.lit(n)))))
-
-    hashes = [windows(n) for n in lengths]
-    every = F.flatten(F.filter(F.array(*hashes), lambda a: a.isNotNull())) if hashes else F.array().cast("array<bigint>")
-    same = F.struct(F.xxhash64(text).alias("a"), F.crc32(text.cast("binary")).alias("b"), F.length(text).alias("n"))
-    named = outputs.withColumn("_text", same)
-    grams = named.select("_text", F.explode(F.array_distinct(F.filter(every, known))).alias("_k"))
-    pairs = grams.join(keyed.select("_k", "token"), "_k").select("_text", "token").distinct()
-    return named.join(pairs, "_text").filter(F.contains(text, F.col("token"))).drop("_text")
+    schema = T.StructType([*outputs.schema.fields, T.StructField("token", T.StringType())])
+    found = None
+    for part in _passes(tokens, F.octet_length("token") + 64, MARKER_BYTES, "token"):
+        sent = outputs.sparkSession.sparkContext.broadcast([t for (t,) in part])
+
+        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for token in sent.value:
+                automaton.add_word(token, token)
+            automaton.make_automaton()
+            for batch in batches:
+                at, hits = [], []
+                for i, text in enumerate(batch.column(text_col).to_pylist()):
+                    if text:
+                        names = {token for _, token in automaton.iter(text)}
+                        at += [i] * len(names)
+                        hits += names
+                if at:
+                    rows = batch.take(pa.array(at, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(hits, pa.string())], names=[*batch.schema.names, "token"])
+
+        rows = outputs.mapInArrow(search, schema)
+        found = rows if found is None else found.union(rows)
+    return outputs.sparkSession.createDataFrame([], schema) if found is None else found
 
 
 def scan_registered_secrets(outputs: DataFrame, registered: DataFrame, salt: str, id_col: str = "id",
                             text_col: str = "text", min_length: int = 8) -> DataFrame:
     """Outputs that quote a registered value; ``registered`` is (label, digest, length), plaintexts unknown.
 
-    Only registered lengths are windowed. Windows are hashed in place and joined on the digest.
+    Every place of a text is hashed once for each registered length, in place, and looked up among the digests; these go
+    to the tasks in parts of ``DIGESTS``. Only what was found leaves a task. Null texts quote nothing.
     """
-    lengths = [r[0] for r in registered.filter(F.col("length") >= min_length).select("length").distinct().collect()]
-    text = F.col(text_col)
-    every = [
-        F.when(F.length(text) >= n, F.transform(
-            F.sequence(F.lit(1), F.length(text) - n + 1),
-            lambda i: F.struct((i - 1).alias("start"), F.sha2(F.concat(F.lit(salt), F.substring(text, i, F.lit(n))), 256).alias("digest")),
-        ))
-        for n in lengths
-    ]
-    if not every:
-        every = [F.array().cast("array<struct<start:int,digest:string>>")]
-    flat = F.flatten(F.filter(F.array(*every), lambda a: a.isNotNull()))
-    windows = outputs.select(id_col, F.explode(flat).alias("_w")).select(id_col, "_w.start", "_w.digest")
-    return windows.join(registered.select("digest", "label", "length"), "digest").select(
-        id_col, F.concat(F.lit("leaked:"), "label").alias("label"), "start", (F.col("start") + F.col("length")).alias("end")
-    )
+    known = registered.filter((F.col("length") >= min_length) & F.col("digest").isNotNull()).select("digest", "label", "length").distinct()
+    id_type = dict(outputs.dtypes)[id_col]
+    schema = f"{id_col} {id_type}, label string, start int, end int"
+    found = None
+    for part in _passes(known, F.lit(1), DIGESTS, "digest"):
+        sent = outputs.sparkSession.sparkContext.broadcast(part)
+
+        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            import hashlib
+
+            salted = hashlib.sha256(salt.encode("utf-8"))
+            table: dict[int, dict[str, list[str]]] = {}
+            for digest, label, n in sent.value:
+                table.setdefault(int(n), {}).setdefault(digest, []).append(label)
+            for batch in batches:
+                rows: list[tuple] = []
+                for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    text = text or ""
+                    raw = text.encode("utf-8", "surrogatepass")
+                    ends = None if len(raw) == len(text) else np.concatenate([np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80), [len(raw)]])
+                    for n, digests in table.items():
+                        for i in range(len(text) - n + 1):
+                            a, z = (i, i + n) if ends is None else (int(ends[i]), int(ends[i + n]))
+                            window = salted.copy()
+                            window.update(raw[a:z])
+                            for label in digests.get(window.hexdigest(), ()):
+                                rows.append((name, f"leaked:{label}", i, i + n))
+                if rows:
+                    kinds = [batch.schema.field(0).type, pa.string(), pa.int32(), pa.int32()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[id_col, "label", "start", "end"])
+
+        rows = outputs.select(id_col, text_col).mapInArrow(search, schema)
+        found = rows if found is None else found.union(rows)
+    return outputs.sparkSession.createDataFrame([], schema) if found is None else found
 
 
 def select_escalations(df: DataFrame, score: str = "score", low: float = S.INJECTION_ESCALATE,

@@ -260,10 +260,10 @@ def _mhist(spark, sf):
 # --- fleet and versions -----------------------------------------------------------------------
 
 _REPORTS_SQL = ("rep AS (SELECT CASE WHEN k % 20 = 0 THEN 'register' ELSE 'heartbeat' END AS kind, instance_id, timestamp_ms AS ts_ms, event_id AS seq, CASE WHEN k % 3 = 0 THEN application END AS application, "
-                "CASE WHEN k % 4 = 0 THEN environment ELSE '' END AS environment, CASE WHEN k % 5 = 0 THEN '1.' || k END AS sdk_version, k % 7 = 0 AS mo, k FROM a), "
+                "CASE WHEN k % 4 = 0 THEN environment ELSE '' END AS environment, CASE WHEN k % 5 = 0 THEN '1.' || k END AS sdk_version, policy_version, k % 7 = 0 AS mo, k FROM a), "
                 "reg AS (SELECT instance_id, max(CASE WHEN kind = 'register' THEN ts_ms END) AS reg_at, min(ts_ms) AS first_seen_ms, max(ts_ms) AS last_seen_ms FROM rep GROUP BY 1), "
                 "inst AS (SELECT r.instance_id, coalesce(arg_max(application, ts_ms) FILTER (WHERE application IS NOT NULL), 'unknown') AS application, coalesce(arg_max(environment, ts_ms) FILTER (WHERE environment <> ''), 'unknown') AS environment, "
-                "arg_max(sdk_version, ts_ms) FILTER (WHERE sdk_version IS NOT NULL) AS sdk_version, arg_max(mo, ts_ms) AS monitor_only, any_value(first_seen_ms) AS first_seen_ms, any_value(last_seen_ms) AS last_seen_ms "
+                "arg_max(sdk_version, ts_ms) FILTER (WHERE sdk_version IS NOT NULL) AS sdk_version, arg_max(mo, ts_ms) AS monitor_only, arg_max(policy_version, ts_ms) AS policy_version, any_value(first_seen_ms) AS first_seen_ms, any_value(last_seen_ms) AS last_seen_ms "
                 "FROM rep r JOIN reg USING (instance_id) WHERE reg_at IS NULL OR ts_ms >= reg_at GROUP BY 1)")
 
 
@@ -299,9 +299,9 @@ def _status(spark, sf):
 
 @query("fleet_summary", audit_sql(
     f"SELECT facet, key, count(*) AS instances FROM (SELECT 'total' AS facet, 'all' AS key FROM inst UNION ALL SELECT 'status', {_STATUS} FROM inst UNION ALL SELECT 'sdk_version', coalesce(sdk_version, 'unknown') FROM inst "
-    "UNION ALL SELECT 'monitor_only', instance_id FROM inst WHERE monitor_only) GROUP BY ALL", _REPORTS_SQL))
+    "UNION ALL SELECT 'policy_version', 'default@' || policy_version FROM inst UNION ALL SELECT 'monitor_only', instance_id FROM inst WHERE monitor_only) GROUP BY ALL", _REPORTS_SQL))
 def _fsummary(spark, sf):
-    return A.fleet_summary(_fleet(spark, sf)).filter("facet <> 'policy_version'")
+    return A.fleet_summary(_fleet(spark, sf))
 
 
 @query("decisions_by_policy_version", audit_sql(
@@ -416,8 +416,9 @@ def _anomalies(spark, sf):
 
 # --- alerts ------------------------------------------------------------------------------------------
 
-_MATCH = ("mt AS (SELECT 'rule_credential_leak' AS rule_id, * FROM a WHERE action = 'block' AND detector = 'secrets' UNION ALL "
-          "SELECT 'rule_unsafe_tool_flow', * FROM a WHERE action = 'block' AND category = 'unsafe_flow')")
+_MATCH = ("mt AS (SELECT 'rule_credential_leak' AS rule_id, * FROM a WHERE action = 'block' AND detector IN ('secrets', 'secret_leakage') UNION ALL "
+          "SELECT 'rule_indirect_injection', * FROM a WHERE category = 'prompt_injection' AND stage IN ('retrieval', 'tool_result', 'memory_write') UNION ALL "
+          "SELECT 'rule_unsafe_tool_flow', * FROM a WHERE action = 'block' AND category IN ('unsafe_flow', 'excessive_agency', 'memory_provenance_laundering'))")
 
 
 @query("match_alerts", audit_sql(
@@ -447,11 +448,17 @@ def _aalerts(spark, sf):
     return AL.anomaly_alerts(_all_anomalies(spark, sf)).groupBy("rule_id", "kind").agg(F.count("*").alias("n"))
 
 
-@query("suppress_cooldown")
+_COOL = "CASE rule_id WHEN 'rule_indirect_injection' THEN 600000 ELSE 300000 END"
+
+
+@query("suppress_cooldown", audit_sql(
+    "SELECT rule_id, t AS timestamp_ms FROM fires", _MATCH,
+    "fires AS (SELECT rule_id, min(timestamp_ms) AS t FROM mt GROUP BY 1 UNION ALL "
+    f"SELECT rule_id, n FROM (SELECT f.rule_id, (SELECT min(m.timestamp_ms) FROM mt m WHERE m.rule_id = f.rule_id AND m.timestamp_ms >= f.t + {_COOL.replace('rule_id', 'f.rule_id')}) AS n FROM fires f) WHERE n IS NOT NULL)").replace("WITH ", "WITH RECURSIVE ", 1))
 def _cooldown(spark, sf):
     """Every match of the default rules, thinned to those that would really fire."""
     hits = AL.rule_hits(audit(spark, sf), AL.DEFAULT_RULES).select("rule_id", "cooldown_s", "event_id", "timestamp_ms")
-    return AL.suppress_cooldown(hits).groupBy("rule_id").agg(F.count("*").alias("fired"), F.min("timestamp_ms").alias("first_ms"))
+    return AL.suppress_cooldown(hits).select("rule_id", "timestamp_ms")
 
 
 @query("alert_list", audit_sql(
@@ -460,7 +467,7 @@ def _cooldown(spark, sf):
 def _alerts(spark, sf):
     """Unacknowledged alerts; some were acknowledged twice and the first counts."""
     e = audit(spark, sf)
-    hits = AL.rule_hits(e, AL.DEFAULT_RULES).filter(F.col("rule_id").isin("rule_credential_leak", "rule_unsafe_tool_flow"))
+    hits = AL.rule_hits(e, AL.DEFAULT_RULES)
     alerts = hits.select(F.col("event_id").alias("alert_id"), F.col("timestamp_ms").alias("created_ms"))
     done = e.filter(F.substring("prompt", 15, 9).cast("int") % 2 == 0)
     acks = done.select(F.col("event_id").alias("alert_id"), F.explode(F.array(*[

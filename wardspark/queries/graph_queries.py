@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from wardspark.operators import access as AC
 from wardspark.operators import memory as M
+from wardspark.operators import signals as S
 from wardspark.operators import tools as TL
-from wardspark.queries.base import audit, audit_sql, chats, mem_sql, memories, query, table
+from wardspark.queries.base import CHATS_SQL, audit, audit_sql, chats, mem_sql, memories, query, re2, table
 from wardspark.streaming.checkpoints import checkpoint_scan
 
 # Roles are nations and regions: a nation inherits its region, two regions form a cycle.
@@ -184,7 +185,18 @@ def _gate(spark, sf):
     return M.gate_findings(_gated(spark, sf)).groupBy("risk", "finding.detected", "finding.action").agg(F.count("*").alias("n"))
 
 
-@query("checkpoint_scan")
+# The checking engine knows neither look-ahead nor counts above 1000.
+_LEAKS = "|".join(f"(?:{e.pattern})" for e in S.VENDOR_TOKENS).replace("(?!ant-)", "").replace("1024}", "1000}").replace("2048}", "1000}")
+_BANNED = "|".join(rf"\b{t}\b" for _, terms in S.BANNED_TOPICS.values() for t in terms)
+
+
+@query("checkpoint_scan", f"""
+WITH {CHATS_SQL}, d AS (SELECT conv_id || '_' || turn AS stream_id, text || CASE WHEN conv_id % 4 = 0 THEN ' here is the ransomware payload' ELSE '' END AS text FROM chats WHERE role = 'assistant'),
+c AS (SELECT stream_id, text, length(text) AS n, CAST(ceil(length(text) / 80) AS BIGINT) AS chunks FROM d),
+k AS (SELECT *, unnest(range(1, (chunks + 1) // 2 + 1)) AS k FROM c),
+v AS (SELECT *, regexp_matches(substr(text, 1, least(160 * k, n)), {re2(_BANNED, True)}) OR regexp_matches(substr(text, 1, least(160 * k, n)), {re2(_LEAKS)}) AS bad FROM k),
+s AS (SELECT stream_id, any_value(n) AS n, any_value(chunks) AS chunks, max(k) AS last, min(k) FILTER (WHERE bad) AS stop FROM v GROUP BY 1)
+SELECT stream_id, chunks, CAST(coalesce(stop, last) AS BIGINT) AS checkpoints, stop IS NOT NULL AS broken, CAST(CASE WHEN stop IS NULL THEN n ELSE 160 * (stop - 1) END AS BIGINT) AS delivered_chars, CAST(n AS BIGINT) AS total_chars FROM s""")
 def _checkpoints(spark, sf):
     """Assistant messages cut into 80-character chunks and replayed as streamed output."""
     said = chats(spark, sf).filter("role = 'assistant'")
@@ -193,5 +205,4 @@ def _checkpoints(spark, sf):
     n = F.ceil(F.length("text") / 80).cast("int")
     chunks = d.select("stream_id", "text", F.posexplode(F.sequence(F.lit(0), n - 1)).alias("seq", "i")).select(
         "stream_id", F.col("seq").cast("bigint").alias("seq"), F.substring(F.col("text"), F.col("i") * 80 + 1, F.lit(80)).alias("chunk"))
-    out = checkpoint_scan(chunks)
-    return out.groupBy("broken").agg(F.count("*").alias("streams"), F.sum("checkpoints").alias("checkpoints"), F.sum("delivered_chars").alias("delivered"))
+    return checkpoint_scan(chunks).drop("break_signals")

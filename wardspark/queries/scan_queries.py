@@ -156,11 +156,11 @@ def _unsafe(spark, sf):
 
 @query("scan_unsafe_pages", f"""
 WITH m AS (SELECT page_id, greatest({_out_sql(S.ACTIVE_HTML).replace('(text', '(html')}, 0) AS score FROM pages)
-SELECT page_id, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.6 THEN 'medium' ELSE 'low' END AS severity FROM m WHERE score >= 0.6""")
+SELECT page_id, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.6 THEN 'medium' ELSE 'low' END AS severity FROM m WHERE score > 0""")
 def _pages(spark, sf):
     """Active content in crawled pages, treated as model output."""
     pages = spread(table(spark, sf, "pages"), "page_id")
-    out = _scan(pages, "unsafe_output", "output", text="html").filter("f.detected and f.score >= 0.6")
+    out = _scan(pages, "unsafe_output", "output", text="html").filter("f.detected")
     return out.select("page_id", "f.score", "f.severity")
 
 
@@ -206,12 +206,34 @@ def _records(spark, sf):
     return out.groupBy("sink", "source_trust", "sink_risk", "persistent", "external_effect").agg(F.count("*").alias("n"))
 
 
-@query("scan_canary", f"WITH {PLANTED_SQL} SELECT doc_id, 'CANARY-7f3a9c' AS token FROM planted WHERE contains(text, 'CANARY-7f3a9c')")
+# Markers of one family, which all begin alike: a document quotes those of its id and of twice its id.
+_MARKED = ("tok AS (SELECT 'CANARY-' || s_name AS token FROM supplier UNION ALL SELECT 'CANARY-7f3a9c'), "
+           "marked AS (SELECT doc_id, text || ' CANARY-Supplier#' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || ', CANARY-Supplier#' || lpad(CAST(2 * doc_id AS VARCHAR), 9, '0') || '.' AS text FROM planted)")
+
+
+@query("scan_canary", f"WITH {PLANTED_SQL}, {_MARKED} SELECT doc_id, token FROM marked JOIN tok ON contains(text, token) GROUP BY ALL")
 def _canary(spark, sf):
-    """Markers are the part names' prefixed forms plus one planted token."""
+    """Markers are the suppliers' names with one prefix, and one planted token."""
     named = table(spark, sf, "supplier").select(F.concat(F.lit("CANARY-"), "s_name").alias("token"))
     tokens = named.union(spark.createDataFrame([("CANARY-7f3a9c",)], "token string"))
-    return C.scan_canary(planted(spark, sf), tokens).select("doc_id", "token")
+    quote = lambda n: F.concat(F.lit(" CANARY-Supplier#"), F.lpad(n.cast("string"), 9, "0"))
+    marked = planted(spark, sf).select("doc_id", F.concat("text", quote(F.col("doc_id")), F.lit(","), quote(2 * F.col("doc_id")), F.lit(".")).alias("text"))
+    return C.scan_canary(marked, tokens).select("doc_id", "token")
+
+
+@query("scan_registered_secrets", f"""
+WITH {PLANTED_SQL}, reg AS (SELECT 's' || s_suppkey AS label, s_name AS value FROM supplier UNION ALL SELECT 'admin', 'hunter2x' UNION ALL SELECT 'short', 'card'),
+said AS (SELECT doc_id, right(text, 60) || ' Supplier#' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS text FROM planted),
+hits AS (SELECT doc_id, 'leaked:' || label AS label, unnest(list_filter(range(1, length(text) - length(value) + 2), lambda i: substr(text, i, length(value)) = value)) AS pos, length(value) AS n
+         FROM said JOIN reg ON length(value) >= 8 AND contains(text, value))
+SELECT doc_id, label, CAST(pos - 1 AS INTEGER) AS start, CAST(pos - 1 + n AS INTEGER) AS "end" FROM hits""")
+def _registered(spark, sf):
+    """Ends of documents that quote a supplier's name; values are known by salted digests only."""
+    values = table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("label"), F.col("s_name").alias("v"))
+    values = values.union(spark.createDataFrame([("admin", "hunter2x"), ("short", "card")], "label string, v string"))
+    known = values.select("label", F.sha2(F.concat(F.lit("pepper"), "v"), 256).alias("digest"), F.length("v").alias("length"))
+    said = planted(spark, sf).select("doc_id", F.concat(F.expr("right(text, 60)"), F.lit(" Supplier#"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("text"))
+    return C.scan_registered_secrets(said, known, "pepper", id_col="doc_id")
 
 
 _GRAMS = ("SELECT {k}, unnest(list_distinct(CASE WHEN len(ws) >= 6 THEN list_transform(range(1, len(ws) - 4), lambda i: array_to_string(ws[i:i+5], ' ')) "
