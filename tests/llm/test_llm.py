@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import html
+import io
 import re
 import zlib
 from collections import defaultdict
@@ -186,6 +187,35 @@ def test_archives_round_trip(spark):
     assert warc.page_records(spark, folder).count() == 0
 
 
+def test_rejected_records_are_inflated_no_further_than_their_header(monkeypatch):
+    noise = np.random.default_rng(1).integers(0, 256, 60_000).astype(np.uint8).tobytes()
+    kinds = ["response", "revisit"] * 3
+    data = b"".join(warc.member(warc.record(k, "u" * 2000 if i == 2 else "u", i, noise if k == "response" else b"", "d", len(noise), None, k == "revisit")) for i, k in enumerate(kinds))
+    inflated, real = [], zlib.decompressobj
+
+    class Counted:
+        def __init__(self, bits):
+            self.inner = real(bits)
+
+        def decompress(self, *args):
+            out = self.inner.decompress(*args)
+            inflated.append(len(out))
+            return out
+
+        def flush(self):
+            return self.inner.flush()
+
+        unconsumed_tail = property(lambda self: self.inner.unconsumed_tail)
+
+    monkeypatch.setattr(warc.zlib, "decompressobj", Counted)
+    rows = list(warc.read_records(io.BytesIO(data), 0, len(data), lambda h: h["warc-type"] == "revisit", True))
+    assert len(rows) == 3 and sum(inflated) < 6 * 1100 + 2500
+    inflated.clear()
+    assert len(list(warc.read_records(io.BytesIO(data), 0, len(data), lambda h: True, False))) == 6 and sum(inflated) < 6 * 1100 + 2500
+    monkeypatch.undo()
+    assert [r[6] for r in warc.read_records(io.BytesIO(data), 0, len(data), lambda h: h["warc-type"] == "response", True)] == [noise] * 3
+
+
 # --- near copies ----------------------------------------------------------------------------
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -414,12 +444,29 @@ def test_fingerprints_of_odd_tables(spark, odd, empty):
         assert (r["n_chars"], r["edited_sha256"]) == (len(text or ""), hashlib.sha256(new.encode()).hexdigest())
         assert (r["fingerprint"], r["edited_fingerprint"]) == (prefix_hash.fingerprint(text or ""), prefix_hash.fingerprint(new))
         assert r["near_next"] == prefix_hash.likeness(r["fingerprint"], prefix_hash.fingerprint(ODD[i - 1] or ""))
+        assert r["same_prefix"] == next((k for k, (p, q) in enumerate(zip(text or "", new, strict=False)) if p != q), len(text or ""))
     assert prefix_hash.fingerprints(odd).count() == len(ODD) + 2
     one = prefix_hash.fingerprints(docs_of(spark, ["abcdef"])).collect()[0]
     assert one["near_next"] == 1 and one["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest()
     assert prefix_hash.fingerprints(empty).count() == 0
 
 
+def test_likeness_estimates_the_share_of_spans():
+    rng = np.random.default_rng(8)
+    letters = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    spans = lambda t: {t[i : i + prefix_hash.SPAN] for i in range(len(t) - prefix_hash.SPAN + 1)}
+    errors = []
+    for _ in range(60):
+        a = letters(2000)
+        keep = int(rng.integers(0, 2000))
+        b = a[:keep] + letters(2000 - keep)
+        x, y = spans(a), spans(b)
+        errors.append(prefix_hash.likeness(prefix_hash.fingerprint(a), prefix_hash.fingerprint(b)) - len(x & y) / len(x | y))
+    assert abs(np.mean(errors)) < 0.04 and np.std(errors) < 0.1
+    far = [letters(300_000) for _ in range(2)]
+    assert prefix_hash.likeness(*map(prefix_hash.fingerprint, far)) == 0
+
+
 # --- chats ----------------------------------------------------------------------------------
 
 

@@ -5,8 +5,9 @@ base. The hash of any span then takes two entries, so spans of any texts are com
 constant time, and the longest common extension of two places is found by binary search.
 
 A fingerprint is the text's length, its hash as a whole and a sketch: the ``SKETCH`` smallest
-hashes of all its spans of ``SPAN`` code points (of the whole text, if it is shorter). Likeness is
-1 for equal fingerprints, else the sketches' estimate of the share of spans in common.
+marks (of 48 bits, from both primes) of all its spans of ``SPAN`` code points (of the whole text, if it is shorter), in
+base64. Likeness is 1 for equal fingerprints, else the sketches' estimate of the share of spans in common.
+How far a text and its edited text agree from the start (``same_prefix``) is exact, by binary search.
 
 Null texts are empty; the fingerprint of an empty text is like that of empty texts only; equal
 doc_ids follow each other in the order of their texts; the next document of a table's only row is
@@ -15,6 +16,7 @@ that row; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -31,8 +33,9 @@ from wardspark.llm.words import mix
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_103_515_245, 48_271_013)
 SPAN = 12
-SKETCH = 48
-_DIGITS = 6
+SKETCH = 40
+#: Bytes of a span's mark in a sketch: unrelated texts of any length share next to none by chance.
+MARK = 6
 
 
 class _Powers:
@@ -87,13 +90,16 @@ class PrefixHash:
         return tuple(out)
 
     def spans(self, length: int, start: int = 0) -> np.ndarray:
-        """Hashes, by the first prime, of all spans of a length from ``start`` on."""
+        """Hashes, both primes' in one number, of all spans of a length from ``start`` on."""
         stop = self.n - length + 1
         if start >= stop:
             return np.zeros(0, np.uint64)
-        _, down = _POWERS[0].upto(self.n + 1)
-        p, h = _POWERS[0].prime, self.prefix[0]
-        return (h[start + length : stop + length] + p - h[start:stop]) % p * down[start:stop] % p
+        out = np.zeros(stop - start, np.uint64)
+        for powers, h in zip(_POWERS, self.prefix, strict=True):
+            _, down = powers.upto(self.n + 1)
+            p = powers.prime
+            out = (out << np.uint64(31)) | ((h[start + length : stop + length] + p - h[start:stop]) % p * down[start:stop] % p)
+        return out
 
     def equal(self, start: int, other: PrefixHash, other_start: int, length: int) -> bool:
         return self.span(start, length) == other.span(other_start, length)
@@ -120,12 +126,18 @@ def _least(values: np.ndarray) -> np.ndarray:
 
 
 def _marks(hashes: np.ndarray) -> np.ndarray:
-    return mix(hashes) >> np.uint64(64 - 4 * _DIGITS)
+    return mix(hashes) >> np.uint64(64 - 8 * MARK)
 
 
 def _written(h: PrefixHash, sketch: np.ndarray) -> str:
     a, b = h.span(0, h.n)
-    return f"{h.n:x}-{a:08x}{b:08x}-" + "".join(f"{int(v):0{_DIGITS}x}" for v in sketch)
+    marks = sketch.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - MARK :].tobytes()
+    return f"{h.n:x}-{a:08x}{b:08x}-{base64.b64encode(marks).decode()}"
+
+
+def _sketch(mark: str) -> np.ndarray:
+    data = np.frombuffer(base64.b64decode(mark.rpartition("-")[2]), np.uint8).reshape(-1, MARK)
+    return np.pad(data, ((0, 0), (8 - MARK, 0))).view(">u8").ravel().astype(np.int64)
 
 
 def fingerprint(text: str) -> str:
@@ -137,7 +149,7 @@ def likeness(a: str, b: str) -> float:
     """How alike two fingerprints are, from 0 to 1."""
     if a == b:
         return 1.0
-    x, y = (np.array([int(s[i : i + _DIGITS], 16) for i in range(0, len(s), _DIGITS)], np.int64) for s in (f.rpartition("-")[2] for f in (a, b)))
+    x, y = _sketch(a), _sketch(b)
     both = np.union1d(x, y)[:SKETCH]
     return float(np.isin(both, np.intersect1d(x, y)).mean()) if len(both) else 0.0
 
@@ -166,13 +178,13 @@ class Printed:
         old = self.marks[: max(0, keep - span + 1)] if min(SPAN, self.hash.n) == span else np.zeros(0, np.uint64)
         mark = _written(h, _least(np.concatenate([old, _marks(h.spans(span, len(old)))])))
         digest = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
-        return self.doc_id, self.hash.n, digest, self.mark, mark, likeness(self.mark, mark), likeness(self.mark, following.mark)
+        return self.doc_id, self.hash.n, digest, self.mark, mark, likeness(self.mark, mark), likeness(self.mark, following.mark), self.hash.extension(0, h, 0)
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same_prefix long"
 ROWS = pa.schema([
     ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
-    ("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()), ("end", pa.string()), ("text", pa.string()),
+    ("near_edited", pa.float64()), ("near_next", pa.float64()), ("same_prefix", pa.int64()), ("part", pa.int32()), ("end", pa.string()), ("text", pa.string()),
 ])
 
 
@@ -190,14 +202,14 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 now = Printed(doc, text or "")
                 if last is None:
-                    rows.append((doc, *[None] * 6, part, "first", now.text))
+                    rows.append((doc, *[None] * 7, part, "first", now.text))
                 else:
                     rows.append((*last.row(now), part, None, None))
                 last = now
             if rows:
                 yield _batch(rows)
     if last is not None:
-        yield _batch([(last.doc_id, *[None] * 6, part, "last", last.text)])
+        yield _batch([(last.doc_id, *[None] * 7, part, "last", last.text)])
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -114,6 +114,9 @@ class _Range(InputPartition):
     stop: int
 
 
+#: Bytes inflated at a time until a record's header is whole.
+HEADER = 512
+
 _FIELDS = {"record_type": "warc-type", "target_uri": "warc-target-uri", "record_id": "warc-record-id", "payload_digest": "warc-payload-digest"}
 ROWS = pa.schema([
     ("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()),
@@ -141,19 +144,23 @@ def read_records(src, start: int, stop: int, wanted, payloads: bool) -> Iterator
         if not size:
             raise ValueError(f"no member with its length at {at}")
         inflate = zlib.decompressobj(-15)
-        plain = inflate.decompress(front[24 : min(len(front), size)], 0)
         read = min(len(front), size)
-        while b"\r\n\r\n" not in plain and read < size:  # a header longer than the first read
-            more = src.read(min(65536, size - read))
-            read += len(more)
-            plain += inflate.decompress(more)
+        plain = inflate.decompress(front[24:read], HEADER)
+        while b"\r\n\r\n" not in plain:  # no further than the header
+            more = inflate.unconsumed_tail
+            if not more and read < size:
+                more = src.read(min(4096, size - read))
+                read += len(more)
+            new = inflate.decompress(more, HEADER)
+            if not new and not more:
+                break
+            plain += new
         head, _, block = plain.partition(b"\r\n\r\n")
         fields = parse_header(head)
         if wanted(fields):
             payload = None
             if payloads and fields.get("warc-type") != "revisit":
-                if read < size:
-                    block += inflate.decompress(src.read(size - read))
+                block += inflate.decompress(inflate.unconsumed_tail + (src.read(size - read) if read < size else b"")) + inflate.flush()
                 payload = block[: int(fields["content-length"])].partition(b"\r\n\r\n")[2]
             digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
             yield fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-target-uri"), fields.get("warc-refers-to"), digest, int(fields.get("x-payload-length", -1)), payload
