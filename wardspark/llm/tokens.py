@@ -72,6 +72,8 @@ class Encoder:
         """Words of a text, each led by its white space if ids depend on that; None if the text is to go whole."""
         if any(sign in text for sign in _UNSURE):
             return None
+        if self.lowers:
+            text = lowered(text)
         if self.drops_space:
             return text.split()
         words = text.replace("\n", " \n").split(" ")
@@ -116,6 +118,15 @@ class Encoder:
         return got | {w: part(a) + part(self.bare + b) for w, (a, b) in signed.items()}
 
 
+def lowered(text: str) -> str:
+    """A text of Latin letters in lower case, one letter for each; others as they are."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """One per worker process; its memory of words outlives a task."""
