@@ -36,6 +36,8 @@ LANES = 1024
 STEPS_PER_CHECKPOINT = 256
 BLOCK = LANES * STEPS_PER_CHECKPOINT * 4
 FILE_IDS = 8 * BLOCK
+#: Words whose ids a worker remembers (some 150 bytes each).
+WORDS = 1_340_000
 MAGIC = b"RANSTOK1"
 _LOW = np.uint64(1 << 32)
 _U = np.uint64
@@ -360,7 +362,7 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     width = tokens.encoder(vocabulary).dtype.itemsize
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    ids = ordered.mapInArrow(tokens.encode_batches(vocabulary, schema), "doc_id long, n_tokens long, ids binary")
+    ids = ordered.mapInArrow(tokens.encode_batches(vocabulary, schema, WORDS), "doc_id long, n_tokens long, ids binary")
     return shared.saved(ids.withColumns({"width": F.lit(width), "place": F.monotonically_increasing_id()}), "ids")
 
 

@@ -128,9 +128,9 @@ def lowered(text: str) -> str:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, keep: int = _KEPT) -> Encoder:
     """One per worker process; its memory of words outlives a task."""
-    return Encoder(path)
+    return Encoder(path, keep)
 
 
 def vocabulary(name: str) -> str:
@@ -153,11 +153,11 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterato
         yield batch.slice(start)
 
 
-def encode_batches(path: str, schema: pa.Schema):
-    """A mapInArrow function: ``text`` becomes ``n_tokens`` and ``ids`` (end id included); other columns stay."""
+def encode_batches(path: str, schema: pa.Schema, keep: int = _KEPT):
+    """A mapInArrow function, whose workers remember the ids of ``keep`` words: ``text`` becomes ``n_tokens`` and ``ids`` (end id included); other columns stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, keep)
         end = np.array([END_ID], encode.dtype).tobytes()
         for whole in batches:
             for batch in slices(whole, "text"):
