@@ -2,7 +2,7 @@
 
 Both vocabularies split a text before merging, and no split reaches across the start of a
 space-led word. Words therefore get the same ids alone as in their text, and each worker keeps
-the ids of the words it has met; new words go to the library in batches. Texts for which this
+the ids of the words it has met. Texts for which this
 is not certain (special-token strings, control characters that only Python counts as space)
 go to the library whole.
 """
@@ -12,9 +12,9 @@ from __future__ import annotations
 import array
 import os
 import re
-from collections.abc import Iterable, Iterator
+import string
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +24,11 @@ END_ID = 1
 _KEPT = 1_000_000
 _UNSURE = ("<|", "\x00", "\x1c", "\x1d", "\x1e", "\x1f", "\x85")
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-# A word and the ASCII signs behind it: the two are always merged apart.
-_SIGNED = re.compile(r"(.*[A-Za-z0-9À-ÖØ-öø-ÿ])([!-/:-@\[-`{-~]+)", re.DOTALL)
+# ASCII signs behind a Latin letter or digit are always merged apart from it.
+_SIGNS = string.punctuation
+_ENDS = frozenset(string.ascii_letters + string.digits + "".join(map(chr, range(0xC0, 0x100)))) - {"×", "÷"}
 
-_LATIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)")
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _SAMPLE = ("a", "The", "ÉTÉ", "straße", "ÿ", "Übermut", "thereof")
 
 
@@ -38,6 +39,19 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Words(dict):
+    """Ids by word; a word not yet known is encoded when it is asked for, and kept up to a bound."""
+
+    def __init__(self, encode: Callable[[str], bytes], keep: int):
+        self.encode, self.keep = encode, keep
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(word)
+        if len(self) < self.keep:
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned integers of ``dtype``; words seen are remembered up to a bound."""
 
@@ -48,25 +62,32 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
-        self.keep = keep
-        self.known: dict[str, bytes] = {}
+        self.known = _Words(self.one, keep)
         one = [e.ids for e in self.library.encode_batch(["b", " b"], add_special_tokens=False)]
         self.drops_space = one[0] == one[1]
         self.letters = _byte_letters()
         self.lowers = self.library.encode("ABC", add_special_tokens=False).ids == self.library.encode("abc", add_special_tokens=False).ids
         words = [*_SAMPLE, *(f" {w}" for w in _SAMPLE)]
-        self.direct = [self.merged(_LATIN.fullmatch(w)) for w in words] == self.whole(words)
+        self.direct = [self.merged(w) for w in words] == self.whole(words)
         self.bare = "" if self.drops_space else "\0"  # leads a word of ``cut`` that no white space leads
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array.array(self.code, e.ids).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def merged(self, word: re.Match) -> bytes:
-        """Ids of a word of Latin letters, which is split no further, from the library's merges alone."""
-        space, core = word.groups()
-        core = (core.lower() if self.lowers else core).encode().decode("latin-1").translate(self.letters)
-        lead = "" if self.drops_space or not space else self.letters[32]
-        return array.array(self.code, [t.id for t in self.library.model.tokenize(lead + core)]).tobytes()
+    def merged(self, word: str) -> bytes | None:
+        """Ids of a word of Latin letters, which is split no further, from the library's merges alone; None for other words."""
+        core = word[1:] if word[0] == " " else word
+        if core.isascii():
+            if not core.isalpha():
+                return None
+            core = core.lower() if self.lowers else core
+        elif _LATIN.fullmatch(core):
+            core = (core.lower() if self.lowers else core).encode().decode("latin-1").translate(self.letters)
+        else:
+            return None
+        if word[0] == " " and not self.drops_space:
+            core = self.letters[32] + core
+        return array.array(self.code, [t.id for t in self.library.model.tokenize(core)]).tobytes()
 
     def cut(self, text: str) -> list[str] | None:
         """Words of a text, each led by its white space if ids depend on that; None if the text is to go whole."""
@@ -90,32 +111,17 @@ class Encoder:
         return word[1:] if word[0] == "\0" else " " + word
 
     def __call__(self, texts: Iterable[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        cut = [self.cut(t) if t else [] for t in texts]
-        known = self.known
-        got = [[*map(known.get, words)] if words else [] for words in cut]  # None where a word is new
-        new = {w for words, ids in zip(cut, got, strict=True) if words for w, x in zip(words, ids, strict=True) if x is None}
-        if new:
-            learned = self.learn(new)
-            get = lambda w: known.get(w) or learned[w]
-            got = [[x or get(w) for w, x in zip(words, ids, strict=True)] if ids and None in ids else ids for words, ids in zip(cut, got, strict=True)]
-            if len(known) < self.keep:
-                known.update(learned)
-        return [self.whole([t])[0] if words is None else b"".join(ids) for t, words, ids in zip(texts, cut, got, strict=True)]
-
-    def learn(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of words of ``cut`` that are not known."""
-        known = self.known
-        signed = {w: m.groups() for w in new if (m := _SIGNED.fullmatch(w))}
-        plain = (new - signed.keys()) | {w for w, _ in signed.values()} | {self.bare + s for _, s in signed.values()}
-        plain = [w for w in plain if w not in known]
-        spelled = [self.spelled(w) for w in plain]
-        latin = {w: m for w, x in zip(plain, spelled, strict=True) if (m := _LATIN.fullmatch(x))} if self.direct else {}
-        got = {w: self.merged(m) for w, m in latin.items()}
-        other = [(w, x) for w, x in zip(plain, spelled, strict=True) if w not in latin]
-        got |= zip((w for w, _ in other), self.whole([x for _, x in other]), strict=True)
-        part = lambda w: known.get(w) or got[w]
-        return got | {w: part(a) + part(self.bare + b) for w, (a, b) in signed.items()}
+        get = self.known.__getitem__
+        return [b"".join(map(get, words)) if (words := self.cut(t) if t else []) is not None else self.whole([t])[0] for t in texts]
+
+    def one(self, word: str) -> bytes:
+        """Ids of a word of ``cut``."""
+        core = word.rstrip(_SIGNS)
+        if len(core) < len(word) and core and core[-1] in _ENDS:
+            return self.known[core] + self.known[self.bare + word[len(core) :]]
+        spelled = self.spelled(word)
+        ids = self.merged(spelled) if self.direct else None
+        return self.whole([spelled])[0] if ids is None else ids
 
 
 def lowered(text: str) -> str:
