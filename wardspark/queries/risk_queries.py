@@ -323,7 +323,18 @@ def _dry_full(spark, sf):
     return A.policy_dry_run(audit(spark, sf), RULES, full_facts=True)
 
 
-_CR = {  # template -> ordered (rule, action, stop, SQL over the replay facts)
+_CR = {  # template -> ordered (rule, action, stop, SQL over the replay facts); replayed rules on threats never match
+    "default": [("block-credential-egress", "block", True, "sec"), ("block-indirect-injection", "block", True, "inj AND stage IN ('retrieval', 'tool_result', 'memory_write')"),
+                ("block-direct-injection", "block", True, "inj AND rsev >= 3"), ("block-unsafe-tool-flow", "block", True, "flow AND rsev >= 3"),
+                ("block-tool-poisoning", "block", True, "false"), ("block-code-execution", "block", True, "false"), ("block-system-prompt-leak", "block", True, "false"),
+                ("block-multi-turn-escalation", "block", True, "contains(dets, 'trajectory') AND rsev >= 3"), ("challenge-unverified-authority", "challenge", True, "claim AND rsev >= 3"),
+                ("block-banned-content", "block", True, "contains(dets, 'banned_topics') AND rsev >= 3"), ("redact-personal-data", "redact", False, "pii"),
+                ("flag-agentic-threats", "flag", False, "false"), ("flag-weak-injection-signals", "flag", False, "inj AND rsev >= 1"),
+                ("flag-ungrounded-answers", "flag", False, "contains(dets, 'groundedness')"), ("flag-external-content-in-memory", "flag", False, "false")],
+    "agent-safety": [("agent-block-unsafe-flow", "block", True, "flow"), ("agent-block-laundered-memory", "block", True, "false"),
+                     ("agent-block-injected-tool-results", "block", True, "stage IN ('tool_result', 'retrieval') AND (inj OR claim)"),
+                     ("agent-confirm-destructive-actions", "challenge", True, "stage = 'tool_call' AND coalesce(tool, '') IN ('payment.charge', 'email.send', 'shell.exec')"),
+                     ("agent-block-credentials-in-arguments", "block", True, "stage = 'tool_call' AND sec"), ("agent-flag-external-in-memory", "flag", False, "false")],
     "gdpr": [("gdpr-block-special-category", "block", True, "false"), ("gdpr-minimise-personal-data", "redact", False, "pii"), ("gdpr-block-credentials", "block", True, "sec"),
              ("gdpr-flag-cross-border-model", "flag", False, "pii AND region <> 'eu'"), ("gdpr-redact-output-personal-data", "redact", False, "pii AND stage = 'output'")],
     "hipaa": [("hipaa-block-phi-to-uncovered-model", "block", True, "pii"), ("hipaa-block-identifiers", "block", True, "card"), ("hipaa-require-authentication", "block", True, "principal_id IS NULL"),
@@ -348,12 +359,15 @@ def _compliance_sql() -> str:
     return audit_sql(
         f"SELECT template, m.rule_id AS rule_id, {_NAME.format(x='top')} AS new_action, count(*) AS events FROM (SELECT template, unnest(CASE WHEN len(ms) = 0 THEN {none} ELSE ms END) AS m, "
         "coalesce(list_max(list_transform(ms, lambda x: x.r)), 0) AS top FROM (" + " UNION ALL ".join(parts) + ")) GROUP BY ALL",
-        _FACTS, "cf AS (SELECT *, contains(dets, 'pii') AS pii, contains(dets, 'secrets') AS sec, contains(labs, 'credit_card') AS card FROM facts)")
+        _FACTS, "cf AS (SELECT *, contains(dets, 'pii') AS pii, contains(dets, 'secrets') AS sec, contains(labs, 'credit_card') AS card, "
+        "contains(dets, 'prompt_injection') AS inj, contains(dets, 'token_flow') AS flow, contains(dets, 'authority_claim') AS claim, "
+        "CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END AS rsev FROM facts)")
 
 
 @query("compliance_report", _compliance_sql())
 def _compliance(spark, sf):
-    return A.compliance_report(audit(spark, sf), [bundled(n) for n in ("gdpr", "hipaa", "pci")])
+    """Recorded traffic as every bundled rule set would have treated it."""
+    return A.compliance_report(audit(spark, sf), [bundled(n) for n in BUNDLES])
 
 
 @query("replay_bundles")
