@@ -344,12 +344,15 @@ _CR = {  # template -> ordered (rule, action, stop, SQL over the replay facts);
 }
 
 
-def _compliance_sql() -> str:
+def _compliance_sql(full: bool = False) -> str:
+    """The rule sets as a ladder in SQL; with ``full`` facts, threats are known too."""
     parts = []
     for template, rules in _CR.items():
         stops = []
         cols = []
         for rule, action, stop, cond in rules:
+            if full and rule == "flag-agentic-threats":
+                cond = "contains(ths, 'ASI')"
             reach = " AND ".join(f"NOT ({s})" for s in stops) or "true"
             cols.append(f"CASE WHEN ({cond}) AND {reach} THEN {{'rule_id': '{rule}', 'r': {ACTIONS.index(action)}}} END")
             if stop:
@@ -370,7 +373,7 @@ def _compliance(spark, sf):
     return A.compliance_report(audit(spark, sf), [bundled(n) for n in BUNDLES])
 
 
-@query("replay_bundles")
+@query("replay_bundles", _compliance_sql(full=True))
 def _bundles(spark, sf):
     """Recorded traffic under every bundled rule set, full facts."""
     return A.compliance_report(audit(spark, sf), [bundled(n) for n in BUNDLES], full_facts=True)
