@@ -79,3 +79,9 @@ def worst(names: Column, order: Sequence[str], default: str) -> Column:
 def security_relevant(action: Column, severity: Column, error: Column) -> Column:
     """Events that must never be sampled away."""
     return action.isin("block", "challenge") | (severity_rank(severity) >= 3) | error.isNotNull()
+
+
+def sampled(key: Column, share: float) -> Column:
+    """Whether a key is in a sample of ``share`` of all keys: by its MD5, alike in every run and engine; null keys are left out."""
+    place = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint") % 10_000
+    return F.coalesce(place < round(share * 10_000), F.lit(False))

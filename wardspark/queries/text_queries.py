@@ -114,12 +114,14 @@ def _relevant(spark, sf):
     return e.groupBy("action", "severity", F.col("error").isNotNull().alias("has_error"), rel).agg(F.count("*").alias("n"))
 
 
-@query("sample_traffic")
+@query("sample_traffic", f"""
+WITH {AUDIT_SQL} SELECT action, severity, count(*) AS n FROM a WHERE action IN ('block', 'challenge') OR severity IN ('high', 'critical') OR error IS NOT NULL
+ OR CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 10000 < 1000 GROUP BY ALL""")
 def _sample(spark, sf):
     """A tenth of ordinary traffic, and every security-relevant event."""
     e = audit(spark, sf)
     rel = ranks.security_relevant(F.col("action"), F.col("severity"), F.col("error"))
-    kept = e.filter(rel | (F.pmod(F.xxhash64("event_id"), F.lit(10_000)) < 1_000))
+    kept = e.filter(rel | ranks.sampled(F.col("event_id"), 0.1))
     return kept.groupBy("action", "severity").agg(F.count("*").alias("n"))
 
 
