@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardspark.operators import alerts as AL
+from wardspark.operators import audit as A
 from wardspark.operators import conversation as C
 
 DDL = "rule_id string, cooldown_s int, event_id string, timestamp_ms bigint"
@@ -66,3 +67,44 @@ def test_registered_values_are_found_by_code_point(spark, monkeypatch):
     monkeypatch.setattr(C, "DIGESTS", 1)
     assert sorted(map(tuple, C.scan_registered_secrets(texts, known, "s").collect())) == want
     assert C.scan_registered_secrets(texts, known.limit(0), "s").count() == 0
+
+
+def plan_scans(df) -> int:
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_facets_rules_and_histograms_take_one_scan(spark, events, tmp_path):
+    events.write.parquet(str(tmp_path / "audit"))
+    e = spark.read.parquet(str(tmp_path / "audit"))
+    rules = [AL.AlertRule(f"r{i}", "R", "threshold", {"count": 1, "group_by": "principal_id" if i % 2 else None}) for i in range(5)]
+    for out in (A.overview(e), A.overview(e, top=2), A.metric_histograms(e), A.metric_counters(e), AL.threshold_alerts(e, rules, 0)):
+        assert plan_scans(out) == 1
+    assert A.overview(e, top=2).filter("facet = 'application'").count() == 2
+
+
+def test_threshold_ties_go_to_the_smallest_key(spark):
+    e = spark.createDataFrame([(1, "b"), (2, "a"), (3, "a"), (4, "b"), (5, None), (6, None), (7, "c")], "timestamp_ms long, principal_id string")
+    rules = [AL.AlertRule("k", "Keyed", "threshold", {"count": 2, "group_by": "principal_id"}), AL.AlertRule("t", "Total", "threshold", {"count": 7}),
+             AL.AlertRule("n", "None", "threshold", {"count": 8})]
+    assert sorted(map(tuple, AL.threshold_alerts(e, rules, 7).select("rule_id", "title", "group_key", "count").collect())) == [
+        ("k", "Keyed: a", "a", 2), ("t", "Total", None, 7)]
+    assert AL.threshold_alerts(e.limit(0), rules, 7).count() == 0
+
+
+def test_long_requests_come_in_numbered_parts(spark, events):
+    one = events.withColumn("correlation_id", F.when(F.col("application") == "app1", "hot").otherwise(F.col("correlation_id")))
+    parts = A.correlation_summary(one, most=10).filter("correlation_id = 'hot'").orderBy("part").collect()
+    want = [r["stage"] for r in one.filter("correlation_id = 'hot'").orderBy("timestamp_ms", "event_id", "stage").collect()]
+    assert [s for r in parts for s in r["stages"]] == want and [r["part"] for r in parts] == list(range(1, len(parts) + 1))
+    assert all(len(r["stages"]) == 10 for r in parts[:-1]) and {r["events"] for r in parts} == {len(want)}
+    lost = A.correlation_summary(one.withColumn("correlation_id", F.lit(None).cast("string"))).collect()
+    assert len(lost) == 1 and lost[0]["stages"] is None
+    assert A.correlation_summary(one.limit(0)).count() == 0
+
+
+def test_histogram_labels_and_missing_values(spark, events):
+    few = events.limit(20).withColumns({"latency_ms": F.lit(None).cast("double"), "tags": F.create_map(F.lit("model_latency_ms"), F.lit("75"))})
+    out = A.metric_histograms(few)
+    assert out.filter("metric = 'pipeline_latency_ms'").count() == 0
+    seen = {r["le"]: r["n"] for r in out.filter("metric = 'model_latency_ms'").groupBy("le").agg(F.sum("bucket").alias("n")).collect()}
+    assert seen["50"] == 0 and seen["100"] == 20 and seen["+Inf"] == 20 and set(seen) == {*map(str, A.MODEL_BOUNDS), "+Inf"}

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardspark.functions.ranks import SEVERITIES, severity_rank
-from wardspark.operators.scan import with_scalars
 from wardspark.session import ensure_checkpoint_dir
 
 
@@ -92,29 +91,33 @@ def match_alerts(events: DataFrame, rules: Sequence[AlertRule] = DEFAULT_RULES)
 
 
 def threshold_alerts(events: DataFrame, rules: Sequence[AlertRule], now_ms: int | Column) -> DataFrame:
-    """Rules whose count over the last window reaches its threshold; the largest group, then key, speaks for a rule."""
+    """Rules whose count over the last window reaches its threshold; the largest group, then key, speaks for a rule.
+
+    All rules are counted on one pass: an event unfolds into the rules that take it, and a rule's
+    groups meet only once they are counted.
+    """
     now = now_ms if isinstance(now_ms, Column) else F.lit(now_ms)
-    out: DataFrame | None = None
-    for r in _of_kind(rules, "threshold"):
-        window_s, need, by = int(r.spec.get("window_s", 300)), int(r.spec.get("count", 10)), r.spec.get("group_by")
-        rows = events.filter((F.col("timestamp_ms") >= now - window_s * 1000) & matches(r.spec.get("filter") or {}))
-        key = F.col(by) if by else F.lit(None).cast("string")
-        groups = rows.groupBy(key.cast("string").alias("group_key")).agg(F.count("*").alias("count")).filter(F.col("count") >= need)
-        best = groups.agg(F.max_by(F.struct("group_key", "count"), F.struct(F.col("count"), F.lit(1))).alias("m"),
-                          F.max("count").alias("top")) if not by else None
-        if by:
-            top = groups.agg(F.max("count").alias("top"))
-            picked = with_scalars(groups, top, "top").filter(F.col("count") == F.col("top")).agg(
-                F.min("group_key").alias("group_key"), F.max("count").alias("count")).filter(F.col("count").isNotNull())
-        else:
-            picked = best.filter(F.col("top").isNotNull()).select("m.group_key", "m.count")
-        title = F.concat(F.lit(r.name + ": "), "group_key") if by else F.lit(r.name)
-        part = picked.select(F.lit(r.id).alias("rule_id"), title.alias("title"), F.lit(r.severity).alias("severity"), "group_key",
-                             "count", F.lit(window_s).alias("window_s"), F.lit(r.cooldown_s).alias("cooldown_s"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    chosen = _of_kind(rules, "threshold")
+    if not chosen:
         raise ValueError("no threshold rule given")
-    return out
+    taken = []
+    for r in chosen:
+        window_s, by = int(r.spec.get("window_s", 300)), r.spec.get("group_by")
+        key = (F.col(by) if by else F.lit(None)).cast("string")
+        test = (F.col("timestamp_ms") >= now - window_s * 1000) & matches(r.spec.get("filter") or {})
+        taken.append(F.when(test, F.struct(
+            F.lit(r.id).alias("rule_id"), F.lit(r.name).alias("_name"), F.lit(r.severity).alias("severity"), F.lit(bool(by)).alias("_keyed"),
+            F.lit(window_s).alias("window_s"), F.lit(r.cooldown_s).alias("cooldown_s"),
+            F.lit(int(r.spec.get("count", 10))).alias("_need"), key.alias("group_key"))))
+    rule = ("rule_id", "_name", "severity", "_keyed", "window_s", "cooldown_s", "_need")
+    groups = events.select(F.inline(F.filter(F.array(*taken), lambda t: t.isNotNull()))).groupBy(*rule, "group_key").agg(F.count("*").alias("count"))
+    order = F.struct((-F.col("count")).alias("n"), F.col("group_key").isNull().alias("keyless"), F.col("group_key").alias("group_key"))
+    best = groups.filter(F.col("count") >= F.col("_need")).groupBy(*rule).agg(F.min(order).alias("_best"))
+    key = F.col("_best.group_key")
+    return best.select(
+        "rule_id", F.when(F.col("_keyed"), F.concat("_name", F.lit(": "), key)).otherwise(F.col("_name")).alias("title"), "severity",
+        key.alias("group_key"), (-F.col("_best.n")).alias("count"), "window_s", "cooldown_s",
+    )
 
 
 def anomaly_alerts(anomalies: DataFrame, rules: Sequence[AlertRule] = DEFAULT_RULES) -> DataFrame:

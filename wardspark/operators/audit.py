@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardspark.functions.ranks import ACTIONS, SEVERITIES, action_rank
 from wardspark.operators.policy import Policy, apply_policy, policy_facts
 from wardspark.operators.scan import settle
-from wardspark.operators.taxonomy import coverage_report
+from wardspark.operators.taxonomy import BY_ID, coverage_report
 
 BLOCKED = ("block", "challenge")
 _EQUALS = ("application", "environment", "action", "severity", "stage", "principal_id", "tenant", "correlation_id",
@@ -73,11 +73,31 @@ def correlation_timeline(events: DataFrame, correlation_id: str) -> DataFrame:
     return events.filter(F.col("correlation_id") == correlation_id).orderBy("timestamp_ms", "event_id")
 
 
-def correlation_summary(events: DataFrame) -> DataFrame:
+def correlation_stages(events: DataFrame, most: int = 64, slice_ms: int = 60_000) -> DataFrame:
+    """(correlation_id, part, stages): each request's stages in order of time and id, at most ``most`` a part.
+
+    An event's place is the number of events in earlier slices of its request plus its place in its own
+    slice, so a request that holds a third of the log is numbered slice by slice in many tasks.
+    """
+    at = F.expr(f"timestamp_ms div {int(slice_ms)}").alias("_slice")
+    rows = events.filter(F.col("correlation_id").isNotNull()).select("correlation_id", at, "timestamp_ms", "event_id", "stage")
+    before = Window.partitionBy("correlation_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("correlation_id", "_slice").agg(F.count("*").alias("_n")).select(
+        "correlation_id", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")
+    )
+    own = Window.partitionBy("correlation_id", "_slice").orderBy("timestamp_ms", "event_id", "stage")
+    placed = rows.withColumn("_own", F.row_number().over(own)).join(base, ["correlation_id", "_slice"])
+    place = F.col("_base") + F.col("_own") - 1
+    return placed.groupBy("correlation_id", (F.floor(place / most) + 1).cast("int").alias("part")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct(place.alias("at"), "stage"))), lambda x: x["stage"]).alias("stages")
+    )
+
+
+def correlation_summary(events: DataFrame, most: int = 64) -> DataFrame:
     """Each request's start, end, ordered stages, worst action and detectors.
 
-    ``stages`` lists one entry per event, so it is as long as the request (``correlation_timeline``
-    has them as rows); everything else is a combined aggregate.
+    A request of more than ``most`` events has several rows, numbered by ``part``, which differ in
+    ``stages`` only; no row grows with the request. Events without a correlation id form one row without stages.
     """
     at = F.struct("timestamp_ms", "event_id")
     plain = events.groupBy("correlation_id").agg(
@@ -86,15 +106,13 @@ def correlation_summary(events: DataFrame) -> DataFrame:
         F.count("*").alias("events"),
         F.max(F.struct(action_rank(F.col("action")).alias("r"), "action")).alias("_worst"),
     )
-    stages = events.groupBy("correlation_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("timestamp_ms", "event_id", "stage"))), lambda x: x["stage"]).alias("stages")
-    )
     fired = events.select("correlation_id", F.explode("detectors_fired").alias("_d")).groupBy("correlation_id").agg(
         F.sort_array(F.collect_set("_d")).alias("detectors_fired")
     )
     return (
-        plain.join(stages, "correlation_id", "left").join(fired, "correlation_id", "left")
+        plain.join(fired, "correlation_id", "left").join(correlation_stages(events, most), "correlation_id", "left")
         .withColumns({
+            "part": F.coalesce("part", F.lit(1)),
             "duration_ms": F.col("ended_ms") - F.col("started_ms"),
             "outcome": F.col("_worst.action"),
             "detectors_fired": F.coalesce("detectors_fired", F.array().cast("array<string>")),
@@ -102,31 +120,52 @@ def correlation_summary(events: DataFrame) -> DataFrame:
     )
 
 
+def session_activity(events: DataFrame, gap: str = "30 minutes", idle: str | None = None, at: str = "timestamp_ms") -> DataFrame:
+    """(session, start_ms, end_ms, events, blocked): activity of each session.
+
+    A known session id is one session however long its pauses are (on a stream, until it was silent for
+    ``idle``, after which its state goes). Events without one are split by principal wherever ``gap`` passes
+    without an event. ``end_ms`` is the last event's time.
+    """
+    known = F.coalesce("session_id", F.lit("")) != ""
+    session = F.when(known, F.col("session_id")).otherwise(F.concat(F.lit("gap:"), F.coalesce("principal_id", F.lit("anonymous"))))
+    figures = [F.min(at).alias("start_ms"), F.max(at).alias("end_ms"), F.count("*").alias("events"), F.count_if(is_blocked()).alias("blocked")]
+    if idle is not None:  # a stream: one window whose gap depends on the row
+        w = F.session_window("ts", F.when(known, idle).otherwise(gap))
+        return events.groupBy(w, session.alias("session"), known.alias("known")).agg(*figures).drop("session_window")
+    rows = events.withColumn("ts", F.timestamp_millis(at))
+    by_id = rows.filter(known).groupBy(session.alias("session"), F.lit(True).alias("known")).agg(*figures)
+    by_gap = rows.filter(~known).groupBy(F.session_window("ts", gap), session.alias("session"), F.lit(False).alias("known")).agg(*figures)
+    return by_id.unionByName(by_gap.drop("session_window"))
+
+
 def overview(events: DataFrame, instances: DataFrame | None = None, since_ms: int | None = None, top: int | None = None) -> DataFrame:
     """(facet, key, events) rows: totals, by action, by severity, by application (the ``top`` busiest, if given), and measures in ``value``.
 
-    One scan and one shuffle: the facets are grouping sets over the same rows.
+    One scan and one shuffle: the facets are grouping sets over the same rows, and the measures unfold from the row of totals.
     """
     rows = since(events, since_ms)
     sets = rows.groupingSets(
         [[F.col("action")], [F.col("severity")], [F.col("application")], []], F.col("action"), F.col("severity"), F.col("application")
     ).agg(
         F.count("*").alias("events"), F.count_if(is_blocked()).alias("_b"), F.avg("latency_ms").alias("_avg"),
-        F.max("latency_ms").alias("_max"), F.grouping_id().alias("_g"), F.approx_count_distinct("principal_id").alias("_p"),
+        F.max("latency_ms").alias("_max"), F.grouping_id().alias("_g"),
     )
     tag = F.when(F.col("_g") == 3, "action").when(F.col("_g") == 5, "severity").when(F.col("_g") == 6, "application").otherwise("total")
     sets = sets.select(tag.alias("facet"), F.coalesce("action", "severity", "application", F.lit("all")).alias("key"),
                        "events", "_b", "_avg", "_max")
-    # One row per action, severity and application: the ranked filter works on grouped rows only.
-    apps = sets.filter(F.col("facet") == "application")
-    apps = apps if top is None else apps.orderBy(F.desc("events"), "key").limit(top)
-    value = lambda facet, col: sets.filter(F.col("facet") == "total").select(
-        F.lit("measure").alias("facet"), F.lit(facet).alias("key"), F.col("events"), col.cast("double").alias("value"))
-    plain = lambda d: d.select("facet", "key", "events", F.lit(None).cast("double").alias("value"))
-    out = plain(sets.filter(F.col("facet").isin("action", "severity", "total"))).unionByName(plain(apps))
-    for name, col in (("blocked", F.col("_b")), ("block_rate", F.round(F.col("_b") / F.col("events"), 4)),
-                      ("avg_latency_ms", F.round("_avg", 2)), ("max_latency_ms", F.round("_max", 2))):
-        out = out.unionByName(value(name, col))
+    if top is not None:  # one row per action, severity and application: the ranked filter works on grouped rows only
+        place = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("events"), "key"))
+        sets = sets.withColumn("_place", place).filter((F.col("facet") != "application") | (F.col("_place") <= top))
+
+    def row(facet: Column, key: Column, value: Column) -> Column:
+        return F.struct(facet.alias("facet"), key.alias("key"), F.col("events").alias("events"), value.cast("double").alias("value"))
+
+    own = row(F.col("facet"), F.col("key"), F.lit(None))
+    measures = [row(F.lit("measure"), F.lit(name), value) for name, value in (
+        ("blocked", F.col("_b")), ("block_rate", F.round(F.col("_b") / F.col("events"), 4)),
+        ("avg_latency_ms", F.round("_avg", 2)), ("max_latency_ms", F.round("_max", 2)))]
+    out = sets.select(F.inline(F.when(F.col("facet") == "total", F.array(own, *measures)).otherwise(F.array(own))))
     if instances is not None:
         live = instances if since_ms is None else instances.filter(F.col("last_seen_ms") >= since_ms)
         n = live.agg(F.count("*").alias("events"))
@@ -254,6 +293,8 @@ def metric_counters(events: DataFrame, applications: Sequence[str] | None = None
         return F.transform(source, build)
 
     stage, action = F.col("stage"), F.col("action")
+    frameworks = {name: sorted(i for i, t in BY_ID.items() if t.framework == name) for name in dict.fromkeys(t.framework for t in BY_ID.values())}
+    framework = lambda t: F.coalesce(*[F.when(t.isin(*ids), name) for name, ids in frameworks.items()], F.lit("other"))
     none = F.array().cast("array<struct<metric:string,labels:string>>")
     outcome = lambda f: F.when(F.coalesce(f["error"], F.lit("")) != "", "error").when(f["detected"], "detected").otherwise("clean")
     ranked = F.transform(
@@ -271,7 +312,7 @@ def metric_counters(events: DataFrame, applications: Sequence[str] | None = None
                                          fail_mode=F.when(f["detected"], "closed").otherwise("open")),
             lambda f: F.coalesce(f["error"], F.lit("")) != ""),
         per("policy_traces", lambda t: sample("policy_evaluations_total", policy_id=t["policy_id"], action=t["action"])),
-        F.flatten(per("findings", lambda f: F.transform(f["threats"], lambda t: sample("threat_detections_total", threat=t, stage=stage, action=action)),
+        F.flatten(per("findings", lambda f: F.transform(f["threats"], lambda t: sample("threat_detections_total", threat=t, framework=framework(t), stage=stage, action=action)),
                       lambda f: f["detected"])),
         F.when(F.col("risk_score") > 0, F.array(sample("risk_decisions_total", band=F.col("risk_band"), stage=stage))).otherwise(none),
         F.when(action == "block", F.array(sample("blocked_total", stage=stage, category=reason))).otherwise(none),
@@ -287,21 +328,49 @@ RISK_BOUNDS = (1, 2, 4, 6, 9, 12, 16, 20, 25)
 MODEL_BOUNDS = (10, 50, 100, 250, 500, 1000, 2500, 5000, 10000, 30000)
 
 
-def metric_histogram(events: DataFrame, value: str, bounds: Sequence[float], labels: Sequence[str], name: str) -> DataFrame:
-    """Cumulative buckets (``le``), sum and count of one measure per label set."""
-    grouped = events.filter(F.col(value).isNotNull()).groupBy(*labels).agg(
-        *[F.count_if(F.col(value) <= b).alias(f"_b{i}") for i, b in enumerate(bounds)],
-        F.count("*").alias("count"), F.sum(F.col(value).cast("double")).alias("sum"),
-    )
-    cells = [F.struct(F.lit(str(b)).alias("le"), F.col(f"_b{i}").alias("n")) for i, b in enumerate(bounds)]
-    cells.append(F.struct(F.lit("+Inf").alias("le"), F.col("count").alias("n")))
-    return grouped.select(F.lit(name).alias("metric"), *labels, "sum", "count", F.inline(F.array(*cells))).withColumnRenamed("n", "bucket")
+_LABELS = ("stage", "application", "detector", "policy_id", "provider")
+
 
+def metric_histograms(events: DataFrame, model_latency: Column | None = None) -> DataFrame:
+    """Cumulative buckets (``le``), sum and count of five measures: pipeline, detector, policy and model latency, and risk.
 
-def metric_histograms(events: DataFrame) -> DataFrame:
-    lat = metric_histogram(events, "latency_ms", LATENCY_BOUNDS, ["stage", "application"], "pipeline_latency_ms")
-    risk = metric_histogram(events.filter(F.col("risk_score") > 0), "risk_score", RISK_BOUNDS, ["stage", "application"], "risk_score")
-    return lat.unionByName(risk)
+    Labels that a family does not have are null. ``model_latency`` is the upstream model's time in
+    milliseconds, by default what the tag ``model_latency_ms`` states. Measures without a value are not
+    counted. A policy's latency is the sum over its rules, one observation an event.
+
+    One scan and one aggregate: an event unfolds into its observations, which are combined before the shuffle.
+    """
+    model = F.try_to_number(F.col("tags")["model_latency_ms"], F.lit("999999999.999999")) if model_latency is None else model_latency
+    bounds = {"pipeline_latency_ms": LATENCY_BOUNDS, "detector_latency_ms": LATENCY_BOUNDS, "policy_latency_ms": LATENCY_BOUNDS,
+              "model_latency_ms": MODEL_BOUNDS, "risk_score": RISK_BOUNDS}
+
+    def seen(metric: str, value: Column, **labels: Column) -> Column:
+        named = [labels.get(n, F.lit(None)).cast("string").alias(n) for n in _LABELS]
+        return F.struct(F.lit(metric).alias("metric"), *named, value.cast("double").alias("value"))
+
+    stage, app = F.col("stage"), F.col("application")
+    policies = F.array_distinct(F.transform("policy_traces", lambda t: t["policy_id"]))
+    spent = lambda p: F.aggregate(
+        F.filter("policy_traces", lambda t: t["policy_id"].eqNullSafe(p) & t["elapsed_ms"].isNotNull()), F.lit(None).cast("double"),
+        lambda total, t: F.coalesce(total, F.lit(0.0)) + t["elapsed_ms"])
+    none = F.array().cast("array<struct<metric:string," + ",".join(f"{n}:string" for n in _LABELS) + ",value:double>>")
+    observed = F.concat(
+        F.array(seen("pipeline_latency_ms", F.col("latency_ms"), stage=stage, application=app),
+                seen("risk_score", F.when(F.col("risk_score") > 0, F.col("risk_score")), stage=stage, application=app),
+                seen("model_latency_ms", model, provider=F.col("provider"), application=app)),
+        F.coalesce(F.transform("findings", lambda f: seen("detector_latency_ms", f["elapsed_ms"], detector=f["detector"], application=app)), none),
+        F.coalesce(F.transform(policies, lambda p: seen("policy_latency_ms", spent(p), policy_id=p, application=app)), none),
+    )
+    rows = events.select(F.inline(F.filter(observed, lambda o: o["value"].isNotNull())))
+    upper = lambda i: F.coalesce(*[F.when(F.col("metric") == m, float(b[i])) for m, b in bounds.items() if i < len(b)])
+    grouped = rows.groupBy("metric", *_LABELS).agg(
+        *[F.count_if(F.col("value") <= upper(i)).alias(f"_b{i}") for i in range(max(map(len, bounds.values())))],
+        F.count("*").alias("count"), F.sum("value").alias("sum"),
+    )
+    cells = lambda b: F.array(*[F.struct(F.lit(str(x)).alias("le"), F.col(f"_b{i}").alias("bucket")) for i, x in enumerate(b)],
+                              F.struct(F.lit("+Inf").alias("le"), F.col("count").alias("bucket")))
+    return grouped.select("metric", *_LABELS, "sum", "count",
+                          F.inline(F.coalesce(*[F.when(F.col("metric") == m, cells(b)) for m, b in bounds.items()])))
 
 
 # --- replay -------------------------------------------------------------------------

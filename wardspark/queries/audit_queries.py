@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wardspark.operators import alerts as AL
 from wardspark.operators import anomaly as AN
 from wardspark.operators import audit as A
+from wardspark.operators import taxonomy as T
 from wardspark.operators.scan import with_scalars
 from wardspark.queries.base import audit, audit_events, audit_sql, query, table
 from wardspark.sources import audit_log as L
@@ -143,12 +144,36 @@ def _timeline_of(spark, sf):
 
 
 @query("correlation_summary", audit_sql(
-    "SELECT correlation_id, arg_min(application, timestamp_ms) AS application, min(timestamp_ms) AS started_ms, max(timestamp_ms) - min(timestamp_ms) AS duration_ms, string_agg(stage, ',' ORDER BY timestamp_ms, event_id) AS stages, "
+    "SELECT correlation_id, 1 AS part, arg_min(application, timestamp_ms) AS application, min(timestamp_ms) AS started_ms, max(timestamp_ms) - min(timestamp_ms) AS duration_ms, string_agg(stage, ',' ORDER BY timestamp_ms, event_id) AS stages, "
     "arg_max(action, CASE action WHEN 'block' THEN 4 WHEN 'challenge' THEN 3 WHEN 'redact' THEN 2 WHEN 'flag' THEN 1 ELSE 0 END) AS outcome, any_value(coalesce(ds, '')) AS detectors FROM a "
     "LEFT JOIN (SELECT correlation_id AS cid, string_agg(DISTINCT f.detector, ',' ORDER BY f.detector) AS ds FROM f JOIN a USING (event_id) WHERE f.detected GROUP BY 1) d ON d.cid = a.correlation_id GROUP BY 1"))
 def _summary(spark, sf):
     s = A.correlation_summary(audit(spark, sf))
-    return s.select("correlation_id", "application", "started_ms", "duration_ms", F.array_join("stages", ",").alias("stages"), "outcome", F.array_join("detectors_fired", ",").alias("detectors"))
+    return s.select("correlation_id", "part", "application", "started_ms", "duration_ms", F.array_join("stages", ",").alias("stages"), "outcome", F.array_join("detectors_fired", ",").alias("detectors"))
+
+
+@query("correlation_stages", audit_sql(
+    "SELECT correlation_id, CAST(n // 64 + 1 AS INT) AS part, string_agg(stage, ',' ORDER BY n) AS stages FROM "
+    "(SELECT principal_id AS correlation_id, stage, row_number() OVER (PARTITION BY principal_id ORDER BY timestamp_ms, event_id, stage) - 1 AS n FROM a WHERE principal_id IS NOT NULL) GROUP BY ALL"))
+def _stages(spark, sf):
+    """Stages in numbered parts, a principal's whole traffic taken as one long request."""
+    s = A.correlation_stages(audit(spark, sf).withColumn("correlation_id", F.col("principal_id")))
+    return s.select("correlation_id", "part", F.array_join("stages", ",").alias("stages"))
+
+
+_SESS = ("se AS (SELECT *, CASE WHEN k % 3 = 0 THEN NULL ELSE session_id END AS sid FROM a), "
+         "gp AS (SELECT *, coalesce(principal_id, 'anonymous') AS who, timestamp_ms - lag(timestamp_ms) OVER (PARTITION BY coalesce(principal_id, 'anonymous') ORDER BY timestamp_ms, event_id) AS pause FROM se WHERE sid IS NULL), "
+         "gs AS (SELECT *, count(*) FILTER (WHERE pause >= 1800000) OVER (PARTITION BY who ORDER BY timestamp_ms, event_id ROWS UNBOUNDED PRECEDING) AS nth FROM gp)")
+_SESS_AGG = "min(timestamp_ms) AS start_ms, max(timestamp_ms) AS end_ms, count(*) AS events, count(*) FILTER (WHERE action IN ('block', 'challenge')) AS blocked"
+
+
+@query("session_activity", audit_sql(
+    f"SELECT sid AS session, true AS known, {_SESS_AGG} FROM se WHERE sid IS NOT NULL GROUP BY sid UNION ALL "
+    f"SELECT 'gap:' || who, false, {_SESS_AGG} FROM gs GROUP BY who, nth", _SESS))
+def _sessions(spark, sf):
+    """Sessions by id, and by pauses where every third event lost its id."""
+    e = audit(spark, sf)
+    return A.session_activity(e.withColumn("session_id", F.when(F.substring("prompt", 15, 9).cast("int") % 3 != 0, F.col("session_id"))))
 
 
 # --- aggregates -----------------------------------------------------------------------------
@@ -236,25 +261,33 @@ _APP = "CASE WHEN application IN ('app0', 'app1', 'app2') THEN application ELSE
     f"SELECT 'detector_hits_total', 'action=' || action || ',application=' || {_APP} || ',detector=' || detector || ',severity=' || severity FROM f WHERE detected UNION ALL "
     f"SELECT 'detector_errors_total', 'application=' || {_APP} || ',detector=' || detector || ',fail_mode=' || CASE WHEN detected THEN 'closed' ELSE 'open' END FROM f WHERE error IS NOT NULL UNION ALL "
     f"SELECT 'policy_evaluations_total', 'action=' || action || ',application=' || {_APP} || ',policy_id=default' FROM a UNION ALL "
-    f"SELECT 'threat_detections_total', 'action=' || ft.event_action || ',application=' || {_APP} || ',stage=' || a.stage || ',threat=' || threat FROM ft JOIN a USING (event_id) UNION ALL "
+    f"SELECT 'threat_detections_total', 'action=' || ft.event_action || ',application=' || {_APP} || ',framework=' || CASE substr(threat, 1, 3) WHEN 'LLM' THEN '{T.LLM}' WHEN 'ASI' THEN '{T.ASI}' ELSE '{T.MCP}' END || ',stage=' || a.stage || ',threat=' || threat FROM ft JOIN a USING (event_id) UNION ALL "
     f"SELECT 'risk_decisions_total', 'application=' || {_APP} || ',band=' || risk_band || ',stage=' || stage FROM a WHERE risk_score > 0 UNION ALL "
     f"SELECT 'blocked_total', 'application=' || {_APP} || ',category=' || category || ',stage=' || stage FROM a WHERE action = 'block') GROUP BY ALL"))
 def _mcounters(spark, sf):
     return A.metric_counters(audit(spark, sf), _APPS)
 
 
-_BOUNDS = A.LATENCY_BOUNDS
+def _hist_sql(name: str, value: str, bounds, source: str, labels: dict[str, str]) -> str:
+    les = ", ".join(f"('{b}', {b})" for b in bounds) + ", ('+Inf', 1e300)"
+    named = ", ".join(f"{labels.get(n, 'CAST(NULL AS VARCHAR)')} AS {n}" for n in ("stage", "application", "detector", "policy_id", "provider"))
+    return (f"SELECT '{name}' AS metric, stage, application, detector, policy_id, provider, round(CAST(sum(v) AS DOUBLE), 4) AS sum, count(*) AS count, le, count(*) FILTER (WHERE v <= ub) AS bucket "
+            f"FROM (SELECT {named}, {value} AS v FROM {source}) x, (VALUES {les}) b(le, ub) WHERE v IS NOT NULL GROUP BY ALL")
 
 
-def _hist_sql(name: str, value: str, bounds, where: str) -> str:
-    les = ", ".join(f"('{b}', {b})" for b in bounds) + ", ('+Inf', 1e300)"
-    return (f"SELECT '{name}' AS metric, stage, application, round(CAST(any_value(s) AS DOUBLE), 4) AS sum, any_value(c) AS count, le, count(*) FILTER (WHERE {value} <= ub) AS bucket FROM "
-            f"(SELECT *, sum({value}) OVER (PARTITION BY stage, application) AS s, count(*) OVER (PARTITION BY stage, application) AS c FROM a WHERE {where}) x, (VALUES {les}) v(le, ub) GROUP BY stage, application, le")
+_BY_STAGE = {"stage": "stage", "application": "application"}
 
 
-@query("metric_histograms", audit_sql(_hist_sql("pipeline_latency_ms", "latency_ms", A.LATENCY_BOUNDS, "true") + " UNION ALL " + _hist_sql("risk_score", "risk_score", A.RISK_BOUNDS, "risk_score > 0")))
+@query("metric_histograms", audit_sql(" UNION ALL ".join((
+    _hist_sql("pipeline_latency_ms", "latency_ms", A.LATENCY_BOUNDS, "a", _BY_STAGE),
+    _hist_sql("risk_score", "CASE WHEN risk_score > 0 THEN risk_score END", A.RISK_BOUNDS, "a", _BY_STAGE),
+    _hist_sql("detector_latency_ms", "elapsed_ms", A.LATENCY_BOUNDS, "f", {"detector": "detector", "application": "application"}),
+    _hist_sql("policy_latency_ms", "k / 100.0", A.LATENCY_BOUNDS, "a", {"policy_id": "'default'", "application": "application"}),
+    _hist_sql("model_latency_ms", "CASE WHEN stage = 'output' THEN k * 40.0 END", A.MODEL_BOUNDS, "a", {"provider": "provider", "application": "application"})))))
 def _mhist(spark, sf):
-    return A.metric_histograms(audit(spark, sf)).withColumn("sum", F.round("sum", 4))
+    """All five families; answers take a model time that follows from the event."""
+    model = F.when(F.col("stage") == "output", F.substring("prompt", 15, 9).cast("int") * 40.0)
+    return A.metric_histograms(audit(spark, sf), model).withColumn("sum", F.round("sum", 4))
 
 
 # --- fleet and versions -----------------------------------------------------------------------

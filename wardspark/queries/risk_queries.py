@@ -315,6 +315,15 @@ def _dry_run(spark, sf):
     return A.policy_dry_run(audit(spark, sf), RULES)
 
 
+@query("policy_changes", audit_sql(
+    "SELECT event_id, correlation_id, action AS from_action, to_action FROM (SELECT *, " + _NAME.format(x="new") + " AS to_action FROM (SELECT *, greatest(CASE WHEN contains(dets, 'pii') THEN 2 ELSE 0 END, "
+    "CASE WHEN contains(dets, 'secrets') AND rsev >= 3 THEN 4 WHEN coalesce(tool, '') IN ('payment.charge', 'shell.exec') THEN 3 WHEN rsev >= 4 THEN 4 ELSE 0 END) AS new "
+    "FROM (SELECT *, CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END AS rsev FROM facts))) WHERE to_action <> action", _FACTS))
+def _changes(spark, sf):
+    """Every event that the candidate policy would treat otherwise."""
+    return A.policy_changes(audit(spark, sf), RULES).select("event_id", "correlation_id", "from_action", "to_action")
+
+
 @query("policy_dry_run_full", audit_sql(
     "SELECT action AS from_action, " + _NAME.format(x="pol2") + " AS to_action, count(*) AS events FROM (SELECT *, greatest(CASE WHEN contains(dets, 'pii') THEN 2 ELSE 0 END, CASE WHEN contains(ths, 'ASI') THEN 1 ELSE 0 END, "
     "CASE WHEN contains(dets, 'secrets') AND rsev >= 3 THEN 4 WHEN coalesce(tool, '') IN ('payment.charge', 'shell.exec') THEN 3 WHEN rsev >= 4 THEN 4 ELSE 0 END) AS pol2 "
