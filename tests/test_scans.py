@@ -199,3 +199,12 @@ def test_thousands_of_markers(spark):
     tokens = spark.range(5000).select(F.format_string("MARK-%06d", "id").alias("token")).union(spark.sql("select '#' union all select '' union all select null"))
     assert sorted((r["id"], r["token"]) for r in scan_canary(texts, tokens).collect()) == [(1, "MARK-001234"), (2, "MARK-001234"), (4, "#")]
     assert scan_canary(texts, tokens.limit(0)).count() == 0
+
+
+def test_find_spans_from_sql(spark):
+    from wardspark.functions.tables import register
+
+    register(spark)
+    spark.createDataFrame([(1, "é a1 bb22"), (2, None), (3, ""), (4, "zz")], "id int, text string").createOrReplaceTempView("span_texts")
+    out = spark.sql("SELECT id, s.* FROM span_texts, LATERAL find_spans(text, map('d', '[0-9]+', 'w', 'b+', 'e', 'q*', 'n', CAST(NULL AS STRING))) s")
+    assert sorted(map(tuple, out.collect())) == [(1, "d", 3, 4, "1"), (1, "d", 7, 9, "22"), (1, "w", 5, 7, "bb")]

@@ -115,3 +115,71 @@ def test_volume_spike_stream(spark, landed):
 def test_late_rows_are_kept_aside(landed):
     cut = 1_705_276_800_000
     assert J.late_rows(landed[1], cut).count() == landed[1].filter(F.col("timestamp_ms") < cut).count()
+
+
+def test_late_rows_of_a_stream_are_kept_once(spark, tmp_path):
+    cols = "event_id string, timestamp_ms bigint"
+    parts = [[("a", 1_000_000), ("b", 10)], [("c", 399_999), ("d", 400_000), ("e", None), ("f", 2_000_000)], [("g", 1_399_999), ("h", 1_500_000)]]
+    for rows_ in parts:
+        spark.createDataFrame(rows_, cols).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    seen: dict[str, int] = {}
+
+    def take(batch):
+        for r in batch.collect():
+            seen[r["event_id"]] = seen.get(r["event_id"], 0) + 1
+
+    stream = lambda: spark.readStream.schema(cols).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    J.stream_split_late(stream(), take, str(tmp_path / "check"), str(tmp_path / "late"), 600_000).awaitTermination(120)
+    late = lambda: sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "late/rows")).collect())
+    assert late() == ["c", "g"] and seen == dict.fromkeys("abdefh", 1)
+    spark.createDataFrame([("i", 1)], cols).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    J.stream_split_late(stream(), take, str(tmp_path / "check"), str(tmp_path / "late"), 600_000).awaitTermination(120)
+    assert late() == ["c", "g", "i"] and seen == dict.fromkeys("abdefh", 1)
+
+
+def test_sink_that_fails_twice_gets_every_event_once_in_order(spark, landed, tmp_path):
+    taken: list[str] = []
+    calls = {"n": 0}
+
+    def flaky(batch):
+        calls["n"] += 1
+        if calls["n"] <= 2:
+            raise RuntimeError("down")
+        taken.extend(r["event_id"] for r in batch.collect())
+
+    source = landed[1].withColumn("_part", F.pmod(F.xxhash64("event_id"), F.lit(4)))
+    for i in range(4):
+        source.filter(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(landed[1].schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    errors, dead = [], str(tmp_path / "dead")
+    J.stream_export(stream, {"flaky": flaky}, str(tmp_path / "check"), errors=errors, dead_letters=dead).awaitTermination(120)
+    want = sorted(r["event_id"] for r in landed[1].select("event_id").collect())
+    assert sorted(taken) == want and len(errors) == 2 and J.pending_letters(spark, dead, "flaky") == []
+
+
+def test_letters_left_at_the_end_can_be_replayed(spark, landed, tmp_path):
+    def broken(_):
+        raise RuntimeError("down")
+
+    dead, got = str(tmp_path / "dead"), []
+    J.stream_export(read(spark, landed, 1), {"bad": broken}, str(tmp_path / "check"), "high", dead_letters=dead).awaitTermination(120)
+    left = J.pending_letters(spark, dead, "bad")
+    assert len(left) > 1 and left == sorted(left)
+    J.replay_dead_letters(spark, lambda b: got.extend(r[0] for r in b.select("event_id").collect()), dead, "bad")
+    assert len(got) == len(set(got)) == landed[1].filter(F.col("severity").isin("high", "critical")).count()
+    assert J.pending_letters(spark, dead, "bad") == []
+
+
+def test_known_sessions_outlast_pauses(spark, tmp_path):
+    cols = "session_id string, principal_id string, timestamp_ms bigint, action string"
+    minute = 60_000
+    rows_ = [("s", "p", 0, "block"), ("s", "p", 31 * minute, "allow"), (None, "p", 0, "allow"), (None, "p", 31 * minute, "allow"),
+             ("", "q", 0, "allow"), (None, "q", 29 * minute, "challenge"), (None, None, 5, "allow")]
+    df = spark.createDataFrame(rows_, cols)
+    want = [("gap:anonymous", False, 5, 5, 1, 0), ("gap:p", False, 0, 0, 1, 0), ("gap:p", False, 31 * minute, 31 * minute, 1, 0),
+            ("gap:q", False, 0, 29 * minute, 2, 1), ("s", True, 0, 31 * minute, 2, 1)]
+    names = ("session", "known", "start_ms", "end_ms", "events", "blocked")
+    assert rows(A.session_activity(df), *names) == want
+    df.write.parquet(str(tmp_path / "in"))
+    out = run(J.stream_sessions(spark.readStream.schema(cols).parquet(str(tmp_path / "in"))), "complete", "s_known")
+    assert rows(out, *names) == want

@@ -30,7 +30,9 @@ def _normalise(spark, sf):
                                    F.array_join("categories", ",").alias("categories"), F.array_join("threats", ",").alias("threats"), "search_text")
 
 
-@query("ingest_json")
+@query("ingest_json", audit_sql(
+    "SELECT CASE WHEN k IN (97, 98) THEN 'rejected' ELSE 'accepted' END AS outcome, CASE k WHEN 98 THEN 'malformed JSON or wrong field type' WHEN 97 THEN 'missing stage' ELSE stage END AS key, "
+    "count(*) AS n FROM a GROUP BY ALL"))
 def _ingest(spark, sf):
     """Events round-tripped through JSON lines, some of them broken, parsed tolerantly."""
     e = audit_events(spark, sf)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wardspark.functions import checks, ranks, regex
 from wardspark.functions import text as X
+from wardspark.functions.tables import register
 from wardspark.operators import conversation as C
 from wardspark.operators.detectors import exfil_hosts
 from wardspark.operators.redact import audit_payload, safety_net
@@ -230,3 +231,18 @@ SELECT count(*) AS scanned, count(*) FILTER (WHERE {_LINE_BLOCKS} OR coalesce(bi
 def _lines(spark, sf):
     lines = planted(spark, sf).select(F.explode(F.split("text", r"[\r\n]")).alias("value"))
     return scan_totals(screened_lines(lines))
+
+
+# Rules that read the same in both engines.
+_SPAN_RULES = {"address": "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", "number": "[0-9]{3,}", "link": "https?://[a-z0-9./-]+"}
+
+
+@query("find_spans", "SELECT doc_id, label, value, count(*) AS n FROM (" + " UNION ALL ".join(
+    f"SELECT doc_id, '{k}' AS label, unnest(regexp_extract_all(text, '{v}')) AS value FROM documents" for k, v in _SPAN_RULES.items()) + ") GROUP BY ALL")
+def _find_spans(spark, sf):
+    """Spans of three rules as rows, by a lateral join with the table function."""
+    register(spark)
+    table(spark, sf, "documents").createOrReplaceTempView("_span_documents")
+    rules = ", ".join(f"'{k}', '{v}'" for k, v in _SPAN_RULES.items())
+    found = spark.sql(f"SELECT d.doc_id, s.label, s.value FROM _span_documents d, LATERAL find_spans(d.text, map({rules})) s")
+    return found.groupBy("doc_id", "label", "value").agg(F.count("*").alias("n"))

@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from wardspark.operators.access import charge, charged_scopes, quota_table
 from wardspark.operators.alerts import AlertRule, matches, next_fire, rule_hits
 from wardspark.operators.anomaly import volume_spike
+from wardspark.operators.audit import session_activity
 from wardspark.operators.scan import with_scalars
 from wardspark.sources.audit_log import fan_out
 from wardspark.sources.export import at_least
@@ -52,13 +53,9 @@ def stream_threshold_counts(events: DataFrame, rule: AlertRule, slide: str = "30
     )
 
 
-def stream_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Activity per session; events without a session id are sessionised by principal and gap."""
-    e = event_time(events, delay)
-    key = F.coalesce("session_id", F.concat(F.lit("gap:"), F.coalesce("principal_id", F.lit("anonymous")))).alias("session")
-    return e.groupBy(F.session_window("ts", gap).alias("w"), key).agg(
-        F.count("*").alias("events"), F.count_if(F.col("action").isin("block", "challenge")).alias("blocked")
-    ).select("session", F.unix_millis("w.start").alias("start_ms"), F.unix_millis("w.end").alias("end_ms"), "events", "blocked")
+def stream_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes", idle: str = "1 day") -> DataFrame:
+    """Activity per session: a known id is one session until it was silent for ``idle``; others are split by principal and gap."""
+    return session_activity(event_time(events, delay), gap, idle)
 
 
 def late_rows(events: DataFrame, watermark_ms: Column | int) -> DataFrame:
@@ -67,12 +64,92 @@ def late_rows(events: DataFrame, watermark_ms: Column | int) -> DataFrame:
     return events.filter(F.col("timestamp_ms") < at)
 
 
+def _at(spark: SparkSession, path: str):
+    """The file system of a path, and the path for it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _at(spark, path)
+    return fs.exists(at)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, at = _at(spark, path)
+    fs.delete(at, True)
+
+
+def stream_split_late(events: DataFrame, on_time: Callable[[DataFrame], None], checkpoint: str, table: str,
+                      delay_ms: int = 10 * 60_000, **trigger: Any):
+    """Hand rows on time to ``on_time`` and keep late ones, each once, below ``table``/rows.
+
+    A row is late if it is more than the delay behind the newest event of the batches before its own. The
+    newest time is kept in a folder a batch, so a repeated batch decides as it did before and overwrites
+    its own late rows. Rows without a time are on time.
+    """
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        schema, before = "_newest long", f"{table}/mark/batch={batch_id - 1}"
+        mark = spark.read.schema(schema).parquet(before) if _exists(spark, before) else spark.createDataFrame([(None,)], schema)
+        held = with_scalars(batch, mark, "_newest").withColumn(
+            "_late", F.coalesce(F.col("timestamp_ms") < F.col("_newest") - delay_ms, F.lit(False))).persist()
+        try:
+            held.filter("_late").select(*batch.columns).write.mode("overwrite").parquet(f"{table}/rows/batch={batch_id}")
+            on_time(held.filter("not _late").select(*batch.columns))
+            newest = held.agg(F.max("timestamp_ms").alias("_newest")).unionByName(mark).agg(F.max("_newest").cast("long").alias("_newest"))
+            newest.write.mode("overwrite").parquet(f"{table}/mark/batch={batch_id}")
+        finally:
+            held.unpersist()
+        _remove(spark, f"{table}/mark/batch={batch_id - 2}")
+
+    return events.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def pending_letters(spark: SparkSession, dead_letters: str, sink: str) -> list[int]:
+    """Batches that a sink has not taken yet, oldest first."""
+    fs, at = _at(spark, f"{dead_letters}/sink={sink}")
+    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+
+def replay_dead_letters(spark: SparkSession, sink: Callable[[DataFrame], None], dead_letters: str, name: str, before: int | None = None) -> None:
+    """Offer a sink what it has missed, oldest first; a batch that it takes leaves the table. Raises what the sink raises."""
+    for batch_id in pending_letters(spark, dead_letters, name):
+        if before is None or batch_id < before:
+            path = f"{dead_letters}/sink={name}/batch={batch_id}"
+            sink(spark.read.parquet(path).orderBy("timestamp_ms", "event_id"))
+            _remove(spark, path)
+
+
 def stream_export(events: DataFrame, sinks: Mapping[str, Callable[[DataFrame], None]], checkpoint: str,
-                  min_severity: str = "info", errors: list[tuple[int, dict]] | None = None, **trigger: Any):
-    """Forward new events to every sink, oldest first within a batch; a failing sink does not hold back the rest."""
+                  min_severity: str = "info", errors: list[tuple[int, dict]] | None = None, dead_letters: str | None = None, **trigger: Any):
+    """Forward new events to every sink, oldest first within a batch; a failing sink does not hold back the rest.
+
+    With a ``dead_letters`` folder, what a sink did not take is kept by (sink, batch) and offered again,
+    in order, before its next batch (or by ``replay_dead_letters``). A sink that takes a batch gets its
+    rows once; only a driver that is lost between delivery and the end of the batch repeats it.
+    """
+
+    def offered(name: str, sink: Callable[[DataFrame], None], batch_id: int) -> Callable[[DataFrame], None]:
+        def deliver(batch: DataFrame) -> None:
+            if dead_letters:
+                replay_dead_letters(batch.sparkSession, sink, dead_letters, name, batch_id)
+            sink(batch)
+
+        return deliver
 
     def forward(batch: DataFrame, batch_id: int) -> None:
-        failed = {k: v for k, v in fan_out(batch.orderBy("timestamp_ms", "event_id"), sinks).items() if v}
+        spark = batch.sparkSession
+        results = fan_out(batch.orderBy("timestamp_ms", "event_id"), {k: offered(k, s, batch_id) for k, s in sinks.items()})
+        failed = {k: v for k, v in results.items() if v is not None}
+        for name in results if dead_letters else ():
+            path = f"{dead_letters}/sink={name}/batch={batch_id}"
+            if name in failed:
+                batch.write.mode("overwrite").parquet(path)
+            else:
+                _remove(spark, path)  # of an earlier attempt at this batch
         if failed and errors is not None:
             errors.append((batch_id, failed))
 
@@ -81,11 +158,6 @@ def stream_export(events: DataFrame, sinks: Mapping[str, Callable[[DataFrame], N
     ).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def stream_volume_spike(counters: DataFrame, sink: Callable[[DataFrame], None], checkpoint: str, table: str,
                         horizon_ms: int = 15 * 60_000, **trigger: Any):
     """Keep the minute counters of the last horizon (append mode input) and test them after each batch.
@@ -105,8 +177,7 @@ def stream_volume_spike(counters: DataFrame, sink: Callable[[DataFrame], None],
         recent = with_scalars(kept, newest, "_newest").filter(F.col("bucket_ms") > F.col("_newest") - horizon_ms)
         recent.select(*batch.columns).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
         sink(volume_spike(spark.read.schema(batch.schema).parquet(f"{table}/batch={batch_id}")))
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/batch={batch_id - 2}")
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        _remove(spark, f"{table}/batch={batch_id - 2}")
 
     return counters.writeStream.outputMode("append").foreachBatch(check).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})
