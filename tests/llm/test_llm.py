@@ -276,6 +276,16 @@ def test_groups_of_odd_tables(odd, empty):
     assert jaccard.jaccard_groups(empty).count() == 0
 
 
+def test_a_text_without_doc_id_still_bridges(spark):
+    """b links a with c, which do not link with each other, and all of b's rows lack a doc_id."""
+    words = [f"w{i}" for i in range(400)]
+    a, b, c = (" ".join(words[i:i + 300]) for i in (0, 40, 80))
+    rows = [(7, a), (None, b), (None, b), (5, c), (None, "alone " * 3), (None, None), (9, None)]
+    got = jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in got) == [
+        (0, 0, 0), (0, 1, 0), (0, 296, 5), (0, 296, 5), (5, 296, 5), (7, 296, 5), (9, 0, 9)]
+
+
 def test_need_is_the_least_overlap():
     for n in range(1, 60):
         for m in range(1, 60):

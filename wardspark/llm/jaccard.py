@@ -16,7 +16,7 @@ Both rounds read the texts of the candidates and count their overlap exactly; se
 as a whole are one class from the start.
 
 Null and empty texts have no shingles and link with nothing; equal texts are one class; equal
-doc_ids keep all their rows; an empty table gives no rows; other columns are not read.
+doc_ids keep all their rows; texts without a doc_id link like any other; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -230,6 +230,14 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], schema=LINKS)
 
 
+def _tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The class of each text, beside the text."""
+    for whole in batches:
+        for batch in slices(whole, "text", SLICE):
+            tags = [tag_of(s) for s in shingle_sets(batch.column("text"), WIDTH)]
+            yield pa.RecordBatch.from_arrays([pa.array(tags, pa.int64()), batch.column("text")], names=["tag", "text"])
+
+
 def _checked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that link. A hub with many partners is dealt out in chunks."""
     many = pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(*) / {CHUNK}) as int)").alias("chunks"))
@@ -237,14 +245,22 @@ def _checked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     roles = dealt.select(F.col("b").alias("tag"), "a", "chunk", F.lit(False).alias("hub")).union(
         dealt.select(F.col("a").alias("tag"), "a", "chunk", F.lit(True).alias("hub")).distinct())
     placed = roles.join(classes.select("tag", F.col("first").alias("doc_id")), "tag")
-    texts = docs.select("doc_id", "text").join(placed, "doc_id").repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.desc("hub"))
+    texts = docs.select("doc_id", "text").join(placed, "doc_id").select("a", "chunk", "hub", "tag", "text")
+    # Texts whose every row lacks a doc_id are found by their class; the filter reaches the scan, so without such rows nothing is read.
+    nameless = docs.where("doc_id is null").select("text").mapInArrow(_tagged, "tag long, text string")
+    nameless = nameless.join(placed.where("doc_id is null").select("tag").distinct(), "tag", "left_semi").groupBy("tag").agg(F.min("text").alias("text"))
+    texts = texts.union(placed.where("doc_id is null").drop("doc_id").join(nameless, "tag").select("a", "chunk", "hub", "tag", "text"))
+    texts = texts.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.desc("hub"))
     links = shared.saved(texts.select("a", "chunk", "hub", "tag", "text").mapInArrow(_check, "a long, b long"), "links")
     shared.discard(dealt)
     return links
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every document."""
+    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every document.
+
+    Rows without a doc_id link like any other; their component_id is null where no doc_id is reached.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     seen = shared.saved(docs.mapInArrow(_shapes, "kind int, key long, n long, tag long"), "shapes")
