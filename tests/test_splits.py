@@ -108,3 +108,12 @@ def test_histogram_labels_and_missing_values(spark, events):
     assert out.filter("metric = 'pipeline_latency_ms'").count() == 0
     seen = {r["le"]: r["n"] for r in out.filter("metric = 'model_latency_ms'").groupBy("le").agg(F.sum("bucket").alias("n")).collect()}
     assert seen["50"] == 0 and seen["100"] == 20 and seen["+Inf"] == 20 and set(seen) == {*map(str, A.MODEL_BOUNDS), "+Inf"}
+
+
+def test_calls_of_one_moment_do_not_halt_each_other(spark):
+    from wardspark.operators.tools import halt_after_block
+
+    rows = [("evt_10", "block"), ("evt_9", "allow"), ("evt_11", "block")]
+    calls = spark.createDataFrame([(e, "r", 5, a) for e, a in rows] + [("evt_1", "r", 6, "allow"), ("evt_2", "r", 4, "allow")],
+                                  "event_id string, correlation_id string, timestamp_ms long, action string")
+    assert [r["event_id"] for r in halt_after_block(calls).filter("halted").collect()] == ["evt_1"]

@@ -257,14 +257,14 @@ class _Halt(StatefulProcessor):
         self.halt = handle.getValueState("halt", T.StructType([T.StructField("ms", T.LongType())]), self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        halted = self.halt.exists()
+        since = self.halt.get()[0] if self.halt.exists() else None
         pdf = _rows(rows, "timestamp_ms", "event_id")
         flags = []
         for action, at in zip(pdf["action"], pdf["timestamp_ms"], strict=True):
-            flags.append(halted)
-            if action == "block" and not halted:
-                halted = True
-                self.halt.update((int(at),))
+            flags.append(since is not None and at > since)
+            if action == "block" and (since is None or at < since):
+                since = int(at)
+                self.halt.update((since,))
         yield pdf.assign(halted=flags)
 
     def close(self) -> None:
