@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -95,3 +96,33 @@ def test_scores_are_exact_beyond_64_bits(spark):
     a, left, right = 3_000_000_000_007, 7_000_000_000_003, 9_000_000_000_001
     got = spark.createDataFrame([(a, left, right)], "a long, l long, r long").select(phrases._score("a", "l", "r")).first()[0]
     assert got == 1_000_000 * a * a // (left * right)
+
+
+@pytest.mark.parametrize("sizes", [{"NAMES": 5, "TOLD": 10, "CHUNK": 400, "SLICE": 600}, {"NAMES": 1, "TOLD": 0}])
+def test_words_sent_in_small_lots_give_the_same(spark, monkeypatch, sizes):
+    shared.ship(spark)
+    rows = [("en" if i % 3 else None, " ".join(f"w{(i * j) % 23}" for j in range(1, 40))) for i in range(60)]
+    for name, value in sizes.items():
+        monkeypatch.setattr(phrases, name, value)
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    got = {(r["lang"], r["rank"], r["phrase"], r["a"], r["l"], r["r"], r["score"]) for r in phrases.collocations(docs, 10, 50, 2000).collect()}
+    monkeypatch.undo()
+    want = {(r["lang"], r["rank"], r["phrase"], r["a"], r["l"], r["r"], r["score"]) for r in phrases.collocations(docs, 10, 50, 2000).collect()}
+    assert got == want and got
+
+
+def test_words_leave_a_task_before_its_texts_end(monkeypatch):
+    monkeypatch.setattr(phrases, "NAMES", 50)
+
+    class Sent:
+        value = (np.full(1 << (phrases.BITMAP - 6), ~np.uint64(0)), np.zeros(0, np.uint64))
+
+    taken = []
+
+    def batches():
+        for i in range(4):
+            taken.append(i)
+            yield pa.RecordBatch.from_pydict({"lang": ["en"], "text": [" ".join(f"w{i}x{j}" for j in range(60))]})
+
+    first = next(iter(phrases._read(Sent, 4)(batches())))
+    assert first.column("kind")[0].as_py() == phrases._WORDS and taken == [0]

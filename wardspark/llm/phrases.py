@@ -36,10 +36,13 @@ COVER = 50
 LIMIT = 2000
 SCALE = 1_000_000
 #: Words sorted together in a task, words of a bucket, buckets of a step, bytes of text hashed at a time.
-CHUNK = 2_000_000
-BUCKET = 1_000_000
+CHUNK = 1_000_000
+BUCKET = 500_000
 FAN = 1024
-SLICE = 2_000_000
+SLICE = 500_000
+#: Words kept as text until they are sent, hashes kept of those sent; beyond that a word is sent again.
+NAMES = 100_000
+TOLD = 2_000_000
 #: Partitions of at most so many pointers are finished by sorting.
 SMALL = 16_384
 BITMAP = 25
@@ -200,6 +203,11 @@ SENT_DDL = "bucket long, kind int, data binary"
 _PHRASES, _HOT, _WORDS = 0, 1, 2
 
 
+def _rows(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple]:
+    """One row at a time: a whole batch as Python objects would stand in memory twice."""
+    return zip(*((x.as_py() for x in batch.column(c)) for c in names), strict=True)
+
+
 def _route(h: list[np.ndarray], hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each phrase belongs, as a number of 64 bits, and whether it goes by all its words."""
     pair = _pair(h[0], h[1])
@@ -260,11 +268,21 @@ def _read(sent, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, hot = sent.value
         hashes, joined, size = [], [], 0
-        seen: dict[int, tuple[int, bytes]] = {}
+        # Words are sent once a chunk at the latest; of those sent only the hashes stay, in order.
+        told = np.zeros(0, np.uint64)
+        names: dict[int, tuple[int, bytes]] = {}
 
-        def named() -> Iterator[pa.RecordBatch]:
-            langs, spelled = zip(*seen.values(), strict=True) if seen else ((), ())
-            return _named(np.array(list(seen), np.uint64), np.array(langs, np.uint64), list(spelled), buckets)
+        def flushed() -> Iterator[pa.RecordBatch]:
+            nonlocal told, hashes, joined, size, names
+            if names:
+                langs, spelled = zip(*names.values(), strict=True)
+                keys = np.array(list(names), np.uint64)
+                yield from _named(keys, np.array(langs, np.uint64), list(spelled), buckets)
+                told = np.sort(np.concatenate([told if len(told) < TOLD else told[:0], keys]))
+                names = {}
+            if size:
+                held, hashes, joined, size = (hashes, joined), [], [], 0
+                yield from chunk(*held, hot)
 
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
@@ -276,18 +294,15 @@ def _read(sent, buckets: int):
                 joined.append(w.joined)
                 size += len(w.hash)
                 known, first = np.unique(w.hash, return_index=True)
-                new = [i for h, i in zip(known.tolist(), first.tolist(), strict=True) if may[i] and h not in seen]
+                fresh = may[first]
+                if len(told):
+                    fresh &= told[np.minimum(np.searchsorted(told, known), len(told) - 1)] != known
+                new = [i for h, i in zip(known[fresh].tolist(), first[fresh].tolist(), strict=True) if h not in names]
                 for i, word in zip(new, w.spelled(np.array(new, np.int64)), strict=True):
-                    seen[int(w.hash[i])] = int(w.lang[i]), word
-                if size >= CHUNK:
-                    yield from chunk(hashes, joined, hot)
-                    hashes, joined, size = [], [], 0
-                if len(seen) >= CHUNK // 4:
-                    yield from named()
-                    seen.clear()
-        if size:
-            yield from chunk(hashes, joined, hot)
-        yield from named()
+                    names[int(w.hash[i])] = int(w.lang[i]), word
+                if size >= CHUNK or len(names) >= NAMES:
+                    yield from flushed()
+        yield from flushed()
 
     return run
 
@@ -310,7 +325,7 @@ def _finer(sent, buckets: int):
             return _dealt([x[at] for x in h], total, hot, buckets)
 
         for batch in batches:
-            for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            for kind, data in _rows(batch, ["kind", "data"]):
                 if kind == _WORDS:
                     keys, langs, spelled = zip(*_unnamed(data), strict=True)
                     yield from _named(np.array(keys, np.uint64), np.array(langs, np.uint64), list(spelled), buckets)
@@ -355,7 +370,7 @@ def _mined(least: int):
         names: dict[int, tuple[int, bytes]] = {}
         last = None
         for batch in batches:
-            for number, kind, data in zip(*(batch.column(c).to_pylist() for c in SENT.names), strict=True):
+            for number, kind, data in _rows(batch, SENT.names):
                 if number != last:
                     yield from bucket(held, names)
                     held, names, last = {}, {}, number
@@ -373,7 +388,8 @@ def counted_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Dat
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     counts = docs.mapInArrow(_counts, COUNTS_DDL).groupBy("kind", "lang", "key").agg(F.sum("n").alias("n"))
-    counts = shared.saved(counts.where(f"kind != 0 or n >= {least}"), "counts")
+    with shared.small_batches(spark):
+        counts = shared.saved(counts.where(f"kind != 0 or n >= {least}"), "counts")
     langs = counts.where("kind = 2").select("lang", F.col("key").alias("lang_key"), "n")
     total = langs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     often = counts.where("kind = 1").orderBy(F.desc("n"), "key").limit(HOT).select("key").toArrow()
@@ -389,7 +405,8 @@ def counted_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Dat
     dealt = docs.mapInArrow(_read(sent, steps[0]), SENT_DDL)
     for buckets in steps[1:]:
         dealt = dealt.repartition("bucket").mapInArrow(_finer(sent, buckets), SENT_DDL)
-    mined = shared.saved(dealt.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_mined(least), MINED_DDL), "mined")
+    with shared.small_batches(spark):
+        mined = shared.saved(dealt.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_mined(least), MINED_DDL), "mined")
 
     names = mined.where("h2 is null").select(F.col("h1").alias("h"), F.col("lang").alias("lang_key"), "word")
     known = names.join(counts.where("kind = 0").select(F.col("key").alias("h"), "n"), "h").join(F.broadcast(langs.select("lang_key", "lang")), "lang_key").select("h", "lang", "word", "n")

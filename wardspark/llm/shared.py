@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -52,6 +54,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/wardspark/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Jobs started here hand their rows to Python workers in lots of at most ``size``, which JVM and worker hold each."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """The rows of ``df``, written once and read back: later stages survive lost executors without redoing it."""
     path = shared_path(df.sparkSession, name)
