@@ -6,7 +6,9 @@ import gzip
 import hashlib
 import html
 import io
+import math
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 from pathlib import Path
@@ -602,3 +604,29 @@ def groups_of_sets(texts):
         if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
             name[top(j)] = top(i)
     return len({top(i) for i in range(len(sets))})
+
+
+def test_fitting_domains_holds_only_buckets_that_were_met(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    mixing.fit_domains(docs, labels)  # imports and first use are not counted
+    tracemalloc.start()
+    model = mixing.fit_domains(docs, labels)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 20_000_000  # arrays over all buckets took some 200 MB of the driver
+    docs_of = {r["domain"]: r["n"] for r in labels.selectExpr("doc_id", f"{mixing.DOMAIN} AS domain").where("domain is not null").groupBy("doc_id").agg(F.max("domain").alias("domain")).join(docs, "doc_id").groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    met: dict[int, dict[str, int]] = {}
+    rows = docs.join(labels.selectExpr("doc_id", f"{mixing.DOMAIN} AS domain").where("domain is not null").groupBy("doc_id").agg(F.max("domain").alias("domain")), "doc_id")
+    for r in rows.select("domain", F.explode(F.array_distinct(mixing._split("text"))).alias("w")).where("w != ''").select("domain", mixing._bucket(F.col("w")).alias("b")).groupBy("b", "domain").count().collect():
+        met.setdefault(r["b"], dict.fromkeys(model.names, 0))[r["domain"]] = r["count"]
+    want = {}
+    total = sum(docs_of.values())
+    for b, of in met.items():
+        if sum(of.values()) >= mixing.LEAST_DOCS:
+            k = sum(of.values())
+            weights = [math.log((of[d] + 0.5) / (docs_of[d] + 1)) - math.log((k - of[d] + 0.5) / (total - docs_of[d] + 1)) - 2 * math.sqrt(1 / (of[d] + 0.5) + 1 / (k - of[d] + 0.5)) for d in model.names]
+            if max(weights) >= mixing.LEAST_ODDS:
+                want[b] = [w if w >= mixing.LEAST_ODDS else 0.0 for w in weights]
+    got = {r[0]: list(r[1:]) for r in model.words.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[b] == pytest.approx(want[b]) for b in want)

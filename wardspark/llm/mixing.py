@@ -21,6 +21,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +85,18 @@ def _log_odds(counts: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.log((counts + 0.5) / (docs + 1)) - np.log((rest + 0.5) / (docs.sum() - docs + 1))
 
 
+def _weights(met: pa.Table, docs: np.ndarray) -> pa.Table:
+    """The buckets (b) that are evidence for a domain, with their weights w0..; n0.. are their labelled documents by domain, ``docs`` all of them."""
+    n = len(docs)
+    counts = np.column_stack([met[f"n{i}"].to_numpy() for i in range(n)]).astype(float)
+    error = np.sqrt(1 / (counts + 0.5) + 1 / (counts.sum(axis=1, keepdims=True) - counts + 0.5))
+    least = _log_odds(counts, docs) - 2 * error
+    weight = np.where(least >= LEAST_ODDS, least, 0.0)
+    kept = np.flatnonzero(weight.any(axis=1))
+    kept = kept[np.argsort(met["b"].to_numpy()[kept])]
+    return pa.table({"bucket": pa.array(met["b"].to_numpy()[kept], pa.int32()), **{f"w{d}": weight[kept, d] for d in range(n)}})
+
+
 def fit_domains(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN, most: int = MAX_LABELLED) -> Domains:
     """Learn from at most ``most`` labelled documents, those of smallest hash; counts by bucket and domain reach the driver."""
     spark = docs.sparkSession
@@ -98,16 +111,10 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN, most:
         return Domains(names, None, np.zeros((256, n)), np.zeros((2 * n, n)), np.zeros(n), per / max(1, per.sum()))
     place = {d: i for i, d in enumerate(names)}
     word = rows.select("domain", F.explode(F.array_distinct(_split("text"))).alias("w")).where("w != ''")
-    counts = np.zeros((BUCKETS, n))
     by_domain = word.groupBy(_bucket(F.col("w")).alias("b")).agg(F.count("*").alias("all"), *(F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(names)))
-    for r in by_domain.where(f"all >= {LEAST_DOCS}").collect():
-        counts[r["b"]] = [r[f"n{i}"] for i in range(n)]
-    odds = _log_odds(counts, per)
-    error = np.sqrt(1 / (counts + 0.5) + 1 / (counts.sum(axis=1, keepdims=True) - counts + 0.5))
-    weight = np.where(odds - 2 * error >= LEAST_ODDS, odds - 2 * error, 0.0)
-    kept = np.flatnonzero(weight.any(axis=1))
-    fields = ", ".join(f"w{d} double" for d in range(n))
-    words = spark.createDataFrame([(int(b), *(float(v) for v in weight[b])) for b in kept], f"bucket int, {fields}")
+    # Only buckets that were seen are held: arrays over all BUCKETS would take the driver some 200 MB.
+    met = by_domain.where(f"all >= {LEAST_DOCS}").select("b", *(f"n{i}" for i in range(n))).toArrow()
+    words = spark.createDataFrame(_weights(met, per), ", ".join(["bucket int", *(f"w{d} double" for d in range(n))]))
     seen = np.zeros((256, n))
     all_words = rows.select("domain", F.explode(_split("text")).alias("w")).where("w != ''")
     for r in all_words.groupBy(_sign(F.col("w")).alias("s"), "domain").count().collect():

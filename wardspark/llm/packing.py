@@ -81,14 +81,15 @@ class Rounds:
             j += 1
 
 
-def _cut(rounds: Rounds, sequence: int, dtype: np.dtype, keep_ids: bool):
+def _cut(rounds: Rounds, sequence: int, keep_ids: bool):
     names = {n: i for i, n in enumerate(rounds.names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for doc, source, n, before, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "n_tokens", "before", "ids")), strict=True):
-                wide = np.frombuffer(raw, dtype).astype("<u4").tobytes()
+                # The width of an id follows from the row: the driver needs no tokenizer in memory to know it.
+                wide = np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4").tobytes()
                 for window, start, place, size in rounds.pieces(names[source], before, n, sequence):
                     piece = wide[4 * start : 4 * (start + size)]
                     rows.append((doc, source, start, size, n, window, place // sequence, place % sequence, zlib.crc32(piece), piece if keep_ids else None))
@@ -103,7 +104,6 @@ def pack(docs: DataFrame, vocabulary: str, targets: dict[str | None, int] | None
 
     ``targets`` are whole-number weights by source. ids are little-endian unsigned 32-bit integers. Totals by source, one row a source, pass the driver.
     """
-    dtype = tokens.encoder(vocabulary).dtype
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
     ids = shared.saved(
         docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")
@@ -114,7 +114,7 @@ def pack(docs: DataFrame, vocabulary: str, targets: dict[str | None, int] | None
     parts = tuple(r["n"] if targets is None else 1_000_000 * targets.get(r["source"], 0) or max(1, most) for r in sums)
     rounds = Rounds(tuple(r["source"] for r in sums), tuple(r["n"] for r in sums), parts, window)
     placed = shared.running_totals(ids.select("row", "doc_id", "source", "n_tokens"), ["source"], ["doc_id", "row"], {"before": "n_tokens"}).select("row", "before")
-    return ids.join(placed, "row").select("doc_id", "source", "n_tokens", "before", "ids").mapInArrow(_cut(rounds, sequence, dtype, keep_ids), PIECES_DDL)
+    return ids.join(placed, "row").select("doc_id", "source", "n_tokens", "before", "ids").mapInArrow(_cut(rounds, sequence, keep_ids), PIECES_DDL)
 
 
 def digests(pieces: DataFrame) -> DataFrame:
