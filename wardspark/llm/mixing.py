@@ -112,7 +112,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN, most:
     place = {d: i for i, d in enumerate(names)}
     word = rows.select("domain", F.explode(F.array_distinct(_split("text"))).alias("w")).where("w != ''")
     by_domain = word.groupBy(_bucket(F.col("w")).alias("b")).agg(F.count("*").alias("all"), *(F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(names)))
-    # Only buckets that were seen are held: arrays over all BUCKETS would take the driver some 200 MB.
+    # Only buckets that were seen are held: arrays over all BUCKETS take 25 MB each for three domains, several at a time.
     met = by_domain.where(f"all >= {LEAST_DOCS}").select("b", *(f"n{i}" for i in range(n))).toArrow()
     words = spark.createDataFrame(_weights(met, per), ", ".join(["bucket int", *(f"w{d} double" for d in range(n))]))
     seen = np.zeros((256, n))
