@@ -42,6 +42,46 @@ def contains_any(lowered: Column, words: Iterable[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in words])
 
 
+def tree(words: Iterable[str]) -> str:
+    """An alternation of words as a tree of letters, the longest word first: one step a letter, however many the words."""
+    root: dict = {}
+    for word in words:
+        node = root
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def escaped(letter: str) -> str:
+        return letter if letter.isalnum() or letter == "_" else "\\" + letter
+
+    def below(node: dict) -> str:
+        letters = sorted(c for c in node if c)
+        if not letters:
+            return ""
+        ways = [escaped(c) + below(node[c]) for c in letters]
+        if len(ways) > 8:  # a branch is found by ranges of its first letter
+            parts = [range(i, min(i + 5, len(ways))) for i in range(0, len(ways), 5)]
+            ways = [f"(?=[{''.join(escaped(letters[i]) for i in part)}])(?:{'|'.join(ways[i] for i in part)})" for part in parts]
+        if len(ways) == 1 and "" not in node:
+            return ways[0]
+        return f"(?:{'|'.join(ways)})" + ("?" if "" in node else "")
+
+    return below(root)
+
+
+def marked(text: Column, pattern: str, group: int) -> Column:
+    """The distinct non-empty values of a group over all matches of a pattern that reads each character once."""
+    return F.array_distinct(F.array_remove(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), ""))
+
+
+def word_heads(lowered: Column, heads: Iterable[str]) -> Column:
+    """Which of ``heads`` (letters a to z) begin a word: of those that begin one word, the longest. One pass over the text.
+
+    A word is a run of the letters a to z here, so it may also begin behind an accented letter.
+    """
+    return marked(lowered, f"({tree(heads)}|)[a-z]*+[^a-z]*+", 1)
+
+
 def guarded(text: Column, lowered: Column, pattern: str, words: Sequence[str], ignore_case: bool = True) -> Column:
     """``search`` that is only tried where one of ``words`` occurs."""
     hit = search(text, pattern, ignore_case)

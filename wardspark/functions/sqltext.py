@@ -55,6 +55,15 @@ def any_word(column: str, words: Sequence[str]) -> str:
     return "(" + " OR ".join(f"contains({column}, {text(w)})" for w in words) + ")"
 
 
+def any_head(found: str, lowered: str, words: Sequence[str], heads: Mapping[str, str]) -> str:
+    """One of ``words`` may occur: by its head among those found (see ``regex.word_heads``), or by a byte search."""
+    known = {heads[w] for w in words if w in heads}
+    longer = sorted({h for h in heads.values() if h.startswith(tuple(known))}) if known else []
+    tests = [f"arrays_overlap({found}, {array(longer)})"] if known else []
+    rest = [w for w in words if w not in heads]
+    return "(" + " OR ".join(tests + ([any_word(lowered, rest)] if rest else [])) + ")"
+
+
 def guarded(column: str, lowered: str, pattern: str, words: Sequence[str], ignore_case: bool = True) -> str:
     """A regex test tried only where one of ``words`` occurs."""
     hit = rlike(column, pattern, ignore_case)

@@ -18,6 +18,7 @@ from wardspark.operators.scan import (
     detector,
     entity_rows,
     finding,
+    gated,
     hit_sql,
     hit_struct,
     ids,
@@ -35,7 +36,7 @@ from wardspark.operators.scan import (
 Options = Mapping[str, Any]
 
 
-TEXT, LOWER = "_text", "_lc"
+TEXT, LOWER, WORDS = "_text", "_lc", "_heads"
 
 
 def _text(data: ScanInput) -> list[dict[str, Column]]:
@@ -43,6 +44,11 @@ def _text(data: ScanInput) -> list[dict[str, Column]]:
     return [{TEXT: data.text}, {LOWER: regex.folded(F.col(TEXT))}]
 
 
+def _heads(data: ScanInput) -> list[dict[str, Column]]:
+    """The same, then the heads of its words: scans that run together share one pass over the text."""
+    return [*_text(data), {WORDS: regex.word_heads(F.col(LOWER), S.HEADS.values())}]
+
+
 def _summary(prefix: str, names: Column) -> Column:
     return F.concat(F.lit(prefix + " ("), F.array_join(F.array_sort(F.array_distinct(names)), ", "), F.lit(")"))
 
@@ -73,19 +79,25 @@ def pii_table(opts: Options) -> list[S.Entity]:
     unknown = set(chosen or ()) - {e.label for e in table}
     if unknown:
         raise ValueError(f"unknown PII entities: {', '.join(sorted(unknown))}")
-    return [e for e in table if not chosen or e.label in chosen]
+    return [_first_tested(e) for e in table if not chosen or e.label in chosen]
+
 
+def _first_tested(e: S.Entity) -> S.Entity:
+    """A built-in entity whose lead looks ahead to what the pattern begins with; the matches are the same."""
+    first = S.PII_FIRST.get(e.label) if e in S.PII else None
+    return e._replace(lead=f"(?={first})" + e.lead) if first else e
 
-def pii_candidates(text: str, lowered: str, table: list[S.Entity]) -> Column:
+
+def pii_candidates(text: str, lowered: str, table: list[S.Entity], found: str, digit: str) -> Column:
     """Labels whose pattern matches at all, before checksums; arguments are column names."""
     built_in = {e.label for e in S.PII}
     tests = []
     for e in table:
         hit = sqltext.rlike(text, e.lead + e.pattern, e.ignore_case)
         if e.label in S.PII_NEEDS:
-            hit = f"{sqltext.any_word(lowered, S.PII_NEEDS[e.label])} AND {hit}"
+            hit = f"{sqltext.any_head(found, lowered, S.PII_NEEDS[e.label], S.HEADS)} AND {hit}"
         elif e.label in built_in:
-            hit = f"({text} RLIKE '[0-9]') AND {hit}"
+            hit = f"{digit} AND {hit}"
         tests.append((hit, sqltext.text(e.label)))
     return sqltext.chosen(tests)
 
@@ -119,8 +131,9 @@ def scan_pii(data: ScanInput, opts: Options) -> Scan:
             evidence=json_evidence(labels=_labels(found), counts=counts), options=opts,
         ),
         [
-            *_text(data),
-            {"_pii_cand": pii_candidates(TEXT, LOWER, table)},
+            *_heads(data)[:2],
+            {**_heads(data)[2], "_pii_digit": F.col(TEXT).rlike("[0-9]")},
+            {"_pii_cand": pii_candidates(TEXT, LOWER, table, WORDS, "_pii_digit")},
             {"_pii_spans": pii_spans(F.col(TEXT), F.col("_pii_cand"), table)},
         ],
     )
@@ -129,11 +142,13 @@ def scan_pii(data: ScanInput, opts: Options) -> Scan:
 # --- credentials -------------------------------------------------------------------
 
 
-def vendor_hits(text: str) -> Column:
-    return sqltext.chosen([
-        (sqltext.guarded(text, text, e.pattern, (S.VENDOR_NEEDS[e.label],), False), sqltext.text(e.label))
-        for e in S.VENDOR_TOKENS
-    ])
+def vendor_hits(text: str, lowered: str, found: str) -> Column:
+    def hit(e: S.Entity) -> str:
+        test = sqltext.guarded(text, text, e.pattern, (S.VENDOR_NEEDS[e.label],), False)
+        words = S.VENDOR_WORDS.get(e.label)
+        return f"{sqltext.any_head(found, lowered, words, S.HEADS)} AND {test}" if words else test
+
+    return sqltext.chosen([(hit(e), sqltext.text(e.label)) for e in S.VENDOR_TOKENS])
 
 
 def assigned_secrets(text: Column, lowered: Column) -> Column:
@@ -143,7 +158,8 @@ def assigned_secrets(text: Column, lowered: Column) -> Column:
         found,
         lambda s: ~s["text"].rlike("(?i)" + S.PLACEHOLDER) & (checks.shannon_entropy(s["text"]) >= S.MIN_ENTROPY),
     )
-    return F.when(regex.contains_any(lowered, S.ASSIGNMENT_WORDS), kept).otherwise(spans.empty_spans(True))
+    near = regex.search(text, S.ASSIGNMENT_VALUE_NEAR, True) & regex.contains_any(lowered, S.ASSIGNMENT_WORDS)
+    return F.when(near, kept).otherwise(spans.empty_spans(True))
 
 
 @detector("secrets", stages=("input", "output", "stream", "tool_call", "tool_result", "memory_write"),
@@ -163,8 +179,8 @@ def scan_secrets(data: ScanInput, opts: Options) -> Scan:
             options=opts,
         ),
         [
-            *_text(data),
-            {"_sec_vendor": vendor_hits(TEXT), "_sec_assigned": assigned_secrets(F.col(TEXT), F.col(LOWER))},
+            *_heads(data),
+            {"_sec_vendor": vendor_hits(TEXT, LOWER, WORDS), "_sec_assigned": assigned_secrets(F.col(TEXT), F.col(LOWER))},
             {"_sec_spans": F.concat(
                 table_spans(F.col(TEXT), F.col("_sec_vendor"), entity_rows(S.VENDOR_TOKENS)), F.col("_sec_assigned")
             )},
@@ -238,17 +254,21 @@ def scan_prompt_injection(data: ScanInput, opts: Options) -> Scan:
             options=opts,
         ),
         [
+            {TEXT: data.text, "_inj_pure": X.is_plain(data.text), "_inj_run": X.has_long_run(data.text)},
             {
-                "_inj_norm": X.normalise_text(data.text), "_inj_inv": X.count_invisible(data.text),
-                "_inj_run": X.has_long_run(data.text),
+                LOWER: regex.folded(F.col(TEXT)), "_inj_norm": X.normalise_text(F.col(TEXT), F.col("_inj_pure")),
+                "_inj_inv": X.count_invisible(F.col(TEXT), F.col("_inj_pure")),
             },
             {
-                "_inj_nlc": regex.folded(norm),
-                "_inj_nrun": F.when(norm == data.text, F.col("_inj_run")).otherwise(X.has_long_run(norm)),
-                "_inj_dec": F.transform(X.decoded_segments(data.text, F.col("_inj_run")), X.undo_spacing),
+                **_heads(data)[2], "_inj_same": norm == F.col(TEXT),
+                "_inj_nlc": F.when(norm == F.col(TEXT), F.col(LOWER)).otherwise(regex.folded(norm)),
+                "_inj_nrun": F.when(norm == F.col(TEXT), F.col("_inj_run")).otherwise(X.has_long_run(norm)),
+                "_inj_dec": F.transform(X.decoded_segments(F.col(TEXT), F.col("_inj_run")), lambda s: X.undo_spacing(s)),
             },
+            {"_inj_words": F.when(F.col("_inj_same"), F.col(WORDS)).otherwise(
+                regex.word_heads(F.col("_inj_nlc"), S.HEADS.values()))},
             {
-                "_inj_plain": signal_hits("_inj_norm", "_inj_nlc", table, long_run="_inj_nrun"),
+                "_inj_plain": signal_hits("_inj_norm", "_inj_nlc", table, long_run="_inj_nrun", found="_inj_words"),
                 "_inj_dhits": F.when(F.size(dec) > 0, dec_hits).otherwise(no_hits()),
             },
             {"_inj_hits": F.concat(F.col("_inj_plain"), F.col("_inj_dhits"), side)},
@@ -275,9 +295,7 @@ def scan_authority_claims(data: ScanInput, opts: Options) -> Scan:
         for claim, roles in mapping.items() if roles
     ]))[0] if data.roles is not None else no_hits()
     unverified = F.array_except(ids(claims), ids(F.col("_auth_backed")))
-    ask = F.expr(sqltext.guarded(TEXT, LOWER, S.SENSITIVE_ASK, (
-        "bypass", "disable", "override", "ignore", "skip", "unlock", "escalate", "grant", "delete", "drop",
-        "reveal", "dump", "export", "without")))
+    ask = F.expr(gated(TEXT, LOWER, WORDS, S.SENSITIVE_ASK, (S.SENSITIVE_WORDS,)))
     weak_source = authority(data.trust_col) <= AUTHORITY["tool"]
     anonymous = ~data.or_default("authenticated", False)
     all_verified = F.size(F.col("_auth_unverified")) == 0
@@ -302,8 +320,8 @@ def scan_authority_claims(data: ScanInput, opts: Options) -> Scan:
             options=opts,
         ),
         [
-            *_text(data),
-            {"_auth_claims": signal_hits(TEXT, LOWER, S.AUTHORITY_CLAIMS), "_auth_backed": backed},
+            *_heads(data),
+            {"_auth_claims": signal_hits(TEXT, LOWER, S.AUTHORITY_CLAIMS, found=WORDS), "_auth_backed": backed},
             {"_auth_unverified": unverified, "_auth_ask": F.when(F.size(claims) > 0, ask).otherwise(F.lit(False))},
             {"_auth_score": F.when(F.size(claims) == 0, 0.0).when(all_verified, 0.1).otherwise(
                 F.least(F.lit(1.0), raw))},
@@ -327,7 +345,7 @@ def top_token_share(text: Column, min_tokens: int, least: float = 0.5) -> Column
         middle = F.array_distinct(F.array(
             F.element_at(tokens, F.floor((n - 1) / 2).cast("int") + 1), F.element_at(tokens, F.floor(n / 2).cast("int") + 1)
         ))
-        times = F.transform(middle, lambda w: F.size(F.filter(tokens, lambda t: t == w)))
+        times = F.transform(middle, lambda w: n - F.size(F.array_remove(tokens, w)))
         return F.when(n >= min_tokens, F.array_max(times) / n)
 
     def longest_run(tokens: Column) -> Column:
@@ -343,14 +361,21 @@ def top_token_share(text: Column, min_tokens: int, least: float = 0.5) -> Column
     return F.when(long_enough, F.transform(F.array(ordered), middle_share if least >= 0.5 else longest_run)[0])
 
 
+def long_repeat(text: Column, length: int) -> Column:
+    """A character repeated ``length`` times: any such run covers half its length from one of the places looked at."""
+    half = length // 2
+    candidate = regex.marked(text, r"(?s)(.)(?:(\1{%d})|.{0,%d})" % (half - 1, half - 1), 2)
+    return (F.size(candidate) > 0) & text.rlike(r"(?s)(.)\1{%d,}" % (length - 1))
+
+
 @detector("resource_abuse", stages=("input",), category="unbounded_consumption")
 def scan_resource_abuse(data: ScanInput, opts: Options) -> Scan:
     threshold = float(opts.get("threshold", 0.6))
     cap = int(opts.get("max_output_tokens", 0))
     chars = F.length(data.text) + data.or_default("history_chars", 0)
     share = float(opts.get("flood_share", S.FLOOD_SHARE))
-    run = data.text.rlike(r"(?s)(.)\1{%d,}" % (S.RUN_LENGTH - 1))
-    endless = F.expr(sqltext.guarded(TEXT, LOWER, S.ENDLESS, ("repeat", "say", "write", "output", "print")))
+    run = long_repeat(F.col(TEXT), S.RUN_LENGTH)
+    endless = F.expr(gated(TEXT, LOWER, WORDS, S.ENDLESS, (S.ENDLESS_WORDS, S.ENDLESS_ALSO)))
     tests = [
         F.when(chars > int(opts.get("max_chars", S.MAX_CHARS)), hit_struct("oversized_prompt", 0.9)),
         F.when(data.or_default("history_messages", 0) > int(opts.get("max_messages", S.MAX_MESSAGES)),
@@ -372,7 +397,7 @@ def scan_resource_abuse(data: ScanInput, opts: Options) -> Scan:
             summary=_summary("resource abuse", ids(hits)), evidence=json_evidence(signals=ids(hits)), options=opts,
         ),
         [
-            *_text(data),
+            *_heads(data),
             {"_ra_share": top_token_share(data.text, int(opts.get("flood_min_tokens", S.FLOOD_MIN_TOKENS)), share)},
             {"_ra_hits": present(tests)},
         ],
@@ -401,7 +426,7 @@ def topic_table(opts: Options) -> list[tuple[str, str, str, tuple[str, ...]]]:
 @detector("banned_topics", stages=("input", "output", "stream"), category="content_policy")
 def scan_banned_topics(data: ScanInput, opts: Options) -> Scan:
     table = topic_table(opts)
-    found = sqltext.chosen([(sqltext.guarded(TEXT, LOWER, p, w), sqltext.text(n)) for n, _, p, w in table])
+    found = sqltext.chosen([(gated(TEXT, LOWER, WORDS, p, (w,)), sqltext.text(n)) for n, _, p, w in table])
     names, hits = F.col("_ban_names"), F.col("_ban_spans")
     severity = worst(F.transform(names, lambda n: lookup(n, {t[0]: t[1] for t in table})), SEVERITIES, "info")
     rows = [(n, "banned:" + n, regex.java("", True), p) for n, _, p, _ in table]
@@ -413,7 +438,7 @@ def scan_banned_topics(data: ScanInput, opts: Options) -> Scan:
             span_list=spans.outermost_spans(spans.strip_text(hits)),
             evidence=json_evidence(categories=F.array_sort(names), matches=F.size(hits)), options=opts,
         ),
-        [*_text(data), {"_ban_names": found}, {"_ban_spans": table_spans(data.text, names, rows)}],
+        [*_heads(data), {"_ban_names": found}, {"_ban_spans": table_spans(data.text, names, rows)}],
     )
 
 
@@ -465,8 +490,8 @@ def scan_secret_leakage(data: ScanInput, opts: Options) -> Scan:
             evidence=json_evidence(labels=_labels(found)), options=opts,
         ),
         [
-            {TEXT: data.text},
-            {"_leak_vendor": vendor_hits(TEXT)},
+            *_heads(data),
+            {"_leak_vendor": vendor_hits(TEXT, LOWER, WORDS)},
             {"_leak_spans": F.concat(
                 registered, table_spans(data.text, F.col("_leak_vendor"), entity_rows(S.VENDOR_TOKENS, "credential:"))
             )},
@@ -723,9 +748,10 @@ def scan_tool_definitions(data: ScanInput, opts: Options) -> Scan:
         [
             {"_tp_norm": X.normalise_text(data.text)},
             {"_tp_lc": regex.folded(norm)},
+            {"_tp_words": regex.word_heads(F.col("_tp_lc"), S.HEADS.values())},
             {
                 "_tp_poison": signal_hits("_tp_norm", "_tp_lc", S.POISON),
-                "_tp_inj": signal_hits("_tp_norm", "_tp_lc", S.INJECTION),
+                "_tp_inj": signal_hits("_tp_norm", "_tp_lc", S.INJECTION, found="_tp_words"),
             },
             {"_tp_hits": F.concat(F.col("_tp_poison"), extra)},
             {"_tp_score": saturate_hits(hits)},

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardspark.functions import regex, spans, sqltext
-from wardspark.operators.signals import Entity, Signal
+from wardspark.operators.signals import HEADS, Entity, Signal
 from wardspark.schema import FINDING_DDL
 
 _HITS = "array<struct<id:string,weight:double,family:string>>"
@@ -177,18 +177,31 @@ def hit_sql(id_: str, weight: float, family: str = "") -> str:
 
 
 def signal_hits(
-    text: str, lowered: str, signals: Sequence[Signal], also: str | None = None, long_run: str | None = None
+    text: str, lowered: str, signals: Sequence[Signal], also: str | None = None, long_run: str | None = None,
+    found: str | None = None,
 ) -> Column:
-    """The matched signals of a table, in table order; arguments are column names or SQL conditions."""
+    """The matched signals of a table, in table order; arguments are column names or SQL conditions.
+
+    ``found`` holds the word heads of the text, for tables of ``HEADS``.
+    """
     tests = []
     for s in signals:
-        test = sqltext.guarded(text, lowered, s.pattern, s.words, s.ignore_case)
+        if found is None:
+            test = sqltext.guarded(text, lowered, s.pattern, s.words, s.ignore_case)
+        else:
+            test = gated(text, lowered, found, s.pattern, (s.words, *s.also), s.ignore_case)
         if s.id == "base64_blob" and long_run is not None:
             test = f"{long_run} AND {test}"
         tests.append((test if also is None else f"{also} AND {test}", hit_sql(s.id, s.weight, s.family)))
     return sqltext.chosen(tests, _HITS[6:-1]).cast(_HITS)
 
 
+def gated(text: str, lowered: str, found: str, pattern: str, groups: Sequence[Sequence[str]], ignore_case: bool = True) -> str:
+    """A regex test tried only where a word of each group may occur."""
+    tests = [sqltext.any_head(found, lowered, words, HEADS) for words in groups if words]
+    return "(" + " AND ".join([*tests, sqltext.rlike(text, pattern, ignore_case)]) + ")"
+
+
 def present(structs: Sequence[Column]) -> Column:
     """The non-null elements, as a hit array."""
     if not structs:
